@@ -1,5 +1,50 @@
-"""DuckDB SQL for the training-data queries that SQL can express."""
+"""DuckDB SQL for the training-data queries that SQL can express.
+
+The others need a tokenizer's ids, XXH64 hashes, a trained network, a rolling
+hash or an alignment; their tests compare them with brute force.
+"""
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+from acyclica.llm.queries import N_SHARDS, URL_RULES
+from acyclica.llm.quality import Limits
+
+_SHARD = f"""
+WITH crc AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+d AS (SELECT doc_id, coalesce(source, '') AS source, source IS NULL AS no_source, coalesce(text, '') AS text, hex(encode(coalesce(text, ''))) AS h, md5('42:' || CAST(doc_id AS VARCHAR)) AS m FROM documents),
+b AS (SELECT d.*, list_transform(range(0, length(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT)) AS bytes FROM d),
+c AS (SELECT b.*, xor(list_reduce(list_prepend(4294967295, bytes), lambda a, x: xor(a >> 8, crc.t[(xor(a, x) & 255) + 1])), 4294967295) AS text_crc32, strlen(text) + 16 AS size FROM b, crc),
+r AS (SELECT *, row_number() OVER (PARTITION BY source, no_source ORDER BY m, size, text_crc32) - 1 AS rank, count(*) OVER (PARTITION BY source, no_source) AS n FROM c),
+g AS (SELECT *, row_number() OVER (ORDER BY (rank + 0.5::DOUBLE) / n, no_source DESC, source, rank) - 1 AS g, count(*) OVER () AS total FROM r),
+s AS (SELECT *, CAST(g * {N_SHARDS} // total AS INTEGER) AS shard FROM g)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'rows' AS law, shard, CAST(row_number() OVER (PARTITION BY shard ORDER BY g) - 1 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM s
+"""
+
+_RULES = ", ".join(f"('{v}', '{r}', '{r.partition('/')[0]}', '/{r.partition('/')[2]}')" for v, r in URL_RULES)
+_URLS = f"""
+WITH rules(verdict, rule, host, path) AS (VALUES {_RULES}),
+p AS (SELECT page_id, coalesce(translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host, coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path FROM pages),
+m AS (SELECT p.*, (SELECT r.rule FROM rules r WHERE (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path) ORDER BY length(r.rule) DESC LIMIT 1) AS rule FROM p)
+SELECT m.page_id, m.host, m.path, m.rule, coalesce((SELECT r.verdict FROM rules r WHERE r.rule = m.rule), 'allow') AS verdict FROM m
+"""
+
+_L = Limits()
+_QUALITY = rf"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(CAST(source AS VARCHAR), '') AS host, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+win AS (SELECT k, i, words[i : i + 4] AS key FROM (SELECT k, words, unnest(range(1, len(words) - 3)) AS i FROM w WHERE len(words) >= 5)),
+dup AS (SELECT k, i FROM (SELECT k, i, count(*) OVER (PARTITION BY k, key) AS n FROM win) WHERE n > 1),
+hit AS (SELECT k, count(DISTINCT i + j) AS n FROM dup, range(5) AS t(j) GROUP BY k),
+f AS (SELECT w.k, doc_id, host, len(words) AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS word_chars, length(text) - length(translate(text, '#*$%&|<>', '')) AS n_symbols,
+  len(lines) - len(list_distinct(lines)) AS n_dup_lines, len(lines) AS n_lines, coalesce(hit.n, 0) AS n_repeat_words FROM w LEFT JOIN hit ON hit.k = w.k),
+b AS (SELECT *, n_words < {_L.min_words} OR 100 * n_repeat_words > {_L.max_repeat_percent} * n_words AS base_failed FROM f),
+x AS (SELECT *, base_failed OR 100 * n_symbols > {_L.max_symbol_percent} * word_chars OR 100 * n_dup_lines > {_L.max_dup_line_percent} * n_lines AS failed FROM b),
+h AS (SELECT host, count(*) AS n, count(*) FILTER (failed) AS bad FROM x GROUP BY host),
+m AS (SELECT avg(bad / n) AS mean, coalesce(var_samp(bad / n), 0) - avg(bad / n) * (1 - avg(bad / n)) * avg(1 / n) AS spread FROM h),
+q AS (SELECT mean, CASE WHEN spread > 0 THEN least(1e6, greatest(1.0, mean * (1 - mean) / spread - 1)) ELSE 1e6 END AS weight FROM m),
+v AS (SELECT h.host, (bad + weight * mean) / (n + weight) AS rate FROM h, q)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
+  CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND rate <= {_L.max_host_rate} AS kept FROM x JOIN v ON v.host = x.host
+"""
+
+ORACLES: dict[str, str] = {"op2_sharding": _SHARD, "op3_url_filter": _URLS, "op8_quality_rules": _QUALITY}

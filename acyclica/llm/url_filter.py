@@ -122,11 +122,11 @@ def _judge(shared, default: str):
 
 def _joined(rows: DataFrame, rules: DataFrame, default: str) -> DataFrame:
     """The same by a join on digests, for lists too long to send to each worker."""
-    rules = rules.groupBy("rule").agg(F.max_by("verdict", "_n").alias("_v")).withColumn("_path", F.octet_length("rule") - F.instr("rule", "/") + 1)
+    rules = rules.groupBy("rule").agg(F.max_by("verdict", "_n").alias("_v")).withColumn("_path", F.octet_length(F.expr("substring(rule, instr(rule, '/'))")))
     lengths = [r[0] for r in rules.select("_path").distinct().orderBy("_path").collect()]  # path lengths: as many as the longest path at most
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    prefix = F.filter(F.array(*[F.when(F.octet_length("path") >= n, F.expr(f"decode(substring(cast(path as binary), 1, {n}), 'utf-8')")) for n in lengths]), lambda x: x.isNotNull())
+    prefix = F.filter(F.array(*[F.when(F.octet_length("path") >= n, F.expr(f"cast(substring(cast(path as binary), 1, {n}) as string)")) for n in lengths]), lambda x: x.isNotNull())
     each = rows.withColumn("_row", F.monotonically_increasing_id()).select("*", F.explode(F.flatten(F.transform(suffixes, lambda h: F.transform(prefix, lambda p: F.concat(h, p))))).alias("_c"))
     hits = each.select("_c", "host", "path").distinct().join(rules.withColumnRenamed("rule", "_c"), "_c")
     best = hits.groupBy("host", "path").agg(F.max_by(F.struct("_c", "_v"), F.octet_length("_c")).alias("_best"))
