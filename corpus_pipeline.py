@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from acyclica.llm import chunk_dedup, decontaminate, language_id, packing, simhash
 from acyclica.llm.queries import END_ID, tokenizer_file
 from acyclica.llm.shared import stored, table
+from acyclica.llm.spans import numbered
 
 #: Not expressible: a trained network, hashes of word shingles and a tokenizer's ids. Tested against a brute-force version.
 ORACLE_SQL = None
@@ -22,13 +23,13 @@ def with_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each SimHash class; of repeated rows with that id one stays."""
-    rows = stored(docs.withColumn("_at", F.monotonically_increasing_id()), "pipeline-docs")
+    rows = numbered(docs, "pipeline-docs")
     # classes are named by row numbers, which are unique; the least of (doc_id, row) stays
-    classes = simhash.near_duplicates(rows.select("_at", "text"), id_col="_at").select("_at", "component_id")
-    named = rows.select("_at", "doc_id").join(classes, "_at")
+    classes = simhash.near_duplicates(rows.select("_rid", "_text"), id_col="_rid", text_col="_text").select("_rid", "component_id")
+    named = rows.select("_rid", F.col("_row.doc_id").alias("doc_id")).join(classes, "_rid")
     first = named.groupBy("component_id").agg(F.min("doc_id").alias("_least"))
-    kept = named.join(first, "component_id").filter(F.col("doc_id").eqNullSafe(F.col("_least"))).groupBy("component_id").agg(F.min("_at").alias("_at"))
-    return rows.join(kept.select("_at"), "_at", "left_semi").select(docs.columns)
+    kept = named.join(first, "component_id").filter(F.col("doc_id").eqNullSafe(F.col("_least"))).groupBy("component_id").agg(F.min("_rid").alias("_rid"))
+    return rows.join(kept.select("_rid"), "_rid", "left_semi").select("_row.*")
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,9 +42,9 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    rows = stored(docs.withColumn("_at", F.monotonically_increasing_id()), "pipeline-docs")
-    leaks = decontaminate.find_leaks(rows, table(spark, sf_dir, "benchmark"), id_col="_at").select("_at").distinct()
-    return rows.join(leaks, "_at", "left_anti").select(docs.columns)
+    rows = numbered(docs, "pipeline-docs")
+    leaks = decontaminate.find_leaks(rows.select("_rid", "_text"), table(spark, sf_dir, "benchmark"), id_col="_rid", text_col="_text").select("_rid").distinct()
+    return rows.join(leaks, "_rid", "left_anti").select("_row.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
