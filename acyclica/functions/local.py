@@ -143,6 +143,18 @@ def reaches_itself(g: LocalGraph, v: int, blocked: set[int]) -> bool:
     return False
 
 
+def reached(g: LocalGraph, v: int, blocked: set[int]) -> set[int]:
+    """What v leads to by at least one edge, passing through no blocked vertex."""
+    seen, todo = set(), [v]
+    while todo:
+        for w in g.out[todo.pop()]:
+            if w not in seen:
+                seen.add(w)
+                if w not in blocked:
+                    todo.append(w)
+    return seen
+
+
 # Reductions: what they take is in some smallest answer.
 
 

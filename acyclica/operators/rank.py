@@ -10,34 +10,32 @@ from acyclica.plans.checkpoints import settle
 from acyclica.plans.limits import pagerank_fits
 
 
-def pagerank(edges: DataFrame, rounds: int = 100, damping: float = 0.85, tolerance: float | None = 1e-6, every: int = 5, seed: int | None = None) -> DataFrame:
+def pagerank(edges: DataFrame, rounds: int = 100, damping: float = 0.85, tolerance: float | None = 1e-6, seed: int | None = None) -> DataFrame:
     """(id, pr): the rank of sinks is spread evenly; starts at 1/n, or with a seed at numbers drawn by hash; stops after so many rounds or, with a tolerance, once no vertex moves by more.
 
-    Plans of ``every`` rounds are run at a time and written down.
+    A round is one join and one aggregate over the edges, written down; the
+    driver gets two numbers of it, the sinks' rank and the largest move.
     """
     edges = settle(edges.select("src", "dst"))
-    d = settle(graph.degrees(edges).select("id", F.col("deg_out").cast("double").alias("d")))
-    n = d.count()
+    d = graph.degrees(edges).select("id", F.col("deg_out").cast("double").alias("d"))
+    n = graph.vertices(edges).count()
+    first = F.lit(1.0 / max(n, 1)) if seed is None else (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_000)) + 1) / 1e6
+    rank = settle(d.select("id", "d", first.cast("double").alias("pr")))
     if not n:
-        return d.select("id", F.lit(0.0).alias("pr"))
-    share = edges.join(d.withColumnRenamed("id", "src"), "src")
-    share = settle(share)
-    first = F.lit(1.0 / n) if seed is None else F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_000)) / 1e6
-    rank = d.select("id", "d", first.alias("pr"))
+        return rank.select("id", "pr")
     if seed is not None:
-        rank = settle(rank)
-        total = rank.agg(F.sum("pr")).first()[0] or 1.0
-        rank = rank.withColumn("pr", F.col("pr") / total)
-    for i in range(rounds):
-        sinks = rank.filter("d = 0").agg(F.coalesce(F.sum("pr"), F.lit(0.0)).alias("_sink")).withColumn("_j", F.lit(0))
+        total = rank.agg(F.sum("pr")).first()[0]
+        rank = settle(rank.withColumn("pr", F.col("pr") / total))
+    share = settle(edges.join(rank.select(F.col("id").alias("src"), "d"), "src"))
+    sink = rank.agg(F.coalesce(F.sum(F.when(F.col("d") == 0, F.col("pr"))), F.lit(0.0))).first()[0]
+    for _ in range(rounds):
         flow = share.join(rank.select(F.col("id").alias("src"), "pr"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("pr") / F.col("d")).alias("_in"))
-        new = rank.withColumnRenamed("pr", "_old").join(flow, "id", "left").withColumn("_j", F.lit(0)).join(F.broadcast(sinks), "_j")
-        new = new.withColumn("pr", F.lit((1 - damping) / n) + damping * (F.coalesce("_in", F.lit(0.0)) + F.col("_sink") / n))
-        if (i + 1) % every == 0 or i + 1 == rounds:
-            new = settle(new.select("id", "d", "pr", "_old"))
-            if tolerance is not None and new.agg(F.max(F.abs(F.col("pr") - F.col("_old")))).first()[0] < tolerance:
-                return new.select("id", "pr")
-        rank = new.select("id", "d", "pr")
+        new = rank.withColumnRenamed("pr", "_old").join(flow, "id", "left")
+        rank = settle(new.select("id", "d", "_old", (F.lit((1 - damping) / n) + damping * (F.coalesce("_in", F.lit(0.0)) + F.lit(sink) / n)).alias("pr")))
+        sink, move = rank.agg(F.coalesce(F.sum(F.when(F.col("d") == 0, F.col("pr"))), F.lit(0.0)), F.max(F.abs(F.col("pr") - F.col("_old")))).first()
+        rank = rank.drop("_old")
+        if tolerance is not None and move < tolerance:
+            break
     return rank.select("id", "pr")
 
 

@@ -6,6 +6,7 @@ larger ones take rounds of joins and cut over once few enough edges are left.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -114,6 +115,9 @@ def reach(edges: DataFrame, sources: DataFrame, blocked: DataFrame | None = None
 
     The result has up to sources x vertices rows: bound the sources.
     """
+    edges = settle(edges.select("src", "dst"))
+    if edges.count() <= limits.local_edges and sources.count() <= LOCAL_SOURCES:
+        return _reach_in_one_task(edges, sources, blocked)
     first = edges.join(sources.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("src").alias("source"), F.col("dst").alias("id"))
     onward = edges if blocked is None else graph.delete_edges(edges, edges.join(blocked.select(F.col("id").alias("src")), "src", "left_semi"))
     onward = settle(onward.select("src", "dst"))
@@ -127,6 +131,29 @@ def reach(edges: DataFrame, sources: DataFrame, blocked: DataFrame | None = None
     raise RuntimeError("reach did not settle")
 
 
+#: Sources whose reach one task may follow.
+LOCAL_SOURCES = 2_000
+
+
+def _reach_in_one_task(edges: DataFrame, sources: DataFrame, blocked: DataFrame | None) -> DataFrame:
+    kind = lambda df, k: df.select(F.col("id").alias("src"), F.lit(None).cast("long").alias("dst"), F.lit(k).alias("kind"))
+    rows = edges.select("src", "dst", F.lit(0).alias("kind")).unionByName(kind(sources, 1))
+    rows = rows if blocked is None else rows.unionByName(kind(blocked, 2))
+
+    def run(batches):
+        parts = list(batches)
+        if not parts:
+            return
+        pdf = pd.concat(parts)
+        g = grouped.graph_of(pdf[pdf["kind"] == 0].astype("int64"))
+        closed = set(pdf.loc[pdf["kind"] == 2, "src"].tolist())
+        for v in sorted(set(pdf.loc[pdf["kind"] == 1, "src"].tolist()) & set(g.out)):
+            found = sorted(local.reached(g, v, closed))
+            yield pd.DataFrame({"source": pd.Series([v] * len(found), dtype="int64"), "id": pd.Series(found, dtype="int64")})
+
+    return rows.coalesce(1).mapInPandas(run, "source long, id long")
+
+
 def redundant(edges: DataFrame, solution: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Vertices of the solution that no cycle through other vertices needs; if that is all of them, the least is kept out of the result."""
     edges, solution = settle(edges.select("src", "dst")), settle(solution.select("id").distinct())
@@ -135,8 +162,6 @@ def redundant(edges: DataFrame, solution: DataFrame, limits: Limits = Limits())
         names = "id long"
 
         def run(batches):
-            import pandas as pd
-
             pdf = pd.concat(list(batches))
             chosen = set(pdf.loc[pdf["dst"].isna(), "src"].astype("int64").tolist())
             real = pdf[pdf["dst"].notna()].astype("int64")
