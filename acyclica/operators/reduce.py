@@ -65,8 +65,8 @@ def pie_edges(edges: DataFrame, limits: Limits = Limits()) -> DataFrame:
 
 def core_vertices(edges: DataFrame) -> DataFrame:
     """(id, d) of CORE vertices: mutual edges only, and the d neighbours are a clique of mutual edges. No self loops may be left."""
-    pi = graph.with_reciprocity(edges)
-    only = graph.pi_vertices(edges).select("id", F.col("deg_out").alias("d"))
+    pi = settle(graph.with_reciprocity(edges))
+    only = settle(graph.pi_vertices(edges, pi).select("id", F.col("deg_out").alias("d")))
     mutual = pi.filter("is_pi and src <> dst").select("src", "dst")
     spokes = mutual.join(only.select(F.col("id").alias("src")), "src", "left_semi")
     wedges = spokes.select(F.col("src").alias("u"), F.col("dst").alias("v")).join(spokes.select(F.col("src").alias("u"), F.col("dst").alias("w")), "u").filter("v <> w")
@@ -83,6 +83,7 @@ def core_representatives(edges: DataFrame) -> DataFrame:
 
 def core_forced(edges: DataFrame) -> DataFrame:
     """CORE: all neighbours of the representatives are in some smallest answer."""
+    edges = settle(edges)
     return edges.join(core_representatives(edges).select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
 
 
