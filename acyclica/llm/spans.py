@@ -9,14 +9,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from acyclica.llm.shared import stored
+from acyclica.llm.shared import scratch_path, stored
 
 SPANS = "array<struct<s:int,e:int>>"
 
 
-def numbered(docs: DataFrame, name: str, text_col: str = "text") -> DataFrame:
-    """Stored rows: _rid (ascending in the order of the table, unique), _row (the columns) and _text (null: empty), which is read from _row."""
-    rows = stored(docs.select(F.monotonically_increasing_id().alias("_rid"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")), name)
+def numbered(docs: DataFrame, name: str, text_col: str = "text", bucketed: bool = False) -> DataFrame:
+    """Stored rows: _rid (ascending in the order of the table, unique), _row (the columns) and _text (null: empty), which is read from _row.
+
+    bucketed: dealt by _rid once, as a bucketed table in the shared folder, so
+    that joins on _rid don't shuffle the texts again.
+    """
+    rows = docs.select(F.monotonically_increasing_id().alias("_rid"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    if bucketed:
+        spark = docs.sparkSession
+        n, path = int(spark.conf.get("spark.sql.shuffle.partitions")), scratch_path(spark, name)
+        called = path.rpartition("/")[2].replace("-", "_")
+        rows.repartition(n, "_rid").write.bucketBy(n, "_rid").format("parquet").option("path", path).saveAsTable(called)
+        rows = spark.table(called)
+    else:
+        rows = stored(rows, name)
     return rows.withColumn("_text", F.coalesce(F.col("_row")[text_col], F.lit("")))
 
 

@@ -8,13 +8,17 @@ equal ones the first) is the window's anchor. Equal windows have equal anchors
 at equal places, so repeats only have to be sought among the windows of one
 anchor, and windows whose anchor occurs once are done with.
 
-The contexts of an anchor (all windows that it stands for, as one piece of text)
-are brought together. Equal contexts need no search. Of each set of equal ones
-one goes into an enhanced suffix array (ranks by prefix doubling, common-prefix
-lengths from the ranks). A stack scan lists the common-prefix intervals of at
-least ``length`` bytes; those whose occurrences have different bytes before
-them (or none) are the maximal repeats, given with all their occurrences, and
-the others are inside longer ones.
+The context of an anchor is the text of all windows that it stands for. Sorted
+by anchor and by a hash of the context, equal contexts meet: each of their bytes
+is in a repeat, and they need no search. Only contexts whose anchor has others
+too (one of each set of equal ones) are brought together as text. Of their
+windows, those whose bytes occur once, or whose occurrences all have the same
+byte before them (they are inside a longer repeat that starts earlier), need no
+suffix of their own. The suffixes at the others are sorted into an enhanced
+suffix array with common-prefix lengths, and a stack scan lists its
+common-prefix intervals of at least ``length`` bytes. Intervals with different
+bytes (or a text's start) before their suffixes are the maximal repeats, given
+with all their occurrences.
 
 Contexts arrive sorted by anchor as a stream, are searched in batches of
 BATCH bytes, and an anchor with more contexts than one batch (a stock passage in
@@ -33,15 +37,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from acyclica.llm.shared import stored
-from acyclica.llm.spans import cut, numbered
+from acyclica.llm.spans import cut, merged, numbered
 
-ANCHOR = 64
+ANCHOR = 40
 #: Bytes of contexts in one suffix array, about.
-BATCH = 2 << 20
+BATCH = 4 << 20
 #: Bytes of a document hashed at a time.
 PART = 1 << 20
-#: (anchor, context) digests that a task remembers.
-REMEMBERED = 500_000
 U = np.uint64
 
 
@@ -108,8 +110,26 @@ def parts(data: bytes, length: int) -> Iterator[tuple[int, np.ndarray]]:
         yield lo, np.frombuffer(data, np.uint8, min(PART + length - 1, len(data) - lo), lo)
 
 
+ANCHORS = pa.schema([("_a", pa.int64()), ("_c", pa.int64()), ("_rid", pa.int64()), ("_lo", pa.int32()), ("_hi", pa.int32())])
+ANCHORS_SQL = "_a long, _c long, _rid long, _lo int, _hi int"
+
+
+def _seen_before(a: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Rows whose (a, c) two earlier rows have: that they are repeats is known without them."""
+    order = np.lexsort((c, a))
+    same = (a[order][2:] == a[order][:-2]) & (c[order][2:] == c[order][:-2])
+    out = np.zeros(len(a), bool)
+    out[order[2:][same]] = True
+    return out
+
+
 def _anchor_rows(length: int):
-    schema = pa.schema([("_a", pa.int64()), ("_rid", pa.int64()), ("_lo", pa.int32()), ("_hi", pa.int32())])
+    """Anchors with their contexts' hashes. What a batch has seen twice goes on without an anchor, as a sure repeat: a hot context is no hot key."""
+
+    def batch(out: list[tuple]) -> pa.RecordBatch:
+        a, c, rid, lo, hi = (np.concatenate(x) for x in zip(*out, strict=True))
+        sure = _seen_before(a, c)
+        return pa.RecordBatch.from_arrays([pa.array(a, mask=sure), pa.array(c), pa.array(rid), pa.array(lo), pa.array(hi)], schema=ANCHORS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -119,33 +139,51 @@ def _anchor_rows(length: int):
                 if len(data) < length:
                     continue
                 for lo, piece in parts(data, length):
-                    a, _, first, last = anchors(Rolling(piece), length)
-                    out.append((a, np.full(len(a), rid), (first + lo).astype(np.int32), (last + lo).astype(np.int32)))
+                    roll = Rolling(piece)
+                    a, _, first, last = anchors(roll, length)
+                    out.append((a, roll.at(first, last - first + length).view(np.int64), np.full(len(a), rid), (first + lo).astype(np.int32), (last + lo).astype(np.int32)))
                     held += len(a)
                 if held > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], schema=schema)
+                    yield batch(out)
                     out, held = [], 0
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], schema=schema)
+                yield batch(out)
 
     return run
 
 
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by anchor, those whose anchor another has too; a row waits for the next."""
-    held, same = None, False
+JUDGED_SQL = "_a long, _rid long, _lo int, _hi int, _sure boolean"
+
+
+def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by anchor and context: those that equal another (_sure), and those to compare with other contexts of the anchor (_a kept). Each row waits for the next one."""
+    held, before = None, None
+
+    def out(b: pa.RecordBatch, before, after) -> pa.RecordBatch:
+        none = b.column(0).is_null().to_numpy(zero_copy_only=False)
+        a = np.where(none, 0, b.column(0).fill_null(0).to_numpy())
+        c = b.column(1).to_numpy()
+        pad = lambda x, y, z: np.concatenate([[x], y, [z]])
+        same_a = pad(before is not None and before[0] == a[0] and not none[0], (a[1:] == a[:-1]) & ~none[1:] & ~none[:-1], after is not None and after[0] == a[-1] and not none[-1])
+        same_c = same_a & pad(before is not None and before[1] == c[0], c[1:] == c[:-1], after is not None and after[1] == c[-1])
+        sure = none | same_c[:-1] | same_c[1:]
+        # the first of a context if the anchor had others before, the last if it has others behind
+        compare = (same_a[:-1] & ~same_c[:-1]) | (same_a[1:] & ~same_c[1:])
+        keep = pa.array(sure | compare)
+        return pa.RecordBatch.from_arrays([pa.array(a, mask=~compare), b.column(2), b.column(3), b.column(4), pa.array(sure)], names=["_a", "_rid", "_lo", "_hi", "_sure"]).filter(keep)
+
+    def key(b: pa.RecordBatch, i: int):
+        return None if b.column(0)[i].as_py() is None else (b.column(0)[i].as_py(), b.column(1)[i].as_py())
+
     for b in batches:
         if not len(b):
             continue
-        t = pa.Table.from_batches([b] if held is None else [held, b])
-        b = t.combine_chunks().to_batches()[0]
-        a = b.column(0).to_numpy()
-        eq = a[1:] == a[:-1]
-        keep = np.concatenate([[same], eq]) | np.concatenate([eq, [False]])
-        yield b.slice(0, len(b) - 1).filter(pa.array(keep[:-1]))
-        held, same = b.slice(len(b) - 1), bool(keep[-1])
-    if held is not None and same:
-        yield held
+        if held is not None:
+            yield out(held, before, key(b, 0))
+            before = key(held, len(held) - 1)
+        held = b
+    if held is not None:
+        yield out(held, before, None)
 
 
 CONTEXT = pa.schema([("_a", pa.int64()), ("_rid", pa.int64()), ("_lo", pa.int32()), ("_text", pa.binary())])
@@ -153,25 +191,28 @@ CONTEXT_SQL = "_a long, _rid long, _lo int, _text binary"
 
 
 def _contexts(length: int):
-    """The text around each repeated anchor. A context that the task sent twice before is sure to be a repeat: it goes on without text."""
+    """The text of each context to compare; without an anchor, the spans of a document's sure repeats (their length as text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[bytes, int] = {}
         for b in batches:
+            runs = b.column(2)
+            flat, offsets = runs.flatten(), runs.offsets.to_numpy()
+            offsets = offsets - offsets[0]
+            anchor = flat.field("a").to_pylist()
+            lo, hi = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("lo", "hi"))
+            sure = flat.field("sure").to_numpy(zero_copy_only=False)
             rows: list[tuple] = []
             size = 0
-            for rid, text, runs in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
+            for i, (rid, text) in enumerate(zip(b.column(0).to_pylist(), b.column(1), strict=True)):
+                at = np.arange(offsets[i], offsets[i + 1])
+                known = at[sure[at]]
+                s, e = merged(lo[known], hi[known] + length)
+                rows += [(None, rid, x, (y - x).to_bytes(4, "little")) for x, y in zip(s.tolist(), e.tolist(), strict=True)]
                 data = text.as_py().encode()
-                for r in runs.as_py():
-                    piece = data[r["lo"] : r["hi"] + length]
-                    k = xxhash.xxh3_128_digest(piece, r["a"] & 0xFFFFFFFF)
-                    n = seen.get(k, 0)
-                    if n < 2 and (n or len(seen) < REMEMBERED):
-                        seen[k] = n + 1
-                    if n >= 2:
-                        rows.append((None, rid, r["lo"], len(piece).to_bytes(4, "little")))
-                    else:
-                        rows.append((r["a"], rid, r["lo"], piece))
+                for k in at.tolist():
+                    if anchor[k] is not None:
+                        piece = data[lo[k] : hi[k] + length]
+                        rows.append((anchor[k], rid, int(lo[k]), piece))
                         size += len(piece)
                 if size > 8 << 20 or len(rows) > 200_000:
                     yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), CONTEXT, strict=True)], schema=CONTEXT)
@@ -183,41 +224,54 @@ def _contexts(length: int):
 
 
 class Repeat(NamedTuple):
-    """A maximal repeat: its bytes' number, and the places in the text where it starts."""
+    """A maximal repeat: its bytes' number, and the places where it starts with the text that each is in."""
 
     length: int
     places: np.ndarray
+    texts: np.ndarray
 
 
 class SuffixArray:
-    """Suffixes of several texts in order, with the common-prefix length of each with the one before; no prefix runs over a text's end."""
+    """Suffixes of several texts in order, with the common-prefix length of each with the one before; no prefix runs over a text's end.
+
+    With ``least``, only the suffixes that a maximal repeat of so many bytes can
+    start at.
+    """
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, texts: list[bytes], least: int = 1):
         self.data = np.frombuffer(b"".join(texts), np.uint8)
         sizes = np.array([len(t) for t in texts], np.int64)
-        n, ends = len(self.data), np.cumsum(sizes)
-        self.end = np.repeat(ends, sizes)
-        self.text = np.repeat(np.arange(len(texts)), sizes)
-        self.first = np.repeat(ends - sizes, sizes)
-        place = np.arange(n)
-        # beyond its end each text goes on with characters of its own, below all others
-        rank = self.data.astype(np.int64) + len(texts)
-        self.levels, h, longest = [(1, rank)], 1, int(sizes.max(initial=1))
-        while h < longest:
-            after = np.where(place + h < self.end, rank[np.minimum(place + h, n - 1)], self.text)
-            packed = rank * (int(rank.max(initial=0)) + len(texts) + 1) + after
-            _, inverse = np.unique(packed, return_inverse=True)
-            rank, h = inverse.astype(np.int64) + len(texts), 2 * h
-            self.levels.append((h, rank))
-        self.order = np.argsort(rank, kind="stable")
-        a, b = self.order[:-1], self.order[1:]
-        lcp = np.zeros(max(0, n - 1), np.int64)
-        for h, rank in reversed(self.levels):
-            x, y = a + lcp, b + lcp
-            inside = (x < self.end[a]) & (y < self.end[b])
-            same = inside & (rank[np.minimum(x, n - 1)] == rank[np.minimum(y, n - 1)])
-            lcp += np.where(same, h, 0)
-        self.lcp = np.concatenate([[0], np.minimum(lcp, np.minimum(self.end[a] - a, self.end[b] - b)), [0]])
+        ends = np.cumsum(sizes)
+        self.starts, self.ends = ends - sizes, ends
+        text = np.repeat(np.arange(len(texts)), np.maximum(0, sizes - least + 1))
+        place = self.starts[text] + np.arange(len(text)) - np.repeat(np.cumsum(np.maximum(0, sizes - least + 1)) - np.maximum(0, sizes - least + 1), np.maximum(0, sizes - least + 1))
+        if least > 1 and len(place):
+            keep = self._left_diverse(place, text, least)
+            place, text = place[keep], text[keep]
+        longest = int((ends[text] - place).max(initial=1))
+        padded = np.concatenate([self.data, np.zeros(longest, np.uint8)])
+        rows = np.lib.stride_tricks.sliding_window_view(padded, longest)[place].copy()
+        rows[np.arange(longest)[None, :] >= (ends[text] - place)[:, None]] = 0
+        size = ends[text] - place
+        order = np.argsort(rows.view(f"V{longest}").ravel(), kind="stable")
+        self.order, self.text = place[order], text[order]
+        rows, size = rows[order], size[order]
+        differ = rows[1:] != rows[:-1]
+        lcp = np.where(differ.any(1), differ.argmax(1), longest)
+        self.lcp = np.concatenate([[0], np.minimum(lcp, np.minimum(size[1:], size[:-1])), [0]]) if len(place) else np.zeros(1, np.int64)
+
+    def _left_diverse(self, place: np.ndarray, text: np.ndarray, least: int) -> np.ndarray:
+        """Places whose ``least`` bytes occur again with another byte before them, or at a text's start."""
+        h = Rolling(self.data).all(least)[place]
+        before = np.where(place == self.starts[text], 256, self.data[np.maximum(place - 1, 0)].astype(np.int16))
+        order = np.argsort(h, kind="stable")
+        new = np.concatenate([[True], np.diff(h[order]) != 0])
+        first = np.nonzero(new)[0]
+        n = np.diff(np.concatenate([first, [len(h)]]))
+        low, high = np.minimum.reduceat(before[order], first), np.maximum.reduceat(before[order], first)
+        out = np.zeros(len(h), bool)
+        out[order] = np.repeat((n > 1) & ((low != high) | (high == 256)), n)
+        return out
 
     def maximal_repeats(self, least: int) -> Iterator[Repeat]:
         """Intervals of suffixes that share at least so many bytes, that more than one byte (or a text's start) comes before, and that can't be longer on the right: by a stack scan."""
@@ -228,11 +282,11 @@ class SuffixArray:
                 value = 0
             while stack and stack[-1][0] > value:
                 depth, left = stack.pop()
-                places = self.order[left:i]
-                starts = places == self.first[places]
+                places, texts = self.order[left:i], self.text[left:i]
+                starts = places == self.starts[texts]
                 before = self.data[np.maximum(places - 1, 0)]
                 if starts.any() or (before != before[0]).any():
-                    yield Repeat(depth, places)
+                    yield Repeat(depth, places, texts)
             if value and (not stack or stack[-1][0] < value):
                 stack.append((value, left))
 
@@ -264,9 +318,9 @@ def _search(length: int, batch: int):
                     owners.append((rid[same[0]], lo[same[0]]))
                     sure.append(len(same) > 1)
         if texts:
-            sa = SuffixArray(texts)
+            sa = SuffixArray(texts, length)
             for r in sa.maximal_repeats(length):
-                for t, at in zip(sa.text[r.places].tolist(), (r.places - sa.first[r.places]).tolist(), strict=True):
+                for t, at in zip(r.texts.tolist(), (r.places - sa.starts[r.texts]).tolist(), strict=True):
                     if not sure[t]:
                         rid, lo = owners[t]
                         rids.append(rid)
@@ -316,9 +370,10 @@ def _search(length: int, batch: int):
 
 def repeated_spans(rows: DataFrame, length: int = 200, batch: int = BATCH) -> DataFrame:
     """(_rid, s, e): spans of numbered rows whose union is every byte in a string of so many bytes that starts twice."""
-    found = rows.select("_rid", "_text").mapInArrow(_anchor_rows(length), "_a long, _rid long, _lo int, _hi int")
-    again = found.repartition("_a").sortWithinPartitions("_a").mapInArrow(_repeated, "_a long, _rid long, _lo int, _hi int")
-    runs = again.groupBy("_rid").agg(F.collect_list(F.struct(F.col("_a").alias("a"), F.col("_lo").alias("lo"), F.col("_hi").alias("hi"))).alias("_runs"))
+    found = rows.select("_rid", "_text").mapInArrow(_anchor_rows(length), ANCHORS_SQL)
+    judged = found.repartition(F.coalesce("_a", F.xxhash64("_rid", "_lo"))).sortWithinPartitions("_a", "_c").mapInArrow(_judge, JUDGED_SQL)
+    run = F.struct(F.col("_a").alias("a"), F.col("_lo").alias("lo"), F.col("_hi").alias("hi"), F.col("_sure").alias("sure"))
+    runs = judged.groupBy("_rid").agg(F.collect_list(run).alias("_runs"))
     contexts = rows.select("_rid", "_text").join(runs, "_rid").select("_rid", "_text", "_runs").mapInArrow(_contexts(length), CONTEXT_SQL)
     dealt = contexts.repartition(F.coalesce("_a", F.xxhash64("_rid", "_lo"))).sortWithinPartitions("_a")
     spans = stored(dealt.mapInArrow(_search(length, batch), FOUND_SQL), "suffix-spans")
@@ -340,5 +395,5 @@ def dedup_substrings(docs: DataFrame, length: int = 200, text_col: str = "text")
     """
     if length <= ANCHOR:
         raise ValueError("length must be over ANCHOR")
-    rows = numbered(docs, "suffix-docs", text_col)
+    rows = numbered(docs, "suffix-docs", text_col, bucketed=True)
     return cut(rows, repeated_spans(rows, length), text_col=text_col)
