@@ -319,13 +319,19 @@ def _search(length: int, batch: int):
                     sure.append(len(same) > 1)
         if texts:
             sa = SuffixArray(texts, length)
+            reach = np.zeros(len(sa.data), np.int64)  # the farthest end of the repeats that start at each place
             for r in sa.maximal_repeats(length):
-                for t, at in zip(r.texts.tolist(), (r.places - sa.starts[r.texts]).tolist(), strict=True):
-                    if not sure[t]:
-                        rid, lo = owners[t]
-                        rids.append(rid)
-                        starts.append(lo + at)
-                        ends.append(lo + at + r.length)
+                reach[r.places] = np.maximum(reach[r.places], r.places + r.length)
+            at = np.nonzero(reach)[0]
+            text = np.searchsorted(sa.ends, at, "right")
+            s, e = merged(at + text, reach[at] + text)  # one more byte between texts, so that runs of two don't touch
+            text = np.searchsorted(sa.ends + np.arange(len(texts)), s, "right")
+            for t, a, b in zip(text.tolist(), (s - text - sa.starts[text]).tolist(), (e - text - sa.starts[text]).tolist(), strict=True):
+                if not sure[t]:
+                    rid, lo = owners[t]
+                    rids.append(rid)
+                    starts.append(lo + a)
+                    ends.append(lo + b)
         return _found([None] * len(rids), rids, starts, ends) if rids else None
 
     def windows(rid: int, lo: int, text: bytes) -> pa.RecordBatch:
