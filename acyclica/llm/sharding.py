@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 
 from acyclica.llm.shared import hash_bucket, running_sum, stored
 
-#: Rows that one task orders, about.
-BUCKET_ROWS = 20_000
+#: Rows of a bucket, about, up to so many buckets; then buckets grow.
+BUCKET_ROWS, MAX_BUCKETS = 1_000, 1_000_000
+#: Most sources whose counts are broadcast.
+MAX_SOURCES = 100_000
 
 
 def shard(docs: DataFrame, n_shards: int = 40, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -40,7 +42,8 @@ def shard(docs: DataFrame, n_shards: int = 40, seed: int = 42, id_col: str = "do
     rows = stored(rows, "shard-rows")
     sources = rows.groupBy("_source").agg(F.count("*").alias("_n"))
     total = rows.count()
-    buckets = max(1, math.ceil(total / BUCKET_ROWS))
+    buckets = min(MAX_BUCKETS, max(1, math.ceil(total / BUCKET_ROWS)))
+    sources = F.broadcast(sources) if sources.count() <= MAX_SOURCES else sources
     ranked = running_sum(rows.withColumn("_b", hash_bucket("_h", buckets)), ["_source"], "_b", ["_h", "size", "text_crc32"], "1", "rank")
     ranked = ranked.join(sources, "_source").withColumn("share", (F.col("rank") + F.lit(0.5)) / F.col("_n"))
     ranked = stored(ranked.withColumn("_k", F.least(F.floor(F.col("share") * buckets), F.lit(buckets - 1)).cast("int")).drop("_b", "_n"), "shard-ranks")
