@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from acyclica.llm.wordcache import drop_tokenizers
+
 Q = 8
 #: Edits for each byte of an item.
 RATE = 0.1
@@ -132,6 +134,7 @@ class GramIndex:
 
 def _search(index_of, q: int, rate: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_tokenizers()
         index = GramIndex(index_of.value, q, rate)
         kind = pa.array(index.ids).type
         overlap = int((index.size + 2 * index.edits).max(initial=0)) + q

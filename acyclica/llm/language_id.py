@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from acyclica.llm.wordcache import drop_tokenizers
+
 #: Bytes that the network reads in one go, from a fresh state.
 WINDOW = 64
 UNKNOWN = "und"
@@ -187,6 +189,7 @@ def has_letter(text: str | None) -> bool:
 
 def _predict(net: Network | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_tokenizers()
         for b in batches:
             langs, scores = [UNKNOWN] * len(b), [0.0] * len(b)
             rows, texts, size = [], [], 0
@@ -196,7 +199,7 @@ def _predict(net: Network | None):
                     rows.append(i)
                     texts.append(text.encode())
                     size += len(texts[-1])
-                if texts and (size > 4 << 20 or i == len(b) - 1):
+                if texts and (size > 1 << 20 or i == len(b) - 1):
                     p = pooled(net, texts)
                     best = p.argmax(1)
                     for r, k, s in zip(rows, best.tolist(), p[np.arange(len(p)), best].tolist(), strict=True):

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from acyclica.llm.shared import hash_bucket, running_sum, stored
-from acyclica.llm.wordcache import piece_tokenizer
+from acyclica.llm.wordcache import MAX_PIECES, piece_tokenizer
 
 #: Most rows of the offsets table that are broadcast.
 MAX_OFFSETS = 500_000
@@ -35,9 +35,9 @@ MAX_OFFSETS = 500_000
 BATCH_TOKENS = 2_000_000
 
 
-def _encode(path: str, end_id: int | None):
+def _encode(path: str, end_id: int | None, max_pieces: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, task, place = piece_tokenizer(path), TaskContext.get().partitionId(), {}
+        tok, task, place = piece_tokenizer(path, max_pieces), TaskContext.get().partitionId(), {}
         end = np.array([] if end_id is None else [end_id], np.uint32)
 
         def out(ids: list, sources: list, rows: list) -> pa.RecordBatch:
@@ -131,7 +131,7 @@ def _cut(grids: list[tuple[int, int]], quantum: int, window: int):
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, window: int = 4096, quantum: int = 256, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, window: int = 4096, quantum: int = 256, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_pieces: int = MAX_PIECES) -> DataFrame:
     """One row for each piece: id, source, start, length, doc_tokens, sequence_id, offset, ids (little-endian unsigned 32-bit).
 
     A document's ids are the tokenizer's and ``end_id``; a null text is an empty
@@ -140,13 +140,14 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 4096, quantum: int = 256
     table within their queue, repeated rows are packed each, null ids stay null,
     an empty table gives an empty result, and other columns aren't looked at.
     ``quantum`` must divide ``window``: smaller ones keep to the mixture more
-    closely and cut documents more often.
+    closely and cut documents more often. ``max_pieces`` bounds the workers'
+    caches of encoded pieces.
     """
     if window % quantum:
         raise ValueError("quantum must divide window")
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("_source"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    tokens = stored(rows.mapInArrow(_encode(tokenizer, end_id), f"_id {kind}, _source string, _task long, _place long, _n long, _ids binary"), "pack-tokens")
+    tokens = stored(rows.mapInArrow(_encode(tokenizer, end_id, max_pieces), f"_id {kind}, _source string, _task long, _place long, _n long, _ids binary"), "pack-tokens")
     tasks = stored(tokens.groupBy("_source", "_task").agg(F.sum("_n").alias("_sum")), "pack-tasks")
     sources = tasks.groupBy("_source").agg(F.sum("_sum").alias("_all"))
     sources = stored(sources.select("_source", F.expr(f"_all div {quantum}").alias("_m"), (F.col("_all") % quantum).alias("_rest"), F.md5("_source").alias("_h")), "pack-sources")

@@ -37,10 +37,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release() -> None:
-    """Deletes the scratch tables of this process; their frames can't be read afterwards."""
-    while _scratch:
-        spark, path = _scratch.pop()
+def scratch_count() -> int:
+    return len(_scratch)
+
+
+def release(first: int = 0, end: int | None = None) -> None:
+    """Deletes scratch tables of this process, all or those numbered from first to end; their frames can't be read afterwards."""
+    for i, (spark, path) in enumerate(_scratch[first:end], first):
+        if not path:
+            continue
+        _scratch[i] = (spark, "")
         with contextlib.suppress(Exception):
             jvm = spark.sparkContext._jvm
             at = jvm.org.apache.hadoop.fs.Path(path)

@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from acyclica.llm.links import components, forest
 from acyclica.llm.shared import stored
+from acyclica.llm.wordcache import drop_tokenizers
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 SEED = 42
@@ -61,6 +62,7 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
 
 def _fingerprints(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_tokenizers()
         for b in batches:
             f = np.array([fingerprint(t.as_py(), shingle) for t in b.column(1)], "<u8").view("<i8")
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(f)], names=["_id", "_fp"])

@@ -14,6 +14,8 @@ decides). Texts with characters that may change a neighbour across a cut
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import re
 from itertools import chain
@@ -59,6 +61,8 @@ class PieceTokenizer:
         self.cut = KEEPS_SPACE if self.keeps_space else DROPS_SPACE
         self.model, self.shown = self.library.model, {b: c for b, c in byte_letters().items() if chr(b) != c}
         self.max_pieces = max_pieces
+        #: One object for each id: tuples of the cache share them.
+        self.numbers = list(range(self.library.get_vocab_size(with_added_tokens=True)))
         self.known: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
 
@@ -67,10 +71,13 @@ class PieceTokenizer:
 
     def _piece(self, piece: str) -> tuple[int, ...]:
         if not PLAIN(piece):
-            return tuple(self.whole(piece))
+            return self._shared(self.whole(piece))
         if not self.keeps_space:
             piece = piece.lower()
-        return tuple([t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.shown))])
+        return self._shared([t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.shown))])
+
+    def _shared(self, ids: list[int]) -> tuple[int, ...]:
+        return tuple(map(self.numbers.__getitem__, ids))
 
     def _word(self, word: str) -> tuple[int, ...]:
         pieces = self.cut.findall(word)
@@ -105,11 +112,20 @@ class PieceTokenizer:
 
 
 _made: dict[tuple[str, int], PieceTokenizer] = {}
+MAX_PIECES = 300_000
 
 
-def piece_tokenizer(path: str, max_pieces: int = 300_000) -> PieceTokenizer:
+def piece_tokenizer(path: str, max_pieces: int = MAX_PIECES) -> PieceTokenizer:
     """One tokenizer for each Python worker, kept between batches and tasks."""
     key = (path, max_pieces)
     if key not in _made:
+        drop_tokenizers()
         _made[key] = PieceTokenizer(path, max_pieces)
     return _made[key]
+
+
+def drop_tokenizers() -> None:
+    """Frees what the worker keeps for encoding, and gives freed memory back to the system; called by operators that don't encode, as Spark uses workers again."""
+    _made.clear()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)

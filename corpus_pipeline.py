@@ -2,18 +2,39 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from acyclica.llm import chunk_dedup, decontaminate, language_id, packing, simhash
 from acyclica.llm.queries import END_ID, tokenizer_file
-from acyclica.llm.shared import stored, table
+from acyclica.llm.shared import release, scratch_count, stored, table
 from acyclica.llm.spans import numbered
 
 #: Not expressible: a trained network, hashes of word shingles and a tokenizer's ids. Tested against a brute-force version.
 ORACLE_SQL = None
+#: Pieces that a worker's tokenizer keeps here: fewer than for packing alone, as workers have run other stages.
+MAX_PIECES = 100_000
+_left = (0, 0)
+
+
+def _stage(f):
+    """A stage's scratch tables go when the next stage begins: by then its result must be written."""
+
+    @functools.wraps(f)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        global _left
+        release(*_left)
+        first = scratch_count()
+        out = f(spark, docs, sf_dir)
+        _left = (first, scratch_count())
+        return out
+
+    return run
 
 
+@_stage
 def with_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the network has learned from the corpus; texts without letters go. Learns from documents, like op10."""
     net = language_id.train(docs.filter(~language_id.held_out(F.col("doc_id"))), "text", "lang", F.col("doc_id"))
@@ -21,6 +42,7 @@ def with_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return out.filter(F.col("lang_pred") != language_id.UNKNOWN).select(docs.columns)
 
 
+@_stage
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each SimHash class; of repeated rows with that id one stays."""
     rows = numbered(docs, "pipeline-docs")
@@ -32,6 +54,7 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return rows.join(kept.select("_rid"), "_rid", "left_semi").select("_row.*")
 
 
+@_stage
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that an earlier one has; those that nothing is left of go."""
     out = chunk_dedup.dedup_chunks(docs)
@@ -40,6 +63,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return out.filter((F.col("n_removed") == 0) | (F.length(F.trim(text)) > 0)).select(keep)
 
 
+@_stage
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
     rows = numbered(docs, "pipeline-docs")
@@ -47,9 +71,10 @@ def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return rows.join(leaks, "_rid", "left_anti").select("_row.*")
 
 
+@_stage
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in their sequences."""
-    out = packing.pack(docs, tokenizer_file("word_bpe_49k.json"), end_id=END_ID)
+    out = packing.pack(docs, tokenizer_file("word_bpe_49k.json"), end_id=END_ID, max_pieces=MAX_PIECES)
     return out.select("doc_id", "start", "length", F.crc32("ids").cast("long").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
@@ -66,4 +91,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    out = STAGES[-1][1](spark, docs, sf_dir)
+    global _left
+    _left = (0, 0)  # the result is read later: its tables stay
+    return out
