@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from acyclica.llm import chunk_dedup, decontaminate, language_id, packing, simhash
+from acyclica.llm import chunk_dedup, decontaminate, language_id, near_copies, packing
 from acyclica.llm.queries import END_ID, tokenizer_file
 from acyclica.llm.shared import release, scratch_count, stored, table
 from acyclica.llm.spans import numbered
@@ -44,10 +44,10 @@ def with_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 @_stage
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each SimHash class; of repeated rows with that id one stays."""
+    """The document with the smallest id of each class of near copies (five-word shingles, similarity 0.8); of repeated rows with that id one stays."""
     rows = numbered(docs, "pipeline-docs")
     # classes are named by row numbers, which are unique; the least of (doc_id, row) stays
-    classes = simhash.near_duplicates(rows.select("_rid", "_text"), id_col="_rid", text_col="_text").select("_rid", "component_id")
+    classes = near_copies.near_copies(rows.select("_rid", "_text"), id_col="_rid", text_col="_text")
     named = rows.select("_rid", F.col("_row.doc_id").alias("doc_id")).join(classes, "_rid")
     first = named.groupBy("component_id").agg(F.min("doc_id").alias("_least"))
     kept = named.join(first, "component_id").filter(F.col("doc_id").eqNullSafe(F.col("_least"))).groupBy("component_id").agg(F.min("_rid").alias("_rid"))
