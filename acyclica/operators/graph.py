@@ -114,7 +114,7 @@ def first_two_cycle(edges: DataFrame) -> DataFrame:
 def pi_vertices(edges: DataFrame, marked: DataFrame | None = None) -> DataFrame:
     """(id, deg_out) of vertices with reciprocal edges only; in the order of degree and id where order matters. marked: with_reciprocity(edges), if it is there."""
     e = with_reciprocity(edges) if marked is None else marked
-    ends = e.select(F.explode(F.array("src", "dst")).alias("id"), "is_pi", "src")
+    ends = e.select(F.explode(F.array_distinct(F.array("src", "dst"))).alias("id"), "is_pi", "src")
     return ends.groupBy("id").agg(F.bool_and("is_pi").alias("_all"), F.count_if(F.col("src") == F.col("id")).alias("deg_out")).filter("_all").select("id", "deg_out")
 
 

@@ -15,6 +15,8 @@ from acyclica.sources import literal_edges, scores, sinks
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+#: Queries on a part of the events are also registered, as name_user, on the graph of all of them.
+WHOLE = {"user_err": "user", "rising": "user_rising"}
 
 
 def query(on: str, sql: str | None = None, name: str | None = None):
@@ -25,6 +27,8 @@ def query(on: str, sql: str | None = None, name: str | None = None):
         QUERIES[key] = lambda spark, sf_dir: f(getattr(graphs, on)(spark, sf_dir))
         if sql is not None:
             ORACLES[key] = with_graph(on, sql)
+        if on in WHOLE and key not in ("edges_user_err", "redundant_vertices"):
+            query(WHOLE[on], sql, f"{key}_user")(f)
         return f
 
     return keep
@@ -211,6 +215,13 @@ def redundant_vertices(e: DataFrame) -> DataFrame:
     return structure.redundant(e, graph.vertices(e).filter("id % 2 = 0"))
 
 
+@query("user", None)
+def redundant_vertices_user(e: DataFrame) -> DataFrame:
+    """Of greedy's answer, which has no SQL."""
+    e = settle(e)
+    return structure.redundant(e, solve.greedy(e).select("id"))
+
+
 QUERIES["subsets"] = lambda spark, sf_dir: graph.subsets(spark, 10)
 ORACLES["subsets"] = "SELECT CAST(range AS BIGINT) AS mask FROM range(1024)"
 QUERIES["combinations"] = lambda spark, sf_dir: graph.combinations(spark, 10, 3)

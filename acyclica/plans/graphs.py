@@ -61,6 +61,11 @@ def rising(spark: SparkSession, sf_dir: str) -> DataFrame:
     return user_err(spark, sf_dir).filter("src < dst")
 
 
+def user_rising(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """user's edges to larger ids: no cycle."""
+    return user(spark, sf_dir).filter("src < dst")
+
+
 def _sql(src: str, dst: str, rest: str) -> str:
     return f"SELECT DISTINCT CAST(src AS BIGINT) AS src, CAST(dst AS BIGINT) AS dst FROM (SELECT {src} AS src, {dst} AS dst FROM {rest}) AS t WHERE dst IS NOT NULL AND src IS NOT NULL"
 
@@ -76,6 +81,7 @@ SQL = {
 }
 SQL["both5"] = f"SELECT src, dst FROM ({SQL['part5']}) AS p WHERE src <> dst UNION SELECT dst, src FROM ({SQL['part5']}) AS p WHERE src <> dst"
 SQL["rising"] = f"SELECT src, dst FROM ({SQL['user_err']}) AS u WHERE src < dst"
+SQL["user_rising"] = f"SELECT src, dst FROM ({SQL['user']}) AS u WHERE src < dst"
 
 #: Small graphs with known smallest answers: edges, and the size of the answer.
 DEMOS = {
