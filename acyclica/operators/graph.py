@@ -167,20 +167,19 @@ def contract_vertex(edges: DataFrame, v: int) -> DataFrame:
     return contract(remove_vertices(e, both), one).filter("src <> dst")
 
 
-def drop_sinks(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
-    """edges without vertices that no edge leaves, to a fixpoint."""
+def drop_sinks(edges: DataFrame) -> DataFrame:
+    """edges without vertices that no edge leaves, to a fixpoint: as many rounds as the longest chain of sinks has vertices."""
     from acyclica.plans.checkpoints import settle
 
     m = None
-    for _ in range(max_rounds):
+    while True:
         edges = settle(edges)
         new = edges.count()
         if new == m:
-            break
+            return edges
         m = new
         sources = edges.select(F.col("src").alias("dst")).distinct()
         edges = edges.join(sources, "dst", "left_semi").select(*KEYS)
-    return edges
 
 
 def subsets(spark, n: int) -> DataFrame:

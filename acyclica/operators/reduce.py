@@ -109,7 +109,7 @@ def dome_edges(edges: DataFrame) -> DataFrame:
 def reduce_graph(edges: DataFrame, limits: Limits = Limits(), dominated: bool = True, deadline: Deadline | None = None) -> State:
     """All rules to a fixpoint: cheap ones each round, PIE, CORE and DOME when those stand still; one task finishes what is small enough."""
     state, seen = start(edges), None
-    for _ in range(limits.max_rounds):
+    while True:
         state.edges = settle(state.edges)
         m = state.edges.count()
         if m <= limits.local_edges:
@@ -130,7 +130,6 @@ def reduce_graph(edges: DataFrame, limits: Limits = Limits(), dominated: bool =
             n = state.edges.count()
         if n == m:
             return state
-    return state
 
 
 def _finish(state: State, dominated: bool) -> State:
