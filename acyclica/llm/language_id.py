@@ -31,7 +31,6 @@ class Training:
     """``docs_per_lang`` bounds the sample (as an expected number): rows are drawn by a hash of their id, windows from four places of each."""
 
     docs_per_lang: int = 400
-    max_langs: int = 500
     hidden: int = 8
     epochs: int = 4
     batch: int = 128
@@ -216,13 +215,13 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(labelled: DataFrame, text_col: str, lang_col: str, key: Column, how: Training = Training()) -> Network | None:
-    """A network from a bounded sample of rows with text and language; None if there are none. The driver gets at most about docs_per_lang x 4 windows a language."""
+    """A network from a bounded sample of rows with text and language; None if there are none. Every language is learned; the driver gets one row and at most about docs_per_lang x 4 windows a language."""
     rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), key.alias("key"))
-    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(how.max_langs).collect()}
+    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
     if not counts:
         return None
-    share = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(min(1.0, how.docs_per_lang / n))) for lang, n in counts.items()], F.lit(0.0))
-    drawn = rows.filter(F.pmod(F.xxhash64("key", F.lit(how.seed)), F.lit(1_000_000)) < share * 1_000_000)
+    shares = rows.sparkSession.createDataFrame([(lang, min(1.0, how.docs_per_lang / n)) for lang, n in counts.items()], "lang string, share double")
+    drawn = rows.join(F.broadcast(shares), "lang").filter(F.pmod(F.xxhash64("key", F.lit(how.seed)), F.lit(1_000_000)) < F.col("share") * 1_000_000)
     pieces = F.array(*[F.substring(F.col("text"), F.floor(F.length("text") * k / 4).cast("int") + 1, F.lit(WINDOW)) for k in range(4)])
     sample = sorted((r[0], r[1]) for r in drawn.select("lang", F.explode(F.array_distinct(pieces)).alias("piece")).filter("length(piece) > 0").collect())
     langs = sorted({lang for lang, _ in sample})
