@@ -37,15 +37,15 @@ def _first_of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def _encoder(path: str, version: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, seen = piece_tokenizer(path).count, set()
+        tok, seen = piece_tokenizer(path), set()
         for b in batches:
-            out = []
-            for d, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                if d not in seen:
-                    seen.add(d)
-                    out.append((d, count(text.as_py())))
+            new = []
+            for d in b.column(0).to_pylist():
+                new.append(d not in seen)
+                seen.add(d)
+            b = b.filter(pa.array(new, pa.bool_()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([version] * len(out), pa.string()), pa.array([d for d, _ in out], pa.binary()), pa.array([n for _, n in out], pa.int64())],
+                [pa.array([version] * len(b), pa.string()), b.column(0), pa.array(tok.counts(b.column(1)), pa.int64())],
                 names=["tokenizer", "digest", "n_tokens"],
             )
 

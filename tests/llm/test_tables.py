@@ -6,9 +6,10 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from acyclica.llm import decontaminate, language_id, packing, quality, sharding, token_counts, url_filter
+from acyclica.llm import decontaminate, language_id, packing, quality, sharding, token_counts, url_filter, wordcache
 from acyclica.llm.wordcache import PieceTokenizer
 
 tokenizers = pytest.importorskip("public_tokenizers")
@@ -63,8 +64,6 @@ def test_leaks_equal_brute_force(spark, part, monkeypatch):
     monkeypatch.setattr(decontaminate, "PART", part)
     if part < 1000:  # pieces of long texts, in this process
         index = [(i, decontaminate.normal(t)) for i, t in enumerate(items) if decontaminate.budget(len(decontaminate.normal(t))) >= 0]
-        import pyarrow as pa
-
         run = decontaminate._search(type("Held", (), {"value": index}), decontaminate.Q, decontaminate.RATE)
         out = next(run(iter([pa.RecordBatch.from_arrays([pa.array(range(len(docs))), pa.array(docs)], names=["_id", "_text"])])))
         got = {(r["_id"], r["_item"]): r["edits"] for r in out.to_pylist()}
@@ -147,14 +146,20 @@ def test_equal_digests_are_told_apart(monkeypatch):
 
 
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
-def test_pieces_equal_the_library(name):
-    rng = random.Random(4)
+def test_pieces_equal_the_library(name, monkeypatch):
+    rng, texts_ = random.Random(4), []
     tok = PieceTokenizer(tokenizers.path(name), max_pieces=50)
     parts = list("abcAB ,.'\n\t12$é ñß_-  ") + ["'s", "'ll", "<|endoftext|>", "<|startoftext|>", " ", "α", "Σ", "́", "中", "…", "\xa0", "\u2003", "😀", "İ", "word", "The "]
     for t in ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(1500)] + [t for _, t, _, _ in texts() if t]:
-        want = tok.library.encode(t, add_special_tokens=False).ids
-        assert tok.ids(t).tolist() == want and tok.count(t) == len(want), repr(t)
-    assert tok.ids(None).tolist() == [] and tok.count("") == 0
+        texts_.append(t)
+    for part in (1, 40, 10_000):  # bytes encoded at a time
+        monkeypatch.setattr(wordcache, "PART", part)
+        got = pa.array([None, "", *texts_[:: 1 if part > 1 else 9], None])
+        want = [tok.library.encode(t or "", add_special_tokens=False).ids for t in got.to_pylist()]
+        ids, n = (np.concatenate(x) for x in zip(*tok.encode(got), strict=True))
+        assert n.tolist() == tok.counts(got).tolist() == list(map(len, want))
+        assert ids.tolist() == sum(want, [])
+    assert list(tok.encode(pa.array([], pa.string()))) == []
 
 
 def test_token_counts_and_cache(spark, tmp_path):
@@ -205,18 +210,50 @@ def test_packing_round_trip(spark):
     assert packing.pack(docs_of(spark, []), path).collect() == []
 
 
-def test_grant_ranks_equal_sorting():
+def test_deficits_stay_under_a_grant():
     rng = random.Random(6)
-    for _ in range(30):
-        ms = [rng.randint(1, 12) for _ in range(rng.randint(1, 6))]
-        grids = sorted(Counter(ms).items())
-        order = sorted((((2 * j + 1) / (2 * m), m, k, j) for k, m in enumerate(ms) for j in range(m)))
-        from fractions import Fraction
-
-        order = sorted((Fraction(2 * j + 1, 2 * m), m, k, j) for k, m in enumerate(ms) for j in range(m))
-        idx = {k: sorted(i for i, m in enumerate(ms) if m == ms[k]).index(k) for k in range(len(ms))}
-        got = [int(packing.ranks(np.array([m]), np.array([j]), grids)[0]) + idx[k] for _, m, k, j in order]
-        assert got == list(range(len(order)))
+    for k in range(30):
+        m = np.array([rng.choice([rng.randint(0, 9), rng.randint(1, 300)]) for _ in range(rng.randint(1, 9))])
+        target = m / max(1, m.sum()) + 1e-9 if k % 2 else np.array([rng.random() + 0.01 for _ in m])
+        schedule = packing.Schedule(m, target, rng.choice([4, 16, 64]))
+        queue, j = np.repeat(np.arange(len(m)), m), np.concatenate([np.arange(n) for n in m])
+        at = schedule.places(queue, j)
+        assert sorted(at.tolist()) == list(range(int(m.sum())))  # every grant has a place of its own
+        assert all((np.diff(at[queue == q]) > 0).all() for q in range(len(m)))
+        some = rng.sample(range(len(j)), min(5, len(j)))  # a task that has few of them finds the same
+        assert packing.Schedule(m, target, schedule.size).places(queue[some], j[some]).tolist() == at[some].tolist()
+        order = np.empty(len(at), np.int64)
+        order[at] = queue
+        for lo in range(0, len(order), schedule.size):
+            part = order[lo : lo + schedule.size]
+            due = np.bincount(part, minlength=len(m)) / len(part)
+            served = np.cumsum(part[:, None] == np.arange(len(m)), 0)
+            assert (np.abs(served - np.arange(1, len(part) + 1)[:, None] * due) < 1).all()
+        if k % 2:  # the corpus's own shares: every prefix keeps to them
+            served = np.cumsum(order[:, None] == np.arange(len(m)), 0)
+            assert (np.abs(served - np.arange(1, len(order) + 1)[:, None] * m / max(1, m.sum())) < 3).all()
+
+
+def test_packing_to_targets(spark):
+    path = tokenizers.path("word_bpe_49k.json")
+    rows = [(i, "word " * 100, "en", "ab"[i % 2]) for i in range(400)] + [(1000 + i, "word " * 100, "en", None) for i in range(20)]
+    out = packing.pack(docs_of(spark, rows), path, window=256, quantum=32, targets={"a": 0.6, "b": 0.3}).collect()
+    held = defaultdict(Counter)
+    for r in out:
+        held[r["sequence_id"]][r["source"]] += r["length"]
+    total = Counter()
+    for s in held.values():
+        total.update(s)
+    dry = next(k for k in sorted(held) if sum((held[x]["a"] for x in range(k + 1)), 0) + 64 > total["a"])
+    assert 90 < dry < max(held)  # a has run dry, and b and the documents without a source share what follows
+    for k in range(dry - 1):
+        assert abs(held[k]["a"] - 0.6 * 256) <= 64 and abs(held[k]["b"] - 0.3 * 256) <= 64
+    assert sum(held[k]["a"] for k in held if k > dry + 1) <= 32
+    with pytest.raises(ValueError):
+        packing.pack(docs_of(spark, rows), path, targets={"a": 0.6, "b": 0.4})
+    few = packing.pack(docs_of(spark, rows), path, window=256, quantum=32, max_queues=1).collect()
+    assert sum(r["length"] for r in few) == sum(total.values())
+    assert len({(r["sequence_id"], r["offset"]) for r in few}) == len(few)
 
 
 def brute_quality(text):
