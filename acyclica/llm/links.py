@@ -3,7 +3,9 @@
 Each task first replaces its links by a forest of them (as many components, at
 most one link a node), then large-star and small-star rounds run until every
 link points to the least node of its component. Minima are taken with partial
-sums and joined back, so a node of any degree spreads over many tasks.
+aggregates and stored before they are joined back: Spark then knows their size
+(it sends small ones to all tasks) and can split the rows of a node with very
+many links.
 """
 
 from __future__ import annotations
@@ -56,13 +58,13 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _large_star(e: DataFrame) -> DataFrame:
     both = e.union(e.select("b", "a")).toDF("a", "b")
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    least = stored(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
     return both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(e: DataFrame) -> DataFrame:
-    down = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b")
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
+    down = stored(e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "stars")
+    least = stored(down.groupBy("a").agg(F.min("b").alias("m")), "least")
     moved = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.union(least).filter("a <> b").distinct()
 

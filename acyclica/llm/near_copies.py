@@ -1,17 +1,21 @@
-"""Near copies by the similarity of their sets of word shingles.
+"""Near copies by SimHash, verified by the similarity of their sets of word shingles.
 
 Two texts are linked when the Jaccard similarity of their sets of five-word
 shingles is at least 0.8, and a document's class is its connected component.
 
-Fingerprints of 64 bits don't do this: linked pairs are 13 and more bits apart,
-where blocks of them no longer select. Pairs are brought together by 32 bands of
-5 minima (MinHash): a pair of similarity s shares no band with a chance of
-(1 - s^5)^32, 3 in a million at 0.8 and less above. Each pair that shares a band
-is verified on its whole sets.
-
-Texts of equal sets are one node. Where bands are crowded, a band's rows are
-first compared with its least node only, and rows that are in one component by
-then need no comparing; what is left is compared pair by pair.
+Fingerprints (over the set's hashes, so that repeats have no weight) are read as
+in ``simhash``: distances to reference fingerprints are stored once, pairs are
+discarded by their largest difference, and survivors' own distance must be at
+most RADIUS bits. At similarity 0.8 a bit differs with a chance of 0.152, so 21
+of 64 bits or more differ in 2 pairs of 10,000. Blocks of bits don't select at
+that radius: pairs are brought together by BANDS bands of ROWS minima of the
+set (a pair at 0.8 shares none with a chance of 8 in 100,000).
+
+These candidates' components are only pools to look in. Within a pool the sets
+themselves are compared, in two steps that any number of tasks can share: all
+members with a few references, and then those that this has not joined to the
+pool's largest class with all members. What is in one class by then needs no
+comparing, so the links are whole, and only a forest of them is kept.
 """
 
 from __future__ import annotations
@@ -24,20 +28,26 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from acyclica.llm.links import components
+from acyclica.llm.links import components, forest
 from acyclica.llm.shared import stored
-from acyclica.llm.simhash import SEED, WORD
-from acyclica.llm.wordcache import drop_tokenizers
+from acyclica.llm.simhash import SEED, WORD, bucket_forest, distances
+from acyclica.llm.wordcache import drop_tokenizers, spread
 
 #: Words of a shingle.
 SHINGLE = 5
 #: The least similarity, as a fraction.
 SIMILAR = (4, 5)
-BANDS, ROWS = 32, 5
-#: Shingles whose minima are taken at a time.
-PART = 4096
-#: Pairs for each row of the bands that are compared without a round of least nodes, and such rounds at most.
-PAIRS, ROUNDS = 4, 3
+BANDS, ROWS = 18, 4
+#: Most differing bits of a candidate pair.
+RADIUS = 20
+#: Shingles whose minima are taken at a time; pairs of (shingle of one text, place in another) counted at a time.
+PART, CELLS = 4096, 1 << 22
+#: Rows of a band over which all its rows are candidates of its least.
+HOT = 2_000
+#: Members and shingles of a pool that one task searches alone; references of others' first step; members in a cell and a block of the second.
+ALONE, ALONE_SHINGLES, REFERENCES, CELL, BLOCK = 512, 2_000_000, 32, 256, 512
+#: Most rows that are sent to all tasks.
+MAX_BROADCAST = 1_000_000
 
 _rng = np.random.default_rng(SEED)
 _FLIP = _rng.integers(0, 1 << 32, BANDS * ROWS, np.uint32)[:, None]
@@ -57,84 +67,189 @@ def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     out = np.zeros(len(h) - size + 1, np.uint64)
     for i in range(size):
         out = out * _MULT + h[i : i + len(out)]
-    return np.unique(out)
+    return np.unique((out ^ (out >> np.uint64(29))) * _MULT)
+
+
+def set_fingerprint(found: np.ndarray) -> int:
+    """The SimHash of a set of hashes: the majority of each bit."""
+    ones = np.zeros(64, np.int64)
+    for lo in range(0, len(found), PART):
+        ones += np.unpackbits(found[lo : lo + PART].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(found), bitorder="little").view("<u8")[0])
 
 
 def band_keys(found: np.ndarray) -> np.ndarray:
     """A key for each band of a set that isn't empty."""
-    x = ((found ^ (found >> np.uint64(29))) * _MULT >> np.uint64(32)).astype(np.uint32)
+    x = (found >> np.uint64(32)).astype(np.uint32)
     least = np.full(BANDS * ROWS, np.uint32(0xFFFFFFFF))
     for lo in range(0, len(x), PART):
         least = np.minimum(least, ((x[lo : lo + PART] ^ _FLIP) * _TIMES).min(1))
     return (least.reshape(BANDS, ROWS).astype(np.uint64) * _KEY).sum(1, dtype=np.uint64) ^ _BAND
 
 
-def similar(a: np.ndarray, b: np.ndarray) -> bool:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both * SIMILAR[1] >= (len(a) + len(b) - both) * SIMILAR[0]
-
-
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     drop_tokenizers()
-    none = np.zeros(0, np.uint64)
+    none = np.zeros(0, np.int64)
     for b in batches:
-        digests, sizes, keys = [], [], []
+        digests, sizes, fps, keys = [], [], [], []
         for t in b.column(1):
             found = shingles(t.as_py())
-            digests.append(xxhash.xxh64_intdigest(found.tobytes(), SEED))
+            digests.append(xxhash.xxh3_128_digest(found.tobytes()))
             sizes.append(len(found))
-            keys.append((band_keys(found) if len(found) else none).view(np.int64))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(digests, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["_id", "_set", "_n", "_keys"])
+            fps.append(set_fingerprint(found))
+            keys.append(band_keys(found).view(np.int64) if len(found) else none)
+        fp = np.array(fps, np.uint64)
+        table = [x.tobytes() for x in distances(fp)]
+        yield pa.RecordBatch.from_arrays(
+            [b.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(fp.view(np.int64)), pa.array(table, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+            names=["_id", "_set", "_n", "_fp", "_d", "_keys"],
+        )
 
 
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    last, first = None, None
-    for batch in batches:
-        a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        keep = []
-        for i, x in enumerate(a):
-            if x != last:
-                last, first = x, shingles(batch.column(2)[i].as_py())
-            keep.append(similar(first, shingles(batch.column(3)[i].as_py())))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
+def _texts_to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        found = pa.array([shingles(t.as_py()).tobytes() for t in b.column(2)], pa.binary())
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), found], names=["_pool", "_id", "_shingles"])
+
+
+def similar_pairs(some: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
+    """(place in some, place in others) of all pairs of sets, none empty, with the least similarity."""
+    sizes = np.array([len(x) for x in some], np.int64)
+    keys, owner = np.concatenate(some), np.repeat(np.arange(len(some)), sizes)
+    order = np.argsort(keys, kind="stable")
+    keys, owner, out, lo = keys[order], owner[order], [], 0
+    while lo < len(others):
+        hi, cells = lo, 0
+        while hi < len(others) and (hi == lo or cells + (len(others[hi]) + 1) * len(some) <= CELLS):
+            cells += (len(others[hi]) + 1) * len(some)
+            hi += 1
+        part = others[lo:hi]
+        flat, n = np.concatenate(part), np.array([len(x) for x in part], np.int64)
+        who = np.repeat(np.arange(len(part)), n)
+        first = np.searchsorted(keys, flat)
+        held = np.searchsorted(keys, flat, "right") - first
+        both = np.bincount(np.repeat(who, held) * len(some) + owner[spread(first, held)], minlength=len(part) * len(some)).reshape(len(part), len(some))
+        b, a = np.nonzero(both * SIMILAR[1] >= (n[:, None] + sizes - both) * SIMILAR[0])
+        out.append(np.stack([a, b + lo], 1))
+        lo = hi
+    return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+
+
+def pool_links(ids: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+    """Links among the members of a pool whose components are those of all similar pairs."""
+    few = similar_pairs(sets[: min(REFERENCES, len(sets))], sets)
+    links = [ids[few]]
+    if len(sets) > REFERENCES:
+        root = np.arange(len(sets))
+        while True:  # least places of the classes so far
+            new = root.copy()
+            np.minimum.at(new, few[:, 0], root[few[:, 1]])
+            np.minimum.at(new, few[:, 1], new[few[:, 0]])
+            if (new == root).all():
+                break
+            root = new
+        rest = np.nonzero(root != np.bincount(root).argmax())[0]
+        if len(rest):
+            more = similar_pairs([sets[i] for i in rest.tolist()], sets)
+            links.append(np.stack([ids[rest[more[:, 0]]], ids[more[:, 1]]], 1))
+    out = np.concatenate(links)
+    return out[out[:, 0] != out[:, 1]]
+
+
+def _alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of whole pools, from rows sorted by pool."""
+    tree, pool, ids, sets = forest(), None, [], []
+    for b in batches:
+        for p, i, s in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if p != pool:
+                if len(ids) > 1:
+                    yield tree(pool_links(np.array(ids, np.int64), sets))
+                pool, ids, sets = p, [], []
+            ids.append(i)
+            sets.append(np.frombuffer(s, np.uint64))
+    if len(ids) > 1:
+        yield tree(pool_links(np.array(ids, np.int64), sets))
+
+
+def _versus(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between the references of a cell (role 0, first) and its members, from rows sorted by cell and role."""
+    tree, cell, held = forest(), None, ([], [])
+    ids, sets = [], []
+
+    def out() -> pa.RecordBatch:
+        pairs = similar_pairs(held[1], sets) if held[1] and sets else np.zeros((0, 2), np.int64)
+        links = np.stack([np.array(held[0], np.int64)[pairs[:, 0]], np.array(ids, np.int64)[pairs[:, 1]]], 1) if len(pairs) else pairs
+        return tree(links[links[:, 0] != links[:, 1]])
 
-def _pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Distinct (a, b), a < b, that share a key, aren't in one component yet and whose sizes allow the similarity."""
-    other = right.select("_key", F.col("_id").alias("_b"), F.col("_n").alias("_m"), F.col("_root").alias("_s"))
-    fits = F.least("_n", "_m") * SIMILAR[1] >= F.greatest("_n", "_m") * SIMILAR[0]
-    return left.join(other, "_key").filter((F.col("_id") < F.col("_b")) & (F.col("_root") != F.col("_s")) & fits).select(F.col("_id").alias("a"), F.col("_b").alias("b")).distinct()
+    for b in batches:
+        for p, salt, block, role, i, s in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if (p, salt, block) != cell or len(ids) >= CELL:
+                if ids:
+                    yield out()
+                ids, sets = [], []
+                if (p, salt, block) != cell:
+                    cell, held = (p, salt, block), ([], [])
+            (held[0] if role == 0 else ids).append(i)
+            (held[1] if role == 0 else sets).append(np.frombuffer(s, np.uint64))
+    if ids:
+        yield out()
+
+
+def _sent(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= MAX_BROADCAST else df
+
+
+def _compared(members: DataFrame, pools: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Links between all members of the large pools and those chosen of them, both in cells. pools: _pool, _cells, _blocks."""
+    here = members.join(_sent(pools), "_pool")
+    cells, blocks = F.sequence(F.lit(0), F.col("_cells") - 1), F.sequence(F.lit(0), F.col("_blocks") - 1)
+    refs = here.join(_sent(chosen), "_id", "left_semi").select("_pool", F.explode(cells).alias("_c"), F.pmod(F.xxhash64("_id", F.lit(2)), "_blocks").alias("_b"), F.lit(0).alias("_role"), "_id", "_shingles")
+    rows = here.select("_pool", F.pmod(F.xxhash64("_id", F.lit(1)), "_cells").alias("_c"), F.explode(blocks).alias("_b"), F.lit(1).alias("_role"), "_id", "_shingles")
+    both = refs.unionByName(rows)
+    return both.repartition("_pool", "_c", "_b").sortWithinPartitions("_pool", "_c", "_b", "_role").mapInArrow(_versus, "a long, b long")
+
+
+def _large(members: DataFrame, pools: DataFrame) -> DataFrame:
+    """Links of pools that are too large for a task."""
+    cells = F.ceil(F.greatest(F.col("_many") / CELL, F.col("_size") / ALONE_SHINGLES)).cast("long")
+    pools = stored(pools.select("_pool", "_many", cells.alias("_cells"), F.lit(1).cast("long").alias("_blocks")), "near-pools")
+    ids = members.select("_pool", "_id").join(_sent(pools.select("_pool", "_many")), "_pool")
+    first = ids.filter(F.pmod(F.xxhash64("_id", F.lit(3)), "_many") < REFERENCES).select("_id")
+    links = stored(_compared(members, pools, stored(first, "near-first")), "near-links")
+    named = stored(ids.join(components(links).toDF("_id", "_root"), "_id", "left").select("_pool", "_id", F.coalesce("_root", "_id").alias("_root")), "near-named")
+    main = named.groupBy("_pool", "_root").count().groupBy("_pool").agg(F.max(F.struct("count", "_root")).alias("_m")).select("_pool", F.col("_m._root").alias("_main"))
+    rest = stored(named.join(_sent(main), "_pool").filter("_root <> _main").select("_pool", "_id"), "near-rest")
+    blocks = rest.groupBy("_pool").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("_blocks"))
+    again = stored(pools.drop("_blocks").join(blocks, "_pool"), "near-again")
+    return links.unionByName(_compared(members, again, rest.select("_id")))
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: id (a unique long), component_id (the smallest id of the component).
 
-    Null, empty and blank texts have the empty set and are one class. Other
-    columns aren't looked at; an empty table gives an empty result. docs is read
-    several times: pass a stored table.
+    Null, empty and blank texts have the empty set and are one class; a very
+    long text is one set, built in one task. Other columns aren't looked at; an
+    empty table gives an empty result. docs is read twice: pass a stored table.
     """
     docs = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    sets = stored(docs.mapInArrow(_sets, "_id long, _set long, _n long, _keys array<long>"), "near-sets")
+    sets = stored(docs.mapInArrow(_sets, "_id long, _set binary, _n long, _fp long, _d binary, _keys array<long>"), "near-sets")
     nodes = stored(sets.groupBy("_set").agg(F.min("_id").alias("_node")), "near-nodes")
-    filed = sets.join(nodes, F.col("_id") == F.col("_node"), "left_semi").select("_id", "_n", F.explode("_keys").alias("_key"))
-    shared = filed.groupBy("_key").count().filter("count > 1").select("_key")
-    left = stored(filed.join(shared, "_key", "left_semi").withColumn("_root", F.col("_id")), "near-bands")
-    links = label = None
-    for k in range(ROUNDS + 1):
-        size = left.groupBy("_key").count().agg(F.sum("count"), F.sum(F.expr("count * (count - 1) / 2"))).first()
-        whole = k == ROUNDS or (size[1] or 0) <= PAIRS * (size[0] or 0)
-        centre = left.groupBy("_key").agg(F.min(F.struct("_id", "_n", "_root")).alias("_c")).select("_key", "_c.*")
-        pairs = stored(_pairs(left if whole else centre, left), "near-pairs")
-        used = stored(docs.join(pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct(), "_id", "left_semi"), "near-texts")
-        sides = pairs.join(used.toDF("b", "_tb"), "b").join(used.toDF("a", "_ta"), "a").select("a", "b", "_ta", "_tb")
-        found = sides.mapInArrow(_verified, "a long, b long")
-        links = stored(found if links is None else links.unionByName(found), "near-links")
-        label = components(links)
-        if whole:
-            break
-        rest = left.join(centre.select("_key", "_id"), ["_key", "_id"], "left_anti")
-        rest = rest.drop("_root").join(label.toDF("_id", "_r"), "_id", "left").select("_id", "_n", "_key", F.coalesce("_r", "_id").alias("_root"))
-        mixed = rest.groupBy("_key").agg(F.min("_root").alias("_x"), F.max("_root").alias("_y")).filter("_x <> _y").select("_key")
-        left = stored(rest.join(mixed, "_key", "left_semi"), "near-bands")
-    roots = nodes.join(label.toDF("_node", "_root"), "_node", "left").select("_set", F.coalesce("_root", "_node").alias("component_id"))
+    filed = sets.join(nodes.select(F.col("_node").alias("_id")), "_id", "left_semi").select("_id", "_fp", "_d", F.explode("_keys").alias("_key"))
+    filed = stored(filed.select("_key", "_id", "_fp", "_d"), "near-bands")
+    hot = stored(filed.groupBy("_key").agg(F.count("*").alias("_c"), F.min("_id").alias("_hub")).filter(F.col("_c") > HOT).select("_key", "_hub"), "near-hot")
+    cold = filed.join(_sent(hot.select("_key")), "_key", "left_anti")
+    found = cold.repartition("_key").sortWithinPartitions("_key", "_id").mapInArrow(bucket_forest(RADIUS, 1), "a long, b long")
+    found = found.unionByName(filed.join(_sent(hot), "_key").select(F.col("_id").alias("a"), F.col("_hub").alias("b")))
+    pool = components(found).select("root", "id")
+    pool = stored(pool.union(pool.select("root", "root").distinct()).toDF("_pool", "_id").join(sets.select("_id", "_n"), "_id"), "near-pool")
+    members = docs.join(_sent(pool.select("_id", "_pool")), "_id").select("_pool", "_id", "_text")
+    members = stored(members.mapInArrow(_texts_to_sets, "_pool long, _id long, _shingles binary"), "near-members")
+    pools = stored(pool.groupBy("_pool").agg(F.count("*").alias("_many"), F.sum("_n").alias("_size")), "near-sizes")
+    large = stored(pools.filter((F.col("_many") > ALONE) | (F.col("_size") > ALONE_SHINGLES)), "near-large")
+    small = members.join(_sent(large.select("_pool")), "_pool", "left_anti").repartition("_pool").sortWithinPartitions("_pool")
+    links = small.mapInArrow(_alone, "a long, b long")
+    if not large.isEmpty():
+        links = links.unionByName(_large(members, large))
+    label = components(links)
+    roots = stored(nodes.join(label.toDF("_node", "_root"), "_node", "left").select("_set", F.coalesce("_root", "_node").alias("component_id")), "near-roots")
     return sets.select("_id", "_set").join(roots, "_set").select(F.col("_id").alias(id_col), "component_id")

@@ -70,12 +70,25 @@ def test_links_of_dense_and_hot_buckets_equal_brute_force(spark):
     fps = sorted(x - (1 << 64) if x >> 63 else x for x in fps)
     as_u = [x & (1 << 64) - 1 for x in fps]
     roots = brute_components(len(fps), lambda a, b: (as_u[a] ^ as_u[b]).bit_count() <= 4)
-    frame = spark.createDataFrame([(x,) for x in fps], "_fp long")
+    table = simhash.distances(np.array(as_u, np.uint64))
+    frame = spark.createDataFrame([(x, bytearray(d.tobytes())) for x, d in zip(fps, table)], "_fp long, _d binary")
     for hot in (1000, 3):  # with 3, buckets are filed anew under finer blocks
         label = {r["id"]: r["root"] for r in components(simhash.fingerprint_links(frame, 4, hot=hot)).collect()}
         assert [label.get(x, x) for x in fps] == [fps[r] for r in roots]
 
 
+def test_pivots_discard_pairs_but_no_links():
+    rng = random.Random(3)
+    fps = np.array([rng.getrandbits(64) for _ in range(400)], np.uint64)
+    fps = np.concatenate([fps, fps[:60] ^ np.array([1 << rng.randrange(64) for _ in range(60)], np.uint64)])
+    some, none = [], []
+    links = simhash.bucket_links(fps, 4, simhash.distances(fps), some)
+    without = simhash.bucket_links(fps, 4, np.zeros((len(fps), simhash.N_PIVOTS), np.uint8), none)
+    classes = [brute_components(len(fps), lambda a, b, j={frozenset(x) for x in found}: frozenset((a, b)) in j) for found in (links, without)]
+    assert classes[0] == classes[1] == brute_components(len(fps), lambda a, b: int(fps[a] ^ fps[b]).bit_count() <= 4)
+    assert sum(some) * 100 < sum(none)  # pairs whose own distance had to be computed
+
+
 def test_components_of_a_long_path_and_a_star(spark):
     links = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 400)] + [(5, 5)]
     random.Random(4).shuffle(links)

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
@@ -37,9 +38,11 @@ def corpus():
     return out
 
 
-@pytest.mark.parametrize("pairs", [4, 0])
-def test_stage_drops_what_jaccard_links(spark, tmp_path, monkeypatch, pairs):
-    monkeypatch.setattr(near_copies, "PAIRS", pairs)  # 0: rounds of least nodes first
+@pytest.mark.parametrize("small", [False, True])
+def test_stage_drops_what_jaccard_links(spark, tmp_path, monkeypatch, small):
+    if small:  # pools in cells and blocks, bands over the limit, few references
+        for name, value in {"ALONE": 3, "REFERENCES": 2, "CELL": 2, "BLOCK": 2, "HOT": 3, "MAX_BROADCAST": 0}.items():
+            monkeypatch.setattr(near_copies, name, value)
     texts = corpus()
     sets = [brute_set(t) for t in texts]
     roots = brute_components(len(texts), lambda a, b: alike(sets[a], sets[b]))
@@ -51,3 +54,15 @@ def test_stage_drops_what_jaccard_links(spark, tmp_path, monkeypatch, pairs):
     fps = [fingerprint(t) for t in texts]
     far = brute_components(len(texts), lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 4)
     assert len(set(far)) > len(set(roots)) + 20  # the fingerprints' radius of 4 would keep these
+
+
+def test_pools_equal_brute_force():
+    texts = corpus()
+    found = [s for s in map(near_copies.shingles, texts) if len(s)]
+    pairs = near_copies.similar_pairs(found[:50], found)
+    want = [(a, b) for a in range(50) for b in range(len(found)) if 5 * len(np.intersect1d(found[a], found[b])) >= 4 * len(np.union1d(found[a], found[b]))]
+    assert sorted(map(tuple, pairs.tolist())) == want
+    links = near_copies.pool_links(np.arange(len(found)), found)
+    parent = brute_components(len(found), lambda a, b: alike(set(found[a].tolist()), set(found[b].tolist())))
+    joined = {(min(a, b), max(a, b)) for a, b in links.tolist()}
+    assert brute_components(len(found), lambda a, b: (min(a, b), max(a, b)) in joined) == parent

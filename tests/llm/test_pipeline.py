@@ -11,7 +11,8 @@ corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
 from acyclica.llm import decontaminate, packing  # noqa: E402
 from acyclica.llm.wordcache import PieceTokenizer  # noqa: E402
-from tests.llm.test_dedup import brute_chunks, brute_components, simple_fingerprint  # noqa: E402
+from tests.llm.test_dedup import brute_chunks, brute_components  # noqa: E402
+from tests.llm.test_near_copies import alike, brute_set  # noqa: E402
 from tests.llm.test_tables import brute_edits  # noqa: E402
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, _at string, edits int"
@@ -53,8 +54,8 @@ def test_stages_equal_brute_force(spark, tmp_path):
 
     assert sorted(map(key, language)) == sorted(key(r) for r in first if r["text"] and any(c.isalpha() for c in r["text"]))
 
-    fps = [simple_fingerprint(r["text"]) for r in language]
-    roots = brute_components(len(language), lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 4)
+    sets = [brute_set(r["text"]) for r in language]
+    roots = brute_components(len(language), lambda a, b: alike(sets[a], sets[b]))
     classes = defaultdict(list)
     for r, root in zip(language, roots):
         classes[root].append(r)
