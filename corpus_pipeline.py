@@ -49,9 +49,9 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     # classes are named by row numbers, which are unique; the least of (doc_id, row) stays
     classes = near_copies.near_copies(rows.select("_rid", "_text"), id_col="_rid", text_col="_text")
     named = rows.select("_rid", F.col("_row.doc_id").alias("doc_id")).join(classes, "_rid")
-    first = named.groupBy("component_id").agg(F.min("doc_id").alias("_least"))
-    kept = named.join(first, "component_id").filter(F.col("doc_id").eqNullSafe(F.col("_least"))).groupBy("component_id").agg(F.min("_rid").alias("_rid"))
-    return rows.join(kept.select("_rid"), "_rid", "left_semi").select("_row.*")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_rid"))
+    kept = named.groupBy("component_id").agg(least.alias("_least")).select(F.col("_least._rid").alias("_rid"))
+    return rows.join(kept, "_rid", "left_semi").select("_row.*")
 
 
 @_stage
