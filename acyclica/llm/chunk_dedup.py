@@ -25,8 +25,8 @@ from acyclica.llm.spans import cut, numbered
 from acyclica.llm.wordcache import drop_tokenizers
 
 #: Chunk sizes in bytes: none under MIN but a text's last, cuts one place in EARLY up to NORMAL and one in LATE from there, none over MAX.
-MIN, NORMAL, MAX = 8, 64, 160
-EARLY, LATE = 32, 8
+MIN, NORMAL, MAX = 16, 64, 160
+EARLY, LATE = 64, 8
 #: Digests that a task remembers; the shuffle finds the repeats of others.
 REMEMBERED = 1_000_000
 #: Bytes hashed at a time.
@@ -67,24 +67,24 @@ def cuts(data: bytes) -> list[int]:
         hit = np.nonzero(((h & np.uint32(LATE - 1)) == 0) & free)[0]
         loose.append(hit + lo + 1)
         strict.append((h[hit] & np.uint32(EARLY - 1)) == 0)
+    def fallback(at: int) -> int:
+        """Where no hash gives a cut: the place of the least hash within reach, so that it depends on the bytes and not on the place."""
+        from_ = max(0, at + MIN - WINDOW)
+        h = gear(b[from_ : at + MAX])[at + MIN - 1 - from_ :]
+        free = (b[at + MIN : at + MAX + 1] & 0xC0) != 0x80
+        return at + MIN + int(np.where(free[: len(h)], h.astype(np.int64), 1 << 32).argmin())
+
     out, at = [], 0
-    fallback = MAX - 4  # a character has at most 4 bytes
     for p, s in zip(np.concatenate(loose).tolist(), np.concatenate(strict).tolist(), strict=True):
         while p - at > MAX:
-            q = at + fallback
-            while data[q] & 0xC0 == 0x80:
-                q += 1
-            out.append(q)
-            at = q
+            at = fallback(at)
+            out.append(at)
         if p - at >= (MIN if s else NORMAL):
             out.append(p)
             at = p
     while n - at > MAX:
-        q = at + fallback
-        while data[q] & 0xC0 == 0x80:
-            q += 1
-        out.append(q)
-        at = q
+        at = fallback(at)
+        out.append(at)
     if at < n:
         out.append(n)
     return out
@@ -139,11 +139,12 @@ def repeated_chunks(rows: DataFrame) -> DataFrame:
     return dealt.sortWithinPartitions("_key", "_rid", "s").mapInArrow(_repeats, "_rid long, s int, e int")
 
 
-def dedup_chunks(docs: DataFrame, min_run: int = 48, text_col: str = "text") -> DataFrame:
+def dedup_chunks(docs: DataFrame, min_run: int = 96, text_col: str = "text") -> DataFrame:
     """Each row of docs as _row, with n_bytes, n_removed, n_spans, kept (binary, valid UTF-8) and spans (byte offsets removed).
 
     Of repeated rows the first keeps its text. A null text counts as an empty
-    one; texts shorter than min_run bytes are never cut. All columns are inside
+    one; texts shorter than min_run bytes are never cut; a very long text is
+    chunked whole, PART bytes hashed at a time. Ids aren't looked at. All columns are inside
     _row, so their names can't clash; an empty table gives an empty result.
     """
     rows = numbered(docs, "chunk-docs", text_col)

@@ -22,14 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from acyclica.llm.wordcache import drop_tokenizers
+from acyclica.llm.wordcache import drop_tokenizers, spread
 
 Q = 8
 #: Edits for each byte of an item.
 RATE = 0.1
 BLOCK_BYTES = 4 << 20
-#: Bytes of documents looked up at a time.
-PART = 1 << 18
+#: Bytes of documents looked up at a time; pairs of equal grams counted at a time.
+PART, PAIRS = 1 << 18, 1 << 20
 SPACE = re.compile(rb"[\x20\x09-\x0d]+")
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -114,14 +114,21 @@ class GramIndex:
         k = np.searchsorted(self.grams, g[at])
         hit = self.grams[np.minimum(k, len(self.grams) - 1)] == g[at]
         at, k = at[hit], k[hit]
-        count = self.count[k]
-        flat = np.repeat(self.first[k] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-        item, diagonal = self.item[flat], np.repeat(at, count) - self.place[flat]
-        band = diagonal // self.width[item]  # bands b and b - 1 hold it
         low = -(int(self.size.max(initial=0)) + 2)
         span = len(data) + 4 - 2 * low
-        key = item * span + (band - low)
-        keys, counts = np.unique(key, return_counts=True)
+        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        upto = np.cumsum(self.count[k])
+        lo = 0
+        while lo < len(k):  # a gram that is often in both has many pairs of places: PAIRS at a time, more only for one place
+            hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + PAIRS, "right")))
+            count = self.count[k[lo:hi]]
+            flat = spread(self.first[k[lo:hi]], count)
+            item, diagonal = self.item[flat], np.repeat(at[lo:hi], count) - self.place[flat]
+            band = diagonal // self.width[item]  # bands b and b - 1 hold it
+            key, n = np.unique(item * span + (band - low), return_counts=True)
+            keys, place = np.unique(np.concatenate([keys, key]), return_inverse=True)
+            counts = np.bincount(place, np.concatenate([counts, n]), len(keys)).astype(np.int64)
+            lo = hi
         beside = np.searchsorted(keys, keys + 1)
         beside = np.where(beside < len(keys), beside, 0)
         both = counts + np.where(keys[beside] == keys + 1, counts[beside], 0) if len(keys) else counts
@@ -196,7 +203,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, q: int
 
     An item of n bytes is held if some part of the document is within
     budget(n) edits of it. Items shorter than a q-gram are no evidence and are
-    passed over, like null texts on either side. Repeated rows and items each
+    passed over, like null texts on either side. Very long texts are read whole,
+    in pieces that overlap. Repeated rows and items each
     give their rows; null ids stay null; other columns aren't looked at; an
     empty table on either side gives an empty result.
     """

@@ -1,9 +1,11 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-The network reads windows of WINDOW bytes in both directions, labels every byte
-with a distribution over the languages, and a document's probabilities are the
-means over all bytes of its whole text. It is trained here in numpy by
-backpropagation through time on windows of labelled rows.
+The network reads windows in both directions, labels every byte with a
+distribution over the languages, and a document's probabilities are the means
+over all bytes of its whole text. Windows overlap by CONTEXT bytes at both ends,
+which are read but not counted, so that each labelled byte has that much text on
+either side. The network is trained here in numpy by backpropagation through
+time on windows from anywhere in the labelled rows' whole texts.
 """
 
 from __future__ import annotations
@@ -17,10 +19,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from acyclica.llm.wordcache import drop_tokenizers
+from acyclica.llm.wordcache import drop_tokenizers, spread
 
-#: Bytes that the network reads in one go, from a fresh state.
-WINDOW = 64
+#: Bytes of a window that is learned from; bytes labelled in one go, and read before and after them.
+WINDOW, LABELLED, CONTEXT = 64, 256, 16
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
 GATES = ("r", "z", "n")
@@ -28,9 +30,10 @@ GATES = ("r", "z", "n")
 
 @dataclass(frozen=True)
 class Training:
-    """``docs_per_lang`` bounds the sample (as an expected number): rows are drawn by a hash of their id, windows from four places of each."""
+    """``docs_per_lang`` and ``windows_per_lang`` bound the sample (as expected numbers): rows are drawn by a hash of their id, and windows by a hash from all of their whole texts."""
 
     docs_per_lang: int = 400
+    windows_per_lang: int = 1600
     hidden: int = 8
     epochs: int = 4
     batch: int = 128
@@ -171,15 +174,27 @@ def windows(texts: list[bytes], size: int = WINDOW) -> tuple[np.ndarray, np.ndar
     return np.ascontiguousarray(grid.T), mask, owner
 
 
-def pooled(net: Network, texts: list[bytes], part: int = 2048) -> np.ndarray:
+def pooled(net: Network, texts: list[bytes], part: int = 768) -> np.ndarray:
     """Mean probabilities of each text over all its bytes; zeros for an empty one."""
     out = np.zeros((len(texts), len(net.langs)))
-    data, mask, owner = windows(texts)
-    for lo in range(0, len(owner), part):
-        d, m = data[:, lo : lo + part], mask[:, lo : lo + part]
-        y, _ = net.label(d, None if m.all() else m)
-        np.add.at(out, owner[lo : lo + part], np.einsum("tnl,tn->nl", y, m))
-    return out / np.maximum(1, [len(t) for t in texts])[:, None]
+    size = np.array([len(t) for t in texts], np.int64)
+    flat = np.frombuffer(b"".join(texts), np.uint8)
+    counts = -(-size // LABELLED)
+    owner = np.repeat(np.arange(len(texts)), counts)
+    first = np.cumsum(size) - size
+    lo = spread(np.zeros(len(texts), np.int64), counts) * LABELLED  # of the labelled bytes, in the text
+    begin, end = np.maximum(0, lo - CONTEXT), np.minimum(size[owner], lo + LABELLED + CONTEXT)
+    order = np.argsort(end - begin, kind="stable")  # windows of like lengths together
+    for at in range(0, len(order), part):
+        w = order[at : at + part]
+        time = np.arange(int((end - begin)[w].max()))[:, None]
+        place = begin[w] + time
+        there = place < end[w]
+        data = flat[np.where(there, first[owner[w]] + place, 0)]
+        y, _ = net.label(data, None if there.all() else there.astype(np.float32))
+        counted = there & (place >= lo[w]) & (place < lo[w] + LABELLED)
+        np.add.at(out, owner[w], np.einsum("tnl,tn->nl", y, counted.astype(np.float32)))
+    return out / np.maximum(1, size)[:, None]
 
 
 def has_letter(text: str | None) -> bool:
@@ -215,15 +230,24 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(labelled: DataFrame, text_col: str, lang_col: str, key: Column, how: Training = Training()) -> Network | None:
-    """A network from a bounded sample of rows with text and language; None if there are none. Every language is learned; the driver gets one row and at most about docs_per_lang x 4 windows a language."""
+    """A network from a bounded sample of rows with text and language; None if there are none. Every language is learned; the driver gets one row and about windows_per_lang windows a language."""
     rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), key.alias("key"))
-    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
+    rows = rows.withColumn("windows", F.ceil(F.length("text") / WINDOW).cast("long"))
+    counts = {r[0]: (r[1], r[2]) for r in rows.groupBy("lang").agg(F.count("*"), F.sum("windows")).collect()}
     if not counts:
         return None
-    shares = rows.sparkSession.createDataFrame([(lang, min(1.0, how.docs_per_lang / n)) for lang, n in counts.items()], "lang string, share double")
-    drawn = rows.join(F.broadcast(shares), "lang").filter(F.pmod(F.xxhash64("key", F.lit(how.seed)), F.lit(1_000_000)) < F.col("share") * 1_000_000)
-    pieces = F.array(*[F.substring(F.col("text"), F.floor(F.length("text") * k / 4).cast("int") + 1, F.lit(WINDOW)) for k in range(4)])
-    sample = sorted((r[0], r[1]) for r in drawn.select("lang", F.explode(F.array_distinct(pieces)).alias("piece")).filter("length(piece) > 0").collect())
+    docs = {lang: min(1.0, how.docs_per_lang / n) for lang, (n, _) in counts.items()}
+    shares = [(lang, docs[lang], min(1.0, how.windows_per_lang / (docs[lang] * w))) for lang, (_, w) in counts.items()]
+    shares = rows.sparkSession.createDataFrame(shares, "lang string, share double, part double")
+
+    def lot(*cols):
+        return F.pmod(F.xxhash64(*cols, F.lit(how.seed)), F.lit(1_000_000)) / 1_000_000
+
+    drawn = rows.join(F.broadcast(shares), "lang").filter(lot("key") < F.col("share"))
+    places = drawn.select("lang", "text", "key", "part", "windows", F.explode(F.sequence(F.lit(0).cast("long"), F.col("windows") - 1)).alias("at"))
+    taken = places.filter(lot("key", "at") < F.col("part"))
+    piece = F.substring(F.col("text"), (F.col("at") * WINDOW).cast("int") + 1, F.lit(WINDOW))
+    sample = sorted((r[0], r[1]) for r in taken.select("lang", piece.alias("piece")).collect())
     langs = sorted({lang for lang, _ in sample})
     if not langs:
         return None
@@ -239,8 +263,8 @@ def predict(docs: DataFrame, net: Network | None, keep: list[str], text_col: str
 
     A null text and one without a letter are 'und' with score 0, and so is every
     text if there was nothing to learn from. Only the text is read for a
-    prediction; repeated rows each get their row; an empty table gives an empty
-    result.
+    prediction; a very long text is read whole, in one task; repeated rows each
+    get their row; an empty table gives an empty result.
     """
     kinds = dict(docs.dtypes)
     names = [f"_keep{i}" for i in range(len(keep))]

@@ -15,7 +15,7 @@ d AS (SELECT doc_id, coalesce(source, '') AS source, source IS NULL AS no_source
 b AS (SELECT d.*, list_transform(range(0, length(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT)) AS bytes FROM d),
 c AS (SELECT b.*, xor(list_reduce(list_prepend(4294967295, bytes), lambda a, x: xor(a >> 8, crc.t[(xor(a, x) & 255) + 1])), 4294967295) AS text_crc32, strlen(text) + 16 AS size FROM b, crc),
 r AS (SELECT *, row_number() OVER (PARTITION BY source, no_source ORDER BY m, size, text_crc32) - 1 AS rank, count(*) OVER (PARTITION BY source, no_source) AS n FROM c),
-g AS (SELECT *, row_number() OVER (ORDER BY (rank + 0.5::DOUBLE) / n, no_source DESC, source, rank) - 1 AS g, count(*) OVER () AS total FROM r),
+g AS (SELECT *, row_number() OVER (ORDER BY (rank + CAST('0x' || substr(md5('42:' || CASE WHEN no_source THEN '' ELSE 's' || source END), 1, 8) AS BIGINT) / 4294967296::DOUBLE) / n, no_source DESC, source, rank) - 1 AS g, count(*) OVER () AS total FROM r),
 s AS (SELECT *, CAST(g * {N_SHARDS} // total AS INTEGER) AS shard FROM g)
 SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'rows' AS law, shard, CAST(row_number() OVER (PARTITION BY shard ORDER BY g) - 1 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM s
 """
@@ -42,9 +42,9 @@ x AS (SELECT *, base_failed OR 100 * n_symbols > {_L.max_symbol_percent} * word_
 h AS (SELECT host, count(*) AS n, count(*) FILTER (failed) AS bad FROM x GROUP BY host),
 m AS (SELECT avg(bad / n) AS mean, coalesce(var_samp(bad / n), 0) - avg(bad / n) * (1 - avg(bad / n)) * avg(1 / n) AS spread FROM h),
 q AS (SELECT mean, CASE WHEN spread > 0 THEN least(1e6, greatest(1.0, mean * (1 - mean) / spread - 1)) ELSE 1e6 END AS weight FROM m),
-v AS (SELECT h.host, (bad + weight * mean) / (n + weight) AS rate FROM h, q)
+v AS (SELECT h.host, (bad + weight * mean) / (n + weight) AS rate, mean FROM h, q)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
-  CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND rate <= {_L.max_host_rate} AS kept FROM x JOIN v ON v.host = x.host
+  CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND rate <= {_L.max_host_rate} AND rate <= {_L.max_host_ratio} * mean + 1e-9 AS kept FROM x JOIN v ON v.host = x.host
 """
 
 ORACLES: dict[str, str] = {"op2_sharding": _SHARD, "op3_url_filter": _URLS, "op8_quality_rules": _QUALITY}

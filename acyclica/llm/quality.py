@@ -3,7 +3,9 @@
 Each document is judged by rules on its own words and lines. Rule failures are
 then counted by host; each host's failure rate is shrunk towards the mean of all
 hosts by a beta prior fitted to the hosts' rates (method of moments), and the
-documents of hosts whose shrunk rate is over a limit go too.
+documents of hosts whose shrunk rate is over a limit, or far over that mean, go
+too. Where hosts don't differ by more than chance, all have the mean's rate and
+none fails.
 """
 
 from __future__ import annotations
@@ -29,8 +31,9 @@ class Limits:
     #: Host-level rules only: symbols per 100 word characters, repeated lines per 100 lines with words.
     max_symbol_percent: int = 10
     max_dup_line_percent: int = 30
-    #: A host goes if its shrunk failure rate is over this.
+    #: A host goes if its shrunk failure rate is over this, or over so many times the mean of all hosts.
     max_host_rate: float = 0.5
+    max_host_ratio: float = 2.0
 
 
 def words_of(text: Column) -> Column:
@@ -85,7 +88,7 @@ def document_rules(docs: DataFrame, limits: Limits = Limits(), id_col: str = "do
 
 
 def host_rates(rules: DataFrame) -> DataFrame:
-    """_host, host_docs, host_failed, host_rate: the failure rate of each host under the empirical beta prior."""
+    """_host, host_docs, host_failed, host_rate (the failure rate of each host under the empirical beta prior), mean_rate (the prior's mean)."""
     hosts = rules.groupBy("_host").agg(F.count("*").alias("host_docs"), F.sum(F.col("rule_failed").cast("int")).alias("host_failed"))
     rate = F.col("host_failed") / F.col("host_docs")
     m = hosts.agg(F.avg(rate).alias("mean"), F.var_samp(rate).alias("var"), F.avg(1 / F.col("host_docs")).alias("noise")).first()
@@ -93,17 +96,20 @@ def host_rates(rules: DataFrame) -> DataFrame:
     # the hosts' own spread: what is left of the variance without the binomial noise
     spread = (m["var"] or 0.0) - mean * (1 - mean) * (m["noise"] or 0.0)
     weight = min(1e6, max(1.0, mean * (1 - mean) / spread - 1)) if spread > 0 else 1e6
-    return hosts.withColumn("host_rate", (F.col("host_failed") + F.lit(weight * mean)) / (F.col("host_docs") + F.lit(weight)))
+    return hosts.withColumn("host_rate", (F.col("host_failed") + F.lit(weight * mean)) / (F.col("host_docs") + F.lit(weight))).withColumn("mean_rate", F.lit(mean))
 
 
 def judge_quality(docs: DataFrame, limits: Limits = Limits(), id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """document_rules with host_rate and kept: no base failure, and the host's shrunk rate is at most the limit.
+    """document_rules with host_rate and kept: no base failure, and the host's shrunk rate is within the limits.
 
     A null text counts as an empty one (it fails), a null host as a host of its
     own. Repeated rows each count and each get their row; an empty table gives
-    an empty result; other columns aren't looked at. Verdicts of hosts need all
-    their documents, counted with partial sums, so a hot host is no hot task.
+    an empty result; other columns aren't looked at; a very long text is judged
+    whole, in one task. Hosts are counted with partial sums and stored, so that
+    Spark knows their size: few are sent to all tasks, and of many a hot host's
+    rows can be split.
     """
     rules = stored(document_rules(docs, limits, id_col, text_col, host_col), "quality-rules")
-    hosts = host_rates(rules).select("_host", "host_rate")
-    return rules.join(hosts, "_host").withColumn("kept", ~F.col("base_failed") & (F.col("host_rate") <= limits.max_host_rate)).withColumnRenamed("_host", "host")
+    hosts = stored(host_rates(rules).select("_host", "host_rate", "mean_rate"), "quality-hosts")
+    within = (F.col("host_rate") <= limits.max_host_rate) & (F.col("host_rate") <= limits.max_host_ratio * F.col("mean_rate") + 1e-9)
+    return rules.join(hosts, "_host").withColumn("kept", ~F.col("base_failed") & within).drop("mean_rate").withColumnRenamed("_host", "host")

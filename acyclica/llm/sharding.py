@@ -1,7 +1,9 @@
 """Proportional stratified interleaving into shards, with DataFrame functions only.
 
 Rows are shuffled within their source by a seeded digest and ranked there; the
-row with rank r of n has the fraction (r + 1/2) / n. All rows in the order of
+row with rank r of n has the fraction (r + u) / n, with a u in [0, 1) that the
+seed draws for its source (the rows of many small sources don't meet in the
+middle). All rows in the order of
 this fraction mix the sources in proportion at every place, so equal cuts of
 that order give shards that all match the mixture, with row counts at most one
 apart. Both orders are made in buckets (a hot source spreads over many tasks).
@@ -29,7 +31,8 @@ def shard(docs: DataFrame, n_shards: int = 40, seed: int = 42, id_col: str = "do
     counts as an empty one. A null source is a source of its own. Equal ids are
     ordered by size and CRC; rows alike in these too are interchangeable. With
     fewer rows than shards some shards stay empty; an empty table gives an
-    empty result. Other columns are not looked at, whatever their names.
+    empty result. A very long text only counts with its size. Other columns are
+    not looked at, whatever their names.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
@@ -45,7 +48,8 @@ def shard(docs: DataFrame, n_shards: int = 40, seed: int = 42, id_col: str = "do
     buckets = min(MAX_BUCKETS, max(1, math.ceil(total / BUCKET_ROWS)))
     sources = F.broadcast(sources) if sources.count() <= MAX_SOURCES else sources
     ranked = running_sum(rows.withColumn("_b", hash_bucket("_h", buckets)), ["_source"], "_b", ["_h", "size", "text_crc32"], "1", "rank")
-    ranked = ranked.join(sources, "_source").withColumn("share", (F.col("rank") + F.lit(0.5)) / F.col("_n"))
+    start = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("_source"))), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
+    ranked = ranked.join(sources, "_source").withColumn("share", (F.col("rank") + start) / F.col("_n"))
     ranked = stored(ranked.withColumn("_k", F.least(F.floor(F.col("share") * buckets), F.lit(buckets - 1)).cast("int")).drop("_b", "_n"), "shard-ranks")
     placed = running_sum(ranked, [], "_k", ["share", "_source", "rank"], "1", "_g")
     placed = placed.withColumn("shard", F.expr(f"cast(_g * {n_shards} div {max(total, 1)} as int)"))

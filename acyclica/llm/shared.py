@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import tempfile
 import uuid
 
@@ -12,12 +13,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 _scratch: list[tuple[SparkSession, str]] = []
+#: Path -> the table of the catalogue that is stored there.
+_named: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (local runs and tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset on one machine (local runs and tests)."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = folder.get() if folder.isDefined() else tempfile.mkdtemp(prefix="acyclica-")
         spark.conf.set("spark.checkpoint.dir", folder)
@@ -37,6 +42,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def scratch_table(spark: SparkSession, path: str) -> str:
+    """The name of a table to be saved at that scratch path: release() drops it from the catalogue."""
+    _named[path] = path.rpartition("/")[2].replace("-", "_")
+    return _named[path]
+
+
 def scratch_count() -> int:
     return len(_scratch)
 
@@ -48,6 +59,8 @@ def release(first: int = 0, end: int | None = None) -> None:
             continue
         _scratch[i] = (spark, "")
         with contextlib.suppress(Exception):
+            if path in _named:
+                spark.sql(f"DROP TABLE IF EXISTS `{_named.pop(path)}`")
             jvm = spark.sparkContext._jvm
             at = jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

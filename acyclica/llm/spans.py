@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from acyclica.llm.shared import scratch_path, stored
+from acyclica.llm.shared import scratch_path, scratch_table, stored
 
 SPANS = "array<struct<s:int,e:int>>"
 
@@ -24,7 +24,7 @@ def numbered(docs: DataFrame, name: str, text_col: str = "text", bucketed: bool
     if bucketed:
         spark = docs.sparkSession
         n, path = int(spark.conf.get("spark.sql.shuffle.partitions")), scratch_path(spark, name)
-        called = path.rpartition("/")[2].replace("-", "_")
+        called = scratch_table(spark, path)
         rows.repartition(n, "_rid").write.bucketBy(n, "_rid").format("parquet").option("path", path).saveAsTable(called)
         rows = spark.table(called)
     else:

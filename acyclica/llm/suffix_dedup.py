@@ -51,7 +51,7 @@ def _letters() -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(bytes([b]), 11) for b in range(256)], np.uint64)
 
 
-LETTERS, BASE = _letters(), 0x9E3779B97F4A7C15
+LETTERS, BASE, OTHER_BASE = _letters(), 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -72,10 +72,10 @@ def mix(h: np.ndarray) -> np.ndarray:
 class Rolling:
     """Hashes of any substrings of one text, from one pass over it."""
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, data: np.ndarray, base: int = BASE):
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(LETTERS[data] * _power(BASE, len(data))[: len(data)], out=self.sums[1:])
-        self.back = _power(pow(BASE, -1, 1 << 64), len(data))
+        np.cumsum(LETTERS[data] * _power(base, len(data))[: len(data)], out=self.sums[1:])
+        self.back = _power(pow(base, -1, 1 << 64), len(data))
 
     def at(self, start, n) -> np.ndarray:
         return mix((self.sums[start + n] - self.sums[start]) * self.back[start])
@@ -291,12 +291,13 @@ class SuffixArray:
                 stack.append((value, left))
 
 
-FOUND = pa.schema([("_h", pa.int64()), ("_rid", pa.int64()), ("s", pa.int32()), ("e", pa.int32())])
-FOUND_SQL = "_h long, _rid long, s int, e int"
+FOUND = pa.schema([("_h", pa.int64()), ("_g", pa.int64()), ("_rid", pa.int64()), ("s", pa.int32()), ("e", pa.int32())])
+FOUND_SQL = "_h long, _g long, _rid long, s int, e int"
 
 
-def _found(h, rid, s, e) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(rid, pa.int64()), pa.array(s, pa.int32()), pa.array(e, pa.int32())], schema=FOUND)
+def _found(h, g, rid, s, e) -> pa.RecordBatch:
+    """Spans; with two hashes of independent bases, windows that are repeats if others have both."""
+    return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(g, pa.int64()), pa.array(rid, pa.int64()), pa.array(s, pa.int32()), pa.array(e, pa.int32())], schema=FOUND)
 
 
 def _search(length: int, batch: int):
@@ -332,12 +333,12 @@ def _search(length: int, batch: int):
                     rids.append(rid)
                     starts.append(lo + a)
                     ends.append(lo + b)
-        return _found([None] * len(rids), rids, starts, ends) if rids else None
+        return _found([None] * len(rids), [None] * len(rids), rids, starts, ends) if rids else None
 
     def windows(rid: int, lo: int, text: bytes) -> pa.RecordBatch:
-        h = Rolling(np.frombuffer(text, np.uint8)).all(length).view(np.int64)
+        h, g = (Rolling(np.frombuffer(text, np.uint8), base).all(length).view(np.int64) for base in (BASE, OTHER_BASE))
         at = np.arange(lo, lo + len(h), dtype=np.int32)
-        return _found(h, np.full(len(h), rid), at, at + np.int32(length))
+        return _found(h, g, np.full(len(h), rid), at, at + np.int32(length))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups, size, own, key, spilt = [], 0, 0, None, False
@@ -345,7 +346,7 @@ def _search(length: int, batch: int):
         for b in batches:
             for a, rid, lo, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if a is None:
-                    yield _found([None], [rid], [lo], [lo + int.from_bytes(text, "little")])
+                    yield _found([None], [None], [rid], [lo], [lo + int.from_bytes(text, "little")])
                     continue
                 if a != key:
                     if len(group[0]) > 1:
@@ -386,8 +387,9 @@ def repeated_spans(rows: DataFrame, length: int = 200, batch: int = BATCH) -> Da
     windows = spans.filter("_h is not null")
     out = spans.filter("_h is null").select("_rid", "s", "e")
     if not windows.isEmpty():
-        twice = windows.groupBy("_h").count().filter("count > 1").select("_h")
-        out = out.unionByName(windows.join(twice, "_h").select("_rid", "s", "e"))
+        # stored: Spark knows its size, and can split the rows of a hot window
+        twice = stored(windows.groupBy("_h", "_g").count().filter("count > 1").select("_h", "_g"), "suffix-twice")
+        out = out.unionByName(windows.join(twice, ["_h", "_g"]).select("_rid", "s", "e"))
     return out
 
 
@@ -396,7 +398,8 @@ def dedup_substrings(docs: DataFrame, length: int = 200, text_col: str = "text")
 
     Texts are judged as UTF-8 bytes; a null text counts as an empty one, and a
     repeated row repeats each of its strings. Kept bytes may be cut inside a
-    character. All columns are inside _row, so their names can't clash; an empty
+    character. A very long text is dealt in pieces of PART bytes that overlap by a
+    window. Ids aren't looked at. All columns are inside _row, so their names can't clash; an empty
     table gives an empty result. ``length`` must be over ANCHOR.
     """
     if length <= ANCHOR:

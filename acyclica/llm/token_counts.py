@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from acyclica.llm.shared import scratch_path
+from acyclica.llm.shared import scratch_path, stored
 from acyclica.llm.wordcache import piece_tokenizer
 
 CACHE = "tokenizer string, digest binary, n_tokens long"
@@ -66,7 +66,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, id_c
 
     ``tokenizer`` is the path of a tokenizers file that each executor has;
     ``cache`` a Parquet folder in a store that all share (none: a scratch one).
-    Null and empty texts have 0 tokens and bytes. Repeated rows each get their
+    Null and empty texts have 0 tokens and bytes; a very long text is encoded
+    whole, in one task. Repeated rows each get their
     row; null ids stay null; other columns are not looked at, whatever their
     names. An empty table gives an empty result. If a run is repeated after a
     failure, the cache may hold a digest twice with the same count; readers
@@ -83,6 +84,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, id_c
         texts = texts.join(known.select("digest"), "digest", "left_anti")
     texts.repartition("digest").mapInArrow(_encoder(tokenizer, version), CACHE).write.mode("append").parquet(cache)
     counts = read_cache(spark, cache).filter(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    counts = stored(counts, "token-counts")  # of known size: rows of a hot digest can be split
     return (
         docs.select(F.col(id_col), F.octet_length(text).cast("long").alias("n_bytes"), digest.alias("digest"))
         .join(counts, "digest", "left")

@@ -129,7 +129,7 @@ def _joined(rows: DataFrame, rules: DataFrame, default: str) -> DataFrame:
     prefix = F.filter(F.array(*[F.when(F.octet_length("path") >= n, F.expr(f"cast(substring(cast(path as binary), 1, {n}) as string)")) for n in lengths]), lambda x: x.isNotNull())
     each = rows.withColumn("_row", F.monotonically_increasing_id()).select("*", F.explode(F.flatten(F.transform(suffixes, lambda h: F.transform(prefix, lambda p: F.concat(h, p))))).alias("_c"))
     hits = each.select("_c", "host", "path").distinct().join(rules.withColumnRenamed("rule", "_c"), "_c")
-    best = hits.groupBy("host", "path").agg(F.max_by(F.struct("_c", "_v"), F.octet_length("_c")).alias("_best"))
+    best = hits.groupBy("host", "path").agg(F.max_by(F.struct("_c", "_v"), F.struct(F.octet_length("_c"), F.octet_length(F.substring_index("_c", "/", 1)))).alias("_best"))
     out = rows.join(best, ["host", "path"], "left")
     return out.select(*rows.columns, F.col("_best._c").alias("rule"), F.coalesce(F.col("_best._v"), F.lit(default)).alias("verdict"))
 
@@ -139,7 +139,8 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]] | DataFrame, defau
 
     ``rules`` are (verdict, rule) pairs or a frame with these columns; a rule is
     'host/path prefix', fits that host and its subdomains, and the longest one
-    that fits decides (of equal rules the last). A URL that none fits gets
+    that fits decides (of equal lengths the one with the longer host, of equal
+    rules the last); very long URLs are read whole. A URL that none fits gets
     ``default`` and a null rule; a null URL or one without '://' has empty host
     and path and fits none. Repeated rows and null ids each get their row; other
     columns aren't looked at; an empty table gives an empty result.

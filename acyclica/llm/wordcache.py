@@ -37,7 +37,7 @@ KEEPS_SPACE = re.compile(rf" ?[{LETTERS}]+(?=[{OTHER_ASCII}]|\Z)| ?[^ \t\n]+|[ \
 #: A word's Latin letters at the front and what follows, if an ASCII character other than a letter does (for Arrow's regular expressions).
 FRONT = rf"^(?P<l> ?[{LETTERS}]+)(?P<r>[\x00-\x08\x0b-\x40\x5b-\x60\x7b-\x7f][^\t\n]*)?$"
 #: Bytes of texts encoded at a time; words merged at a time.
-PART, ROWS = 4 << 20, 1 << 14
+PART, ROWS = 1 << 20, 1 << 14
 MULTIPLIER, U32 = np.uint64(0x9E3779B97F4A7C15), np.uint64(32)
 
 

@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from acyclica.llm import chunk_dedup, simhash, suffix_dedup
 from acyclica.llm.links import components
@@ -189,11 +190,51 @@ def test_gear_and_cuts():
     chunk_dedup.PART = part
 
 
+def brute_cuts(data):
+    """The rules of the cuts, a byte at a time."""
+    gear, low, high = [xxhash.xxh32_intdigest(bytes([x]), 7) for x in range(256)], 16, 160
+
+    def h(end):
+        out = 0
+        for x in data[max(0, end - 16) : end]:
+            out = (2 * out + gear[x]) % 2**32
+        return out
+
+    whole = lambda end: end >= len(data) or data[end] & 0xC0 != 0x80
+    out, at = [], 0
+    while len(data) - at > low:
+        for end in range(at + low, min(at + high, len(data) - 1) + 1):
+            key = h(end) >> 8
+            if whole(end) and end < len(data) and key % (64 if end - at < 64 else 8) == 0:
+                break
+        else:
+            if len(data) - at <= high:
+                break
+            end = min((x for x in range(at + low, at + high + 1) if whole(x)), key=lambda x: (h(x), x))
+        out.append(end)
+        at = end
+    return out + ([len(data)] if at < len(data) else [])
+
+
+def test_cuts_equal_a_byte_loop():
+    rng = random.Random(11)
+    for t in repeat_texts(3)[:25] + ["ab" * 300, "a" * 700, "é" * 400, "日本語" * 150, "x" * 16, "y" * 17, "the " * 100 + "end"]:
+        b = (t or "").encode()[:4000]
+        assert chunk_dedup.cuts(b) == brute_cuts(b)
+    noise = bytes(rng.randrange(128) for _ in range(3000))
+    assert chunk_dedup.cuts(noise) == brute_cuts(noise)
+    # a shared periodic passage in another phase has equal chunks
+    a, b = (p + b"the the " * 60 for p in (b"some words ahead of it ", b"and others: "))
+    ends = [chunk_dedup.cuts(x) for x in (a, b)]
+    chunks = [[x[s:e] for s, e in zip([0, *y], y)] for x, y in zip((a, b), ends)]
+    assert sum(len(c) for c in chunks[1] if c in chunks[0]) > len(b) / 2
+
+
 def brute_chunks(texts, min_run):
     seen, out = set(), []
     for t in texts:
         b, s, runs = (t or "").encode(), 0, []
-        for e in chunk_dedup.cuts(b):
+        for e in brute_cuts(b) if len(b) < 20_000 else chunk_dedup.cuts(b):
             if b[s:e] in seen:
                 if runs and runs[-1][1] == s:
                     runs[-1][1] = e
@@ -207,7 +248,7 @@ def brute_chunks(texts, min_run):
 
 def test_chunk_dedup_equals_brute_force(spark):
     texts = repeat_texts(7)
-    want = brute_chunks(texts, 48)
+    want = brute_chunks(texts, 96)
     docs = spark.createDataFrame([(i, t, "x", "c") for i, t in enumerate(texts)], SCHEMA).coalesce(1)
     out = {r["_row"]["doc_id"]: r for r in chunk_dedup.dedup_chunks(docs).collect()}
     assert {i: [(s["s"], s["e"]) for s in r["spans"]] for i, r in out.items()} == dict(enumerate(want))
@@ -216,5 +257,13 @@ def test_chunk_dedup_equals_brute_force(spark):
         b = (t or "").encode()
         assert out[i]["n_bytes"] == len(b) and len(out[i]["kept"]) == len(b) - out[i]["n_removed"]
         out[i]["kept"].decode()
-    chunk_dedup_small = chunk_dedup.repeated_chunks(chunk_dedup.numbered(docs.repartition(3), "t"))
-    assert chunk_dedup_small.count() > 20
+    # over several partitions the first in the order of the row numbers stays
+    rows = chunk_dedup.numbered(docs.repartition(3).withColumn("doc_id", F.when(F.col("doc_id") % 5 > 0, F.col("doc_id"))), "t")
+    found = sorted((r["_rid"], r["s"], r["e"]) for r in chunk_dedup.repeated_chunks(rows).collect())
+    seen, late = set(), []
+    for r in sorted(rows.collect(), key=lambda r: r["_rid"]):
+        b = r["_text"].encode()
+        for s, e in zip([0, *(ends := chunk_dedup.cuts(b))], ends):
+            late += [(r["_rid"], s, e)] if b[s:e] in seen else []
+            seen.add(b[s:e])
+    assert found == sorted(late) and len(found) > 20

@@ -63,7 +63,7 @@ def test_stages_equal_brute_force(spark, tmp_path):
     assert len(near) < len(language) - 8
 
     want = []
-    for r, spans in zip(near, brute_chunks([r["text"] for r in near], 48)):
+    for r, spans in zip(near, brute_chunks([r["text"] for r in near], 96)):
         data, at, kept = r["text"].encode(), 0, b""
         for s, e in spans:
             kept, at = kept + data[at:s], e

@@ -84,6 +84,26 @@ def test_leaks_equal_brute_force(spark, part, monkeypatch):
     assert got == want and len({n for n in want.values()}) > 2
 
 
+def test_runs_of_one_character_take_bounded_memory(monkeypatch):
+    import tracemalloc
+
+    text = b"-" * 40_000 + b" some words " + b"-" * 150
+    index = decontaminate.GramIndex([(1, b"-" * 200), (2, b"- - " * 40)], decontaminate.Q, decontaminate.RATE)
+    tracemalloc.start()
+    got = list(index.regions(text))
+    assert tracemalloc.get_traced_memory()[1] < 150 << 20  # 40,000 x 193 pairs of equal grams
+    tracemalloc.stop()
+    monkeypatch.setattr(decontaminate, "PAIRS", 1 << 40)
+    assert got == list(index.regions(text)) and len(got) > 100
+
+
+def test_sources_of_one_document_are_spread(spark):
+    rows = [(i, "x", "en", f"s{i}") for i in range(400)]
+    out = sharding.shard(docs_of(spark, rows), 8).collect()
+    shares = sorted(r["share"] for r in out)
+    assert shares[40] < 0.2 and shares[-40] > 0.8 and Counter(r["shard"] for r in out) == {k: 50 for k in range(8)}
+
+
 def test_shards(spark):
     rows = texts(3, 200)
     out = sharding.shard(docs_of(spark, rows).repartition(3), 7).collect()
@@ -109,6 +129,16 @@ def test_shards(spark):
 
 
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"), ("block", "é.org/ü")]
+TIES = [("block", "org/ab"), ("allow", "a.org/"), ("block", "b.org/x"), ("allow", "b.org/x")]
+
+
+def test_rules_of_equal_length(spark):
+    pages = spark.createDataFrame([(1, "http://a.org/abc"), (2, "http://b.org/xy"), (3, "http://c.org/ab")], "page_id long, url string")
+    for limit in (url_filter.MAX_BYTES, 1):  # the longer host first, of equal rules the last
+        got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.judge_urls(pages, TIES, max_bytes=limit).collect()}
+        assert got == {1: ("a.org/", "allow"), 2: ("b.org/x", "allow"), 3: ("org/ab", "block")}
+
+
 URLS = ["http://a.Example.ORG/es/1", "http://example.org/en/12?x#y", "http://example.org/en/2", "https://x.com/de/", "https://x.com/fr/1", "http://com/de/1", "http://xexample.com", "http://org", "org/", "", None, "a://b://c/d", "http://EXAMPLE.org/es", "http://é.org/üx", "http://x.net/?a/b", "http:///es/", "http://x.com\n/de/1"]
 
 
@@ -277,6 +307,46 @@ def test_quality_rules(spark):
     assert quality.judge_quality(docs_of(spark, [])).collect() == []
 
 
+def test_hosts_far_over_the_mean_fail(spark):
+    good, bad = " ".join(f"w{i}" for i in range(30)), "bad"
+    rows = [(1000 * h + i, bad if i < (16 if h == 3 else h % 2) else good, "en", f"h{h}") for h in range(8) for i in range(40)]
+    out = quality.judge_quality(docs_of(spark, rows)).collect()
+    rate = {r["host"]: r["host_rate"] for r in out}
+    assert 0.1 < rate["h3"] < 0.4 and max(v for h, v in rate.items() if h != "h3") < 0.05  # shrunk, under the fixed limit
+    assert {r["host"] for r in out if not r["kept"] and not r["base_failed"]} == {"h3"}
+    alike = quality.judge_quality(docs_of(spark, [(i, bad if i % 7 == 0 else good, "en", f"h{i % 5}") for i in range(350)])).collect()
+    assert all(r["kept"] is not r["base_failed"] for r in alike)  # hosts that differ by chance only are left alone
+
+
+def test_labels_equal_a_byte_loop():
+    net = language_id.Network(["a", "b", "c"], 4, 3)
+
+    def states(d, data):
+        h, out, k = np.zeros(4), [], 4
+        for byte in data:
+            g, s = d.x[byte].astype(float), h @ d.u + d.c
+            gate = 1 / (1 + np.exp(-(g[: 2 * k] + s[: 2 * k])))
+            c = np.tanh(g[2 * k :] + gate[:k] * s[2 * k :])
+            h = gate[k:] * h + (1 - gate[k:]) * c
+            out.append(h)
+        return out
+
+    rng = random.Random(9)
+    texts_ = [bytes(rng.randrange(256) for _ in range(n)) for n in (1, 5, 255, 256, 257, 700)]
+    got = language_id.pooled(net, [*texts_, b""], part=3)
+    for t, p in zip(texts_, got):
+        total = np.zeros(3)
+        for lo in range(0, len(t), language_id.LABELLED):
+            begin = max(0, lo - language_id.CONTEXT)
+            data = t[begin : lo + language_id.LABELLED + language_id.CONTEXT]
+            both = np.concatenate([states(net.ahead, data), states(net.behind, data[::-1])[::-1]], 1)
+            y = np.exp(both @ net.v + net.b)
+            y /= y.sum(1, keepdims=True)
+            total += y[lo - begin : lo - begin + language_id.LABELLED].sum(0)
+        assert np.allclose(p, total / len(t), atol=1e-4)
+    assert (got[-1] == 0).all()
+
+
 def test_gradient_by_differences():
     net = language_id.Network(["a", "b", "c"], 4)
     for d in (net.ahead, net.behind):
