@@ -58,6 +58,6 @@ def greedy_solver(fraction: int, rounds: int, seed: int, until: float | None):
     def solve(g: LocalGraph) -> set[int]:
         answer = local.greedy(g, fraction)
         seconds = None if until is None else time.monotonic() + until
-        return local.improve(g, answer, rounds if len(g.out) <= 2000 else min(rounds, 20), seed, seconds)
+        return local.improve(g, answer, rounds, seed, seconds)
 
     return solve

@@ -159,6 +159,28 @@ def contract(edges: DataFrame, ids: DataFrame) -> DataFrame:
     return remove_vertices(edges, k).unionByName(through).distinct()
 
 
+def contract_set(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """All vertices of ids contracted, adjacent ones too: in rounds of those with no smaller neighbour among the rest. One that has a self loop by its turn stays."""
+    from acyclica.plans.checkpoints import settle
+
+    edges, left = settle(edges.select(*KEYS)), settle(ids.select("id").distinct())
+    while True:
+        left = settle(left.join(vertices(edges), "id", "left_semi").join(self_loops(edges), "id", "left_anti"))
+        if left.isEmpty():
+            return edges
+        a, b = left.select(F.col("id").alias("src")), left.select(F.col("id").alias("dst"))
+        among = edges.join(a, "src", "left_semi").join(b, "dst", "left_semi")
+        later = among.select(F.greatest(*KEYS).alias("id"))
+        now = settle(left.join(later, "id", "left_anti"))
+        edges = settle(contract(edges, now))
+        left = settle(left.join(now, "id", "left_anti"))
+
+
+def size_by_label(ids: DataFrame, labels: DataFrame) -> DataFrame:
+    """(label, n): how many of ids(id) have each label of labels(id, label); those without one are counted under null."""
+    return ids.select("id").distinct().join(labels.select("id", "label"), "id", "left").groupBy("label").agg(F.count("*").alias("n"))
+
+
 def contract_vertex(edges: DataFrame, v: int) -> DataFrame:
     """v contracted; neighbours on both sides of v, which would get a self loop, go with it."""
     e = edges.filter("src <> dst")

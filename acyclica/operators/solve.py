@@ -98,20 +98,26 @@ def fvs(edges: DataFrame, limits: Limits = Limits(), seed: int = 1, rounds: int
     return settle(forced.unionByName(tagged(kept, "improved")))
 
 
-def annealed(edges: DataFrame, limits: Limits = Limits(), n_seeds: int = 4, warm: bool = True) -> DataFrame:
-    """(id, origin): the reduced graph's components by simulated annealing, the smallest of several seeds, started from the greedy answer or cold."""
+def annealed(edges: DataFrame, limits: Limits = Limits(), n_seeds: int = 4, warm: bool = True, fails: int = 50, most_moves: int = 300_000) -> DataFrame:
+    """(id, origin): the reduced graph's components by simulated annealing, the smallest of several seeds, started from the greedy answer or cold.
+
+    A seed stops after so many temperatures without a better answer, each of
+    seven moves a vertex, ``most_moves`` at most. Components over local_edges,
+    which no task holds, get greedy's answer.
+    """
     state = reduce_graph(edges, limits)
     parts = settle(split(state.edges, limits))
-    large = parts.groupBy("comp").count().filter(F.col("count") > limits.local_edges)
-    if not large.isEmpty():
-        raise ValueError("a component is over local_edges: use greedy")
+    sizes = settle(parts.groupBy("comp").agg(F.count("*").alias("m")).filter(F.col("m") > limits.local_edges).select("comp"))
+    large = settle(parts.join(sizes, "comp", "left_semi").select("src", "dst"))
+    rest = greedy(large, limits) if not large.isEmpty() else edges.sparkSession.createDataFrame([], "id long, origin string")
+    parts = parts.join(sizes, "comp", "left_anti")
 
     def solve(g: local.LocalGraph, seed: int) -> set[int]:
         first = local.minimal(g, sorted(local.greedy(g), key=lambda v: (g.product(v), v)))
-        found = local.minimal(g, sorted(local.anneal(g, seed, first if warm else None, fails=5, moves=min(len(g.out) * 5, 2000))))
+        found = local.minimal(g, sorted(local.anneal(g, seed, first if warm else None, fails=fails, moves=min(len(g.out) * 7, most_moves))))
         return min(first, found, key=len)
 
-    return settle(tagged(state.forced, "forced").unionByName(tagged(grouped.seeds_by_component(parts, n_seeds, solve), "annealed")))
+    return settle(tagged(state.forced, "forced").unionByName(tagged(grouped.seeds_by_component(parts, n_seeds, solve), "annealed")).unionByName(rest))
 
 
 #: Kernels with more vertices aren't searched exactly.

@@ -26,20 +26,19 @@ def trim(edges: DataFrame, rounds: int) -> DataFrame:
     return edges
 
 
-def _settled_labels(labels: DataFrame, edges: DataFrame, max_rounds: int) -> DataFrame:
-    """labels(id, label) with each label the greatest of the vertices that lead to it."""
+def _settled_labels(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """labels(id, label) with each label the greatest of the vertices that lead to it: as many rounds as that takes."""
     state = None
-    for _ in range(max_rounds):
+    while True:
         moved = edges.join(labels.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.max("label").alias("_m"))
         labels = settle(labels.join(moved, "id", "left").select("id", F.greatest("label", F.coalesce("_m", "label")).alias("label")))
         new = labels.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
         if new == state:
             return labels
         state = new
-    raise RuntimeError(f"labels did not settle in {max_rounds} rounds")
 
 
-def strong_components(edges: DataFrame, limits: Limits = Limits(), max_rounds: int = 10_000) -> DataFrame:
+def strong_components(edges: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """(id, comp) of every vertex: comp is the least id of its component.
 
     Distributed rounds: vertices without in- or out-edges are components; each
@@ -54,7 +53,7 @@ def strong_components(edges: DataFrame, limits: Limits = Limits(), max_rounds: i
         if edges.isEmpty():
             break
         ids = graph.vertices(edges)
-        colours = _settled_labels(ids.withColumn("label", F.col("id")), edges, max_rounds)
+        colours = _settled_labels(ids.withColumn("label", F.col("id")), edges)
         inside = settle(graph.within_components(edges, colours.withColumnRenamed("label", "comp")))
         reached = front = colours.filter("id = label").select("id", "label")
         while True:  # backwards from each colour's vertex
@@ -162,7 +161,10 @@ def redundant(edges: DataFrame, solution: DataFrame, limits: Limits = Limits())
         names = "id long"
 
         def run(batches):
-            pdf = pd.concat(list(batches))
+            parts = list(batches)
+            if not parts:
+                return
+            pdf = pd.concat(parts)
             chosen = set(pdf.loc[pdf["dst"].isna(), "src"].astype("int64").tolist())
             real = pdf[pdf["dst"].notna()].astype("int64")
             g = grouped.graph_of(real)

@@ -9,14 +9,15 @@ from pyspark.sql import functions as F
 
 from acyclica.operators import graph, rank, reduce, solve, structure
 from acyclica.plans import graphs
-from acyclica.plans.checkpoints import settle
-from acyclica.sources import literal_edges, scores, sinks
+from acyclica.plans.checkpoints import scratch_path, settle
+from acyclica.plans.limits import Limits
+from acyclica.sources import literal_edges, read_adjacency, read_lines, scores, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 #: Queries on a part of the events are also registered, as name_user, on the graph of all of them.
-WHOLE = {"user_err": "user", "rising": "user_rising"}
+WHOLE = {"user_err": "user", "rising": "user_rising", "shelf": "user", "returns": "user"}
 
 
 def query(on: str, sql: str | None = None, name: str | None = None):
@@ -27,7 +28,7 @@ def query(on: str, sql: str | None = None, name: str | None = None):
         QUERIES[key] = lambda spark, sf_dir: f(getattr(graphs, on)(spark, sf_dir))
         if sql is not None:
             ORACLES[key] = with_graph(on, sql)
-        if on in WHOLE and key not in ("edges_user_err", "redundant_vertices"):
+        if on in WHOLE and not key.startswith("edges_") and not key.endswith("_rounds"):
             query(WHOLE[on], sql, f"{key}_user")(f)
         return f
 
@@ -50,7 +51,7 @@ PI = "p AS (SELECT a.src, a.dst, EXISTS (SELECT 1 FROM e b WHERE b.src = a.dst A
 CLOSED = "r(a, b) AS (SELECT src, dst FROM e UNION SELECT r.a, e.dst FROM r JOIN e ON e.src = r.b)"
 COMPS = f"{CLOSED}, c AS (SELECT v.id, least(v.id, coalesce((SELECT min(x.b) FROM r x JOIN r y ON y.a = x.b AND y.b = x.a WHERE x.a = v.id), v.id)) AS comp FROM v)"
 
-for _name, _on in (("edges_cust", "cust"), ("edges_part5", "part5"), ("edges_part_r", "part_r"), ("edges_part", "part"), ("edges_user", "user"), ("edges_user_err", "user_err")):
+for _name, _on in (("edges_cust", "cust"), ("edges_part5", "part5"), ("edges_part_r", "part_r"), ("edges_part", "part"), ("edges_user", "user"), ("edges_user_err", "user_err"), ("edges_shelf", "shelf"), ("edges_returns", "returns")):
     query(_on, "SELECT src, dst FROM e", _name)(lambda e: e)
 
 query("part5", "SELECT id FROM v", "vertices")(graph.vertices)
@@ -75,7 +76,7 @@ query("user", f"WITH {PI} SELECT src, dst FROM p WHERE is_pi", "pi_edges")(graph
 query("user", f"WITH {PI} SELECT src, dst FROM p WHERE NOT is_pi", "non_pi_edges")(graph.non_pi_edges)
 query("user", f"WITH {PI} SELECT src, dst, is_pi FROM p", "reciprocity")(graph.with_reciprocity)
 query("user", f"WITH {PI} SELECT coalesce(min(src), -1) AS id FROM p WHERE is_pi AND src <> dst", "first_two_cycle")(graph.first_two_cycle)
-query("user_err", f"WITH {PI} SELECT v.id, (SELECT count(*) FROM e WHERE src = v.id) AS deg_out FROM v WHERE NOT EXISTS (SELECT 1 FROM p WHERE NOT is_pi AND (src = v.id OR dst = v.id))", "pi_vertices")(graph.pi_vertices)
+query("returns", f"WITH {PI} SELECT v.id, (SELECT count(*) FROM e WHERE src = v.id) AS deg_out FROM v WHERE NOT EXISTS (SELECT 1 FROM p WHERE NOT is_pi AND (src = v.id OR dst = v.id))", "pi_vertices")(graph.pi_vertices)
 
 CORE = f"""{PI}, o AS (SELECT id, (SELECT count(*) FROM e WHERE src = v.id) AS d FROM v WHERE NOT EXISTS (SELECT 1 FROM p WHERE NOT is_pi AND (src = v.id OR dst = v.id))),
 t AS (SELECT a.src AS id, count(*) AS n FROM p a JOIN p b ON a.src = b.src AND a.dst <> b.dst JOIN p x ON x.src = a.dst AND x.dst = b.dst AND x.is_pi WHERE a.src <> a.dst AND b.src <> b.dst GROUP BY a.src),
@@ -84,7 +85,7 @@ reps AS (SELECT id FROM k WHERE NOT EXISTS (SELECT 1 FROM e JOIN k q ON q.id = e
 query("both5", f"WITH {CORE} SELECT id, d FROM k", "core_vertices")(reduce.core_vertices)
 query("both5", f"WITH {CORE} SELECT DISTINCT e.dst AS id FROM e JOIN reps ON reps.id = e.src", "core_forced")(reduce.core_forced)
 query(
-    "user_err",
+    "returns",
     f"""WITH {PI}, g AS (SELECT src, dst FROM p WHERE NOT is_pi) SELECT src, dst FROM g WHERE
 NOT EXISTS (SELECT 1 FROM g b WHERE b.dst = g.src AND NOT EXISTS (SELECT 1 FROM e x WHERE x.src = b.src AND x.dst = g.dst))
 OR NOT EXISTS (SELECT 1 FROM g a WHERE a.src = g.dst AND NOT EXISTS (SELECT 1 FROM e x WHERE x.src = g.src AND x.dst = a.dst))""",
@@ -156,22 +157,22 @@ def shared_targets(e: DataFrame) -> DataFrame:
     return graph.shared_targets(e, low, high)
 
 
-@query("user_err", f"WITH RECURSIVE {CLOSED}, cyc AS (SELECT DISTINCT a FROM r WHERE a = b) SELECT src, dst FROM e WHERE dst IN (SELECT a FROM cyc) OR dst IN (SELECT r.a FROM r JOIN cyc ON cyc.a = r.b)")
+@query("shelf", f"WITH RECURSIVE {CLOSED}, cyc AS (SELECT DISTINCT a FROM r WHERE a = b) SELECT src, dst FROM e WHERE dst IN (SELECT a FROM cyc) OR dst IN (SELECT r.a FROM r JOIN cyc ON cyc.a = r.b)")
 def drop_sinks(e: DataFrame) -> DataFrame:
     return graph.drop_sinks(e)
 
 
-query("user_err", f"WITH RECURSIVE {COMPS} SELECT id, comp FROM c", "scc_membership")(structure.strong_components)
-query("user_err", f"WITH RECURSIVE {COMPS} SELECT comp, count(*) AS n FROM c GROUP BY comp", "scc_sizes")(lambda e: structure.component_sizes(structure.strong_components(e)))
-query("user_err", f"WITH RECURSIVE {COMPS} SELECT x.comp, e.src, e.dst FROM e JOIN c x ON x.id = e.src JOIN c y ON y.id = e.dst WHERE x.comp = y.comp", "intra_scc_edges")(lambda e: graph.within_components(settle(e), structure.strong_components(e)))
+query("shelf", f"WITH RECURSIVE {COMPS} SELECT id, comp FROM c", "scc_membership")(structure.strong_components)
+query("shelf", f"WITH RECURSIVE {COMPS} SELECT comp, count(*) AS n FROM c GROUP BY comp", "scc_sizes")(lambda e: structure.component_sizes(structure.strong_components(e)))
+query("shelf", f"WITH RECURSIVE {COMPS} SELECT x.comp, e.src, e.dst FROM e JOIN c x ON x.id = e.src JOIN c y ON y.id = e.dst WHERE x.comp = y.comp", "intra_scc_edges")(lambda e: graph.within_components(settle(e), structure.strong_components(e)))
 query(
-    "user_err",
+    "returns",
     f"WITH RECURSIVE {PI}, g AS (SELECT src, dst FROM p WHERE NOT is_pi), r(a, b) AS (SELECT src, dst FROM g UNION SELECT r.a, g.dst FROM r JOIN g ON g.src = r.b) SELECT src, dst FROM g WHERE src <> dst AND NOT EXISTS (SELECT 1 FROM r WHERE r.a = g.dst AND r.b = g.src)",
     "pie_edges",
 )(reduce.pie_edges)
 
 
-@query("user_err", f"WITH RECURSIVE {COMPS}, {DEG}, s AS (SELECT comp, count(*) AS n FROM c GROUP BY comp), q AS (SELECT d.id, c.comp, d.deg_in * d.deg_out AS density, row_number() OVER (PARTITION BY c.comp ORDER BY d.deg_in * d.deg_out DESC, d.id DESC) AS k FROM d JOIN c ON c.id = d.id) SELECT q.comp, q.id, q.density FROM q JOIN s ON s.comp = q.comp WHERE q.k <= greatest(1, s.n // 20)")
+@query("shelf", f"WITH RECURSIVE {COMPS}, {DEG}, s AS (SELECT comp, count(*) AS n FROM c GROUP BY comp), q AS (SELECT d.id, c.comp, d.deg_in * d.deg_out AS density, row_number() OVER (PARTITION BY c.comp ORDER BY d.deg_in * d.deg_out DESC, d.id DESC) AS k FROM d JOIN c ON c.id = d.id) SELECT q.comp, q.id, q.density FROM q JOIN s ON s.comp = q.comp WHERE q.k <= greatest(1, s.n // 20)")
 def density_top_fraction(e: DataFrame) -> DataFrame:
     e = settle(e)
     member = settle(structure.strong_components(e))
@@ -181,12 +182,16 @@ def density_top_fraction(e: DataFrame) -> DataFrame:
 query("user_err", f"WITH RECURSIVE {CLOSED} SELECT count(*) AS pairs FROM r", "closure_count")(lambda e: structure.reach(e, graph.vertices(e)).agg(F.count("*").alias("pairs")))
 
 
-@query("part5", f"WITH RECURSIVE {DEG}, top AS (SELECT id FROM d ORDER BY deg_in * deg_out DESC, id DESC LIMIT 5), r(source, id) AS (SELECT src, dst FROM e WHERE src IN (SELECT id FROM top) UNION SELECT r.source, e.dst FROM r JOIN e ON e.src = r.id) SELECT source, id FROM r")
+REACH = f"WITH RECURSIVE {DEG}, top AS (SELECT id FROM d ORDER BY deg_in * deg_out DESC, id DESC LIMIT 5), r(source, id) AS (SELECT src, dst FROM e WHERE src IN (SELECT id FROM top) UNION SELECT r.source, e.dst FROM r JOIN e ON e.src = r.id) SELECT source, id FROM r"
+
+
+@query("part5", REACH)
 def reach_from_topk(e: DataFrame) -> DataFrame:
     return structure.reach(e, graph.top_k(graph.density(e), "density", 5))
 
 
-query("rising", "WITH RECURSIVE w(id, level) AS (SELECT id, 0 FROM v WHERE id NOT IN (SELECT dst FROM e) UNION SELECT e.dst, w.level + 1 FROM w JOIN e ON e.src = w.id) SELECT id, CAST(max(level) AS INTEGER) AS level FROM w GROUP BY id", "topo_levels")(structure.topological_levels)
+LEVELS = "WITH RECURSIVE w(id, level) AS (SELECT id, 0 FROM v WHERE id NOT IN (SELECT dst FROM e) UNION SELECT e.dst, w.level + 1 FROM w JOIN e ON e.src = w.id) SELECT id, CAST(max(level) AS INTEGER) AS level FROM w GROUP BY id"
+query("rising", LEVELS, "topo_levels")(structure.topological_levels)
 query("user_err", f"WITH RECURSIVE {CLOSED} SELECT NOT EXISTS (SELECT 1 FROM r WHERE a = b) AS is_acyclic", "is_acyclic")(structure.is_acyclic)
 query("rising", f"WITH RECURSIVE {CLOSED} SELECT NOT EXISTS (SELECT 1 FROM r WHERE a = b) AS is_acyclic", "is_acyclic_rising")(structure.is_acyclic)
 
@@ -206,20 +211,24 @@ query("part5", None, "pagerank_converged")(lambda e: rank.pagerank(e))
 query("part5", None, "critical_vertices")(lambda e: rank.critical_vertices(e, 10))
 
 
-@query(
-    "user_err",
-    """WITH RECURSIVE s AS (SELECT id FROM v WHERE id % 2 = 0), r(source, id) AS (SELECT src, dst FROM e WHERE src IN (SELECT id FROM s) UNION SELECT r.source, e.dst FROM r JOIN e ON e.src = r.id WHERE r.id NOT IN (SELECT id FROM s)),
-x AS (SELECT id FROM s WHERE id NOT IN (SELECT source FROM r WHERE source = id)) SELECT id FROM x WHERE (SELECT count(*) FROM x) < (SELECT count(*) FROM s) OR id > (SELECT min(id) FROM x)""",
-)
-def redundant_vertices(e: DataFrame) -> DataFrame:
-    return structure.redundant(e, graph.vertices(e).filter("id % 2 = 0"))
+REDUNDANT = """WITH RECURSIVE s AS (SELECT DISTINCT dst AS id FROM e WHERE src >= dst), r(source, id) AS (SELECT src, dst FROM e WHERE src IN (SELECT id FROM s) UNION SELECT r.source, e.dst FROM r JOIN e ON e.src = r.id WHERE r.id NOT IN (SELECT id FROM s)),
+x AS (SELECT id FROM s WHERE id NOT IN (SELECT source FROM r WHERE source = id)) SELECT id FROM x WHERE (SELECT count(*) FROM x) < (SELECT count(*) FROM s) OR id > (SELECT min(id) FROM x)"""
 
 
-@query("user", None)
-def redundant_vertices_user(e: DataFrame) -> DataFrame:
-    """Of greedy's answer, which has no SQL."""
+@query("shelf", REDUNDANT)
+def redundant_vertices(e: DataFrame) -> DataFrame:
     e = settle(e)
-    return structure.redundant(e, solve.greedy(e).select("id"))
+    return structure.redundant(e, graphs.falling_heads(e))
+
+
+#: The distributed rounds that large graphs take, on graphs that one task would do.
+ROUNDS = Limits(local_edges=0)
+#: The same but for the last few edges, whose rounds would be many and small.
+FEW_LEFT = Limits(local_edges=500)
+query("shelf", f"WITH RECURSIVE {COMPS} SELECT id, comp FROM c", "scc_rounds")(lambda e: structure.strong_components(e, FEW_LEFT))
+query("shelf_rising", LEVELS, "levels_rounds")(lambda e: structure.topological_levels(e, ROUNDS))
+query("shelf", REACH, "reach_rounds")(lambda e: structure.reach(e, graph.top_k(graph.density(e), "density", 5), limits=ROUNDS))
+query("shelf", REDUNDANT, "redundant_rounds")(lambda e: structure.redundant(e := settle(e), graphs.falling_heads(e), ROUNDS))
 
 
 QUERIES["subsets"] = lambda spark, sf_dir: graph.subsets(spark, 10)
@@ -241,18 +250,61 @@ def demo_optima(method: str) -> Query:
     return run
 
 
+_DEMOS = ", ".join(f"('{n}', {a}, {b})" for n, (edges, _) in graphs.DEMOS.items() for a, b in edges)
+#: Every subset of each demo graph's vertices (bit i is the i-th id) and whether no cycle is left without it.
+MASKS = f"""WITH RECURSIVE g(graph, src, dst) AS (VALUES {_DEMOS}), v AS (SELECT graph, id, row_number() OVER (PARTITION BY graph ORDER BY id) - 1 AS i FROM (SELECT graph, src AS id FROM g UNION SELECT graph, dst FROM g)),
+m AS (SELECT graph, CAST(range AS BIGINT) AS mask FROM (SELECT graph, count(*) AS n FROM v GROUP BY graph) AS s, range(1024) WHERE range < 1 << n),
+k AS (SELECT m.graph, mask, a.i AS a, b.i AS b FROM m JOIN g ON g.graph = m.graph JOIN v a ON a.graph = g.graph AND a.id = g.src JOIN v b ON b.graph = g.graph AND b.id = g.dst WHERE (mask >> a.i) & 1 = 0 AND (mask >> b.i) & 1 = 0),
+r(graph, mask, a, b) AS (SELECT * FROM k UNION SELECT r.graph, r.mask, r.a, k.b FROM r JOIN k ON k.graph = r.graph AND k.mask = r.mask AND k.a = r.b),
+ok AS (SELECT * FROM m WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.graph = m.graph AND r.mask = m.mask AND r.a = r.b))"""
 for _method in ("brute", "branch", "linear", "ternary"):
     QUERIES[f"demo_optima_{_method}"] = demo_optima(_method)
-    ORACLES[f"demo_optima_{_method}"] = "SELECT * FROM (VALUES " + ", ".join(f"('{n}', CAST({k} AS BIGINT))" for n, (_, k) in graphs.DEMOS.items()) + ") AS t(graph, size)"
+    ORACLES[f"demo_optima_{_method}"] = f"{MASKS} SELECT graph, CAST(min(bit_count(mask)) AS BIGINT) AS size FROM ok GROUP BY graph"
 QUERIES["demo_acyclic_subsets"] = lambda spark, sf_dir: solve.acyclic_subsets(literal_edges(spark, graphs.DEMOS["demo8"][0]))
+ORACLES["demo_acyclic_subsets"] = f"{MASKS} SELECT 255 - mask AS mask FROM ok WHERE graph = 'demo8'"
+QUERIES["demo_largest_acyclic"] = lambda spark, sf_dir: sinks.solution_summary(solve.largest_acyclic(literal_edges(spark, graphs.DEMOS["demo8"][0])))
+ORACLES["demo_largest_acyclic"] = f"{MASKS} SELECT CAST(max(8 - bit_count(mask)) AS BIGINT) AS size FROM ok WHERE graph = 'demo8'"
+
+
+@query("part5", "SELECT src, dst FROM e")
+def adjacency_round_trip(e: DataFrame) -> DataFrame:
+    """Written as adjacency text and read again; there vertices are numbered from 1."""
+    sinks.write_adjacency(settle(e.select(F.col("src") + 1, F.col("dst") + 1).toDF("src", "dst")), path := scratch_path(e.sparkSession, "adjacency"))
+    return read_adjacency(e.sparkSession, path).select((F.col("src") - 1).alias("src"), (F.col("dst") - 1).alias("dst"))
+
+
+@query("part5", "SELECT CAST(range AS BIGINT) AS line_no, (SELECT count(*) FROM e WHERE src + 1 = range) AS targets FROM range(1, (SELECT max(id) FROM v) + 2)")
+def adjacency_lines(e: DataFrame) -> DataFrame:
+    """The lines of the same text behind the header: blank ones count too."""
+    sinks.write_adjacency(settle(e.select(F.col("src") + 1, F.col("dst") + 1).toDF("src", "dst")), path := scratch_path(e.sparkSession, "adjacency"))
+    lines = read_lines(e.sparkSession, path).filter("line_no > 0")
+    return lines.select("line_no", F.when(F.col("value") == "", F.lit(0)).otherwise(F.size(F.split("value", " "))).cast("long").alias("targets"))
+
+
+@query("part5", "SELECT DISTINCT CAST(dst AS VARCHAR) AS value FROM e WHERE src >= dst")
+def solution_lines(e: DataFrame) -> DataFrame:
+    """A solution as the solution sink writes it."""
+    sinks.write_solution(graphs.falling_heads(e), path := scratch_path(e.sparkSession, "solution"))
+    return e.sparkSession.read.text(path)
+
+
+def size_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = graphs.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("label"))
+    return graph.size_by_label(graphs.falling_heads(graphs.part5(spark, sf_dir)), labels)
+
+
+QUERIES["size_by_label"] = size_by_label
+ORACLES["size_by_label"] = with_graph("part5", "SELECT p_brand AS label, count(*) AS n FROM (SELECT DISTINCT dst FROM e WHERE src >= dst) s LEFT JOIN part ON p_partkey = dst GROUP BY p_brand")
+query("shelf_rising", "WITH RECURSIVE top AS (SELECT id FROM v WHERE id % 10 = 0), r(a, b) AS (SELECT src, dst FROM e UNION SELECT r.a, e.dst FROM r JOIN e ON e.src = r.b WHERE r.b IN (SELECT id FROM top)) SELECT a AS src, b AS dst FROM r WHERE a NOT IN (SELECT id FROM top) AND b NOT IN (SELECT id FROM top)", "contract_set")(lambda e: graph.contract_set(e, graph.vertices(e).filter("id % 10 = 0")))
 
 query("part5", None, "reduced_kernel")(lambda e: reduce.reduce_graph(e).edges)
+query("part5", None, "reduced_kernel_without_dome")(lambda e: reduce.reduce_graph(e, dominated=False).edges)
 query("part5", None, "reduced_forced")(lambda e: reduce.reduce_graph(e).forced)
 query("part5", None, "fvs_greedy")(solve.greedy)
 query("part5", None, "fvs_greedy_unsplit")(lambda e: solve.greedy(e, split_first=False))
 query("part5", None, "fvs_final")(lambda e: solve.fvs(e, rounds=20))
 query("part_r", None, "fvs_final_part_r")(lambda e: solve.fvs(e, rounds=5))
-query("part5", None, "fvs_sa")(lambda e: solve.annealed(e, n_seeds=2))
+query("part5", None, "fvs_sa")(lambda e: solve.annealed(e, n_seeds=2, fails=5, most_moves=2000))
 query("part5", None, "fvs_improved_to_minimal")(lambda e: solve.without_redundant(settle(e), solve.greedy(e)))
 
 
@@ -263,7 +315,7 @@ def fvs_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each solver: its answer leaves no cycle."""
     e = settle(graphs.part5(spark, sf_dir))
     out = None
-    for name, answer in (("greedy", solve.greedy(e)), ("final", solve.fvs(e, rounds=5)), ("annealed", solve.annealed(e, n_seeds=2))):
+    for name, answer in (("greedy", solve.greedy(e)), ("final", solve.fvs(e, rounds=5)), ("annealed", solve.annealed(e, n_seeds=2, fails=5, most_moves=2000))):
         one = structure.is_solution(e, answer).select(F.lit(name).alias("solver"), F.col("is_acyclic").alias("is_solution"))
         out = one if out is None else out.unionByName(one)
     return out
@@ -283,5 +335,7 @@ def _standings(spark: SparkSession) -> DataFrame:
 
 QUERIES["scores_best"] = lambda spark, sf_dir: scores.best_scores(_standings(spark))
 ORACLES["scores_best"] = f"{_SCORES} SELECT instance, min(TRY_CAST(score AS DOUBLE)) AS best FROM s GROUP BY instance"
+QUERIES["scores_report"] = lambda spark, sf_dir: scores.report(_standings(spark), "ours").select("instance", "best", "own")
+ORACLES["scores_report"] = f"{_SCORES} SELECT instance, (SELECT min(TRY_CAST(x.score AS DOUBLE)) FROM s x WHERE x.instance = s.instance) AS best, coalesce(CAST(TRY_CAST(score AS DOUBLE) AS VARCHAR), score) AS own FROM s WHERE team = 'ours'"
 QUERIES["scores_team"] = lambda spark, sf_dir: scores.team_scores(_standings(spark), "ours")
 ORACLES["scores_team"] = f"{_SCORES} SELECT instance, TRY_CAST(score AS DOUBLE) AS own, CASE WHEN TRY_CAST(score AS DOUBLE) IS NULL THEN score END AS error FROM s WHERE team = 'ours'"

@@ -66,6 +66,29 @@ def user_rising(spark: SparkSession, sf_dir: str) -> DataFrame:
     return user(spark, sf_dir).filter("src < dst")
 
 
+def shelf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """part's edges between parts of one size class (sizes 1 to 5, 6 to 10, ...): ten graphs of several strong components each."""
+    size = table(spark, sf_dir, "part").select("p_partkey", F.expr("(p_size - 1) div 5").alias("_class"))
+    ends = [size.select(F.col("p_partkey").alias(k), F.col("_class").alias(f"_{k}")) for k in ("src", "dst")]
+    return part(spark, sf_dir).join(ends[0], "src").join(ends[1], "dst").filter("_src = _dst").select("src", "dst")
+
+
+def returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """shelf, and the way back wherever the larger part's key comes first: some edges are mutual, some aren't."""
+    e = shelf(spark, sf_dir)
+    return e.unionByName(e.filter("src > dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+
+
+def shelf_rising(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """shelf's edges to larger ids: no cycle."""
+    return shelf(spark, sf_dir).filter("src < dst")
+
+
+def falling_heads(edges: DataFrame) -> DataFrame:
+    """(id): where edges that don't rise end. Without them every edge rises, so this is a solution of any graph."""
+    return edges.filter("src >= dst").select(F.col("dst").alias("id")).distinct()
+
+
 def _sql(src: str, dst: str, rest: str) -> str:
     return f"SELECT DISTINCT CAST(src AS BIGINT) AS src, CAST(dst AS BIGINT) AS dst FROM (SELECT {src} AS src, {dst} AS dst FROM {rest}) AS t WHERE dst IS NOT NULL AND src IS NOT NULL"
 
@@ -83,6 +106,10 @@ SQL["both5"] = f"SELECT src, dst FROM ({SQL['part5']}) AS p WHERE src <> dst UNI
 SQL["rising"] = f"SELECT src, dst FROM ({SQL['user_err']}) AS u WHERE src < dst"
 SQL["user_rising"] = f"SELECT src, dst FROM ({SQL['user']}) AS u WHERE src < dst"
 
+SQL["shelf"] = f"SELECT s.src, s.dst FROM ({SQL['part']}) AS s JOIN part a ON a.p_partkey = s.src JOIN part b ON b.p_partkey = s.dst WHERE (a.p_size - 1) // 5 = (b.p_size - 1) // 5"
+SQL["returns"] = f"SELECT src, dst FROM ({SQL['shelf']}) AS p UNION SELECT dst, src FROM ({SQL['shelf']}) AS p WHERE src > dst"
+SQL["shelf_rising"] = f"SELECT src, dst FROM ({SQL['shelf']}) AS u WHERE src < dst"
+
 #: Small graphs with known smallest answers: edges, and the size of the answer.
 DEMOS = {
     "demo8": ([(1, 2), (1, 4), (2, 3), (2, 5), (3, 8), (4, 5), (5, 1), (5, 3), (6, 5), (7, 5), (7, 8), (8, 6), (8, 1)], 2),
