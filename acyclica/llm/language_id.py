@@ -75,6 +75,33 @@ class Direction:
             out[t] = h
         return out
 
+    def read(self, data: np.ndarray, mask: np.ndarray | None) -> np.ndarray:
+        """states() for predictions: halves and biases are put into the weights, and no step takes new memory."""
+        (steps, n), k, half = data.shape, self.u.shape[0], np.float32(0.5)
+        xg, xn = (self.x[:, : 2 * k] + self.c[: 2 * k]) * half, np.ascontiguousarray(self.x[:, 2 * k :])
+        ug, un, cn = self.u[:, : 2 * k] * half, self.u[:, 2 * k :] * half, self.c[2 * k :] * half
+        gates, more, c, s = (np.empty((n, w), np.float32) for w in (2 * k, 2 * k, k, k))
+        h, out = np.zeros((n, k), np.float32), np.empty((steps, n, k), np.float32)
+        for t in range(steps):
+            xg.take(data[t], 0, gates, "clip")
+            np.matmul(h, ug, more)
+            gates += more
+            np.tanh(gates, gates)
+            gates += 1  # twice the gates
+            np.matmul(h, un, s)
+            s += cn
+            s *= gates[:, :k]
+            xn.take(data[t], 0, c, "clip")
+            c += s
+            np.tanh(c, c)
+            np.subtract(h, c, s)
+            s *= gates[:, k:]
+            s *= half
+            h = np.add(s, c, out[t])
+            if mask is not None:
+                h *= mask[t][:, None]
+        return out
+
     def gradient(self, data: np.ndarray, mask: np.ndarray, keep: list, d_out: np.ndarray) -> list[np.ndarray]:
         """Of the parameters, given that of the states: backwards through time."""
         steps, n = data.shape
@@ -111,13 +138,20 @@ class Network:
     def parameters(self) -> list[np.ndarray]:
         return [*self.ahead.parameters(), *self.behind.parameters(), self.v, self.b]
 
-    def label(self, data: np.ndarray, mask: np.ndarray | None, keep: tuple[list, list] | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Probabilities at each byte (time x windows x languages), and the states."""
-        a, b = keep or (None, None)
-        f = self.ahead.states(data, mask, a)
-        r = self.behind.states(data[::-1], None if mask is None else mask[::-1], b)[::-1]
-        h = np.concatenate([f, r], 2)
-        y = h @ self.v + self.b
+    def label(self, data: np.ndarray, mask: np.ndarray | None, keep: tuple[list, list] | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+        """Probabilities at each byte (time x windows x languages), and the states if there is a gradient to come."""
+        back = None if mask is None else mask[::-1]
+        if keep is None:
+            k = self.ahead.u.shape[0]
+            f, r = self.ahead.read(data, mask), self.behind.read(data[::-1], back)[::-1]
+            y = f @ self.v[:k]
+            y += r @ self.v[k:]
+            y += self.b
+            h = None
+        else:
+            f, r = self.ahead.states(data, mask, keep[0]), self.behind.states(data[::-1], back, keep[1])[::-1]
+            h = np.concatenate([f, r], 2)
+            y = h @ self.v + self.b
         y -= y.max(2, keepdims=True)
         np.exp(y, out=y)
         y /= y.sum(2, keepdims=True)
@@ -174,7 +208,7 @@ def windows(texts: list[bytes], size: int = WINDOW) -> tuple[np.ndarray, np.ndar
     return np.ascontiguousarray(grid.T), mask, owner
 
 
-def pooled(net: Network, texts: list[bytes], part: int = 768) -> np.ndarray:
+def pooled(net: Network, texts: list[bytes], part: int = 2048) -> np.ndarray:
     """Mean probabilities of each text over all its bytes; zeros for an empty one."""
     out = np.zeros((len(texts), len(net.langs)))
     size = np.array([len(t) for t in texts], np.int64)
