@@ -41,7 +41,7 @@ BANDS, ROWS = 18, 4
 #: Most differing bits of a candidate pair.
 RADIUS = 20
 #: Shingles whose minima are taken at a time; pairs of (shingle of one text, place in another) counted at a time.
-PART, CELLS = 4096, 1 << 22
+PART, CELLS = 4096, 1 << 20
 #: Rows of a band over which all its rows are candidates of its least.
 HOT = 2_000
 #: Members and shingles of a pool that one task searches alone; references of others' first step; members in a cell and a block of the second.

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from acyclica.llm import chunk_dedup, decontaminate, language_id, packing, quality, sharding, simhash, suffix_dedup, token_counts, url_filter
-from acyclica.llm.shared import table
+from acyclica.llm.shared import bounded_batches, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -66,6 +66,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     docs = docs.withColumn("held_out", F.coalesce(language_id.held_out(F.col("doc_id")), F.lit(False)))
     net = language_id.train(docs.filter(~language_id.held_out(F.col("doc_id"))), "text", "lang", F.col("doc_id"))

@@ -15,6 +15,8 @@ from pyspark.sql.window import Window
 _scratch: list[tuple[SparkSession, str]] = []
 #: Path -> the table of the catalogue that is stored there.
 _named: dict[str, str] = {}
+#: Bytes of rows that go to a Python worker at a time (a longer row goes alone): Spark holds a few such batches for each task outside the heap, and the worker as many.
+BATCH_BYTES = "2MB"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -29,6 +31,11 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Bounds the batches of this session's Python workers by bytes: by rows only, one of long texts takes many times the memory of others."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     _scratch.append((spark, path))
