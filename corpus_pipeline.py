@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from acyclica.llm import chunk_dedup, decontaminate, language_id, near_copies, packing
 from acyclica.llm.queries import END_ID, tokenizer_file
-from acyclica.llm.shared import release, scratch_count, stored, table
+from acyclica.llm.shared import bounded_batches, release, scratch_count, stored, table
 from acyclica.llm.spans import numbered
 
 #: Not expressible: a trained network, hashes of word shingles and a tokenizer's ids. Tested against a brute-force version.
@@ -32,6 +32,7 @@ def _stage(f):
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         global _left
         release(*_left)
+        bounded_batches(spark)
         first = scratch_count()
         out = f(spark, docs, sf_dir)
         _left = (first, scratch_count())
