@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from acyclica.llm.spans import cut, numbered
 from acyclica.llm.wordcache import drop_tokenizers
+from acyclica.llm.workers import lean
 
 #: Chunk sizes in bytes: none under MIN but a text's last, cuts one place in EARLY up to NORMAL and one in LATE from there, none over MAX.
 MIN, NORMAL, MAX = 16, 64, 160
@@ -133,10 +134,10 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_chunks(rows: DataFrame) -> DataFrame:
     """(_rid, s, e) of every chunk of the numbered rows that an earlier place has too."""
-    chunks = rows.select("_rid", "_text").mapInArrow(_chunks, ROW_SQL)
+    chunks = rows.select("_rid", "_text").mapInArrow(lean(_chunks), ROW_SQL)
     # the hash of a null is a number too: rows without a key are dealt by their place
     dealt = chunks.repartition(F.when(F.col("_key").isNull(), F.xxhash64("_rid", "s")).otherwise(F.xxhash64("_key")))
-    return dealt.sortWithinPartitions("_key", "_rid", "s").mapInArrow(_repeats, "_rid long, s int, e int")
+    return dealt.sortWithinPartitions("_key", "_rid", "s").mapInArrow(lean(_repeats), "_rid long, s int, e int")
 
 
 def dedup_chunks(docs: DataFrame, min_run: int = 96, text_col: str = "text") -> DataFrame:

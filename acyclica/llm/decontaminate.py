@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from acyclica.llm.wordcache import drop_tokenizers, spread
+from acyclica.llm.workers import lean
 
 Q = 8
 #: Edits for each byte of an item.
@@ -214,7 +215,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, q: int
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     out = None
     for block in blocks(benchmark, item_col, item_text_col, q, block_bytes):
-        found = rows.mapInArrow(_search(spark.sparkContext.broadcast(block), q, rate), schema)
+        found = rows.mapInArrow(lean(_search(spark.sparkContext.broadcast(block), q, rate)), schema)
         out = found if out is None else out.unionByName(found)
     out = spark.createDataFrame([], schema) if out is None else out
     return out.withColumnsRenamed({"_id": id_col, "_item": item_col})

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from acyclica.llm.wordcache import drop_tokenizers, spread
+from acyclica.llm.workers import lean
 
 #: Bytes of a window that is learned from; bytes labelled in one go, and read before and after them.
 WINDOW, LABELLED, CONTEXT = 64, 256, 16
@@ -304,4 +305,4 @@ def predict(docs: DataFrame, net: Network | None, keep: list[str], text_col: str
     names = [f"_keep{i}" for i in range(len(keep))]
     rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names, strict=True)], F.col(text_col).alias("_text"))
     schema = ", ".join([*[f"{n} {kinds[c]}" for c, n in zip(keep, names, strict=True)], "lang_pred string, score double"])
-    return rows.mapInArrow(_predict(net), schema).withColumnsRenamed(dict(zip(names, keep, strict=True)))
+    return rows.mapInArrow(lean(_predict(net)), schema).withColumnsRenamed(dict(zip(names, keep, strict=True)))

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from acyclica.llm.shared import stored
+from acyclica.llm.workers import lean
 
 #: Nodes that a task's forest remembers; then it starts afresh.
 FOREST = 1_000_000
@@ -71,7 +72,7 @@ def _small_star(e: DataFrame) -> DataFrame:
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(id, root) of every linked node: root is the least node of its component. Links are (a, b) longs; repeated ones and loops don't matter."""
-    e = stored(links.filter("a <> b").mapInArrow(_contract, "a long, b long"), "links")
+    e = stored(links.filter("a <> b").mapInArrow(lean(_contract), "a long, b long"), "links")
     state = None
     for _ in range(max_rounds):
         e = stored(_small_star(_large_star(e)), "stars")

@@ -32,6 +32,7 @@ from acyclica.llm.links import components, forest
 from acyclica.llm.shared import stored
 from acyclica.llm.simhash import SEED, WORD, bucket_forest, distances
 from acyclica.llm.wordcache import drop_tokenizers, spread
+from acyclica.llm.workers import lean
 
 #: Words of a shingle.
 SHINGLE = 5
@@ -206,7 +207,7 @@ def _compared(members: DataFrame, pools: DataFrame, chosen: DataFrame) -> DataFr
     refs = here.join(_sent(chosen), "_id", "left_semi").select("_pool", F.explode(cells).alias("_c"), F.pmod(F.xxhash64("_id", F.lit(2)), "_blocks").alias("_b"), F.lit(0).alias("_role"), "_id", "_shingles")
     rows = here.select("_pool", F.pmod(F.xxhash64("_id", F.lit(1)), "_cells").alias("_c"), F.explode(blocks).alias("_b"), F.lit(1).alias("_role"), "_id", "_shingles")
     both = refs.unionByName(rows)
-    return both.repartition("_pool", "_c", "_b").sortWithinPartitions("_pool", "_c", "_b", "_role").mapInArrow(_versus, "a long, b long")
+    return both.repartition("_pool", "_c", "_b").sortWithinPartitions("_pool", "_c", "_b", "_role").mapInArrow(lean(_versus), "a long, b long")
 
 
 def _large(members: DataFrame, pools: DataFrame) -> DataFrame:
@@ -232,22 +233,22 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     empty table gives an empty result. docs is read twice: pass a stored table.
     """
     docs = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    sets = stored(docs.mapInArrow(_sets, "_id long, _set binary, _n long, _fp long, _d binary, _keys array<long>"), "near-sets")
+    sets = stored(docs.mapInArrow(lean(_sets), "_id long, _set binary, _n long, _fp long, _d binary, _keys array<long>"), "near-sets")
     nodes = stored(sets.groupBy("_set").agg(F.min("_id").alias("_node")), "near-nodes")
     filed = sets.join(nodes.select(F.col("_node").alias("_id")), "_id", "left_semi").select("_id", "_fp", "_d", F.explode("_keys").alias("_key"))
     filed = stored(filed.select("_key", "_id", "_fp", "_d"), "near-bands")
     hot = stored(filed.groupBy("_key").agg(F.count("*").alias("_c"), F.min("_id").alias("_hub")).filter(F.col("_c") > HOT).select("_key", "_hub"), "near-hot")
     cold = filed.join(_sent(hot.select("_key")), "_key", "left_anti")
-    found = cold.repartition("_key").sortWithinPartitions("_key", "_id").mapInArrow(bucket_forest(RADIUS, 1), "a long, b long")
+    found = cold.repartition("_key").sortWithinPartitions("_key", "_id").mapInArrow(lean(bucket_forest(RADIUS, 1)), "a long, b long")
     found = found.unionByName(filed.join(_sent(hot), "_key").select(F.col("_id").alias("a"), F.col("_hub").alias("b")))
     pool = components(found).select("root", "id")
     pool = stored(pool.union(pool.select("root", "root").distinct()).toDF("_pool", "_id").join(sets.select("_id", "_n"), "_id"), "near-pool")
     members = docs.join(_sent(pool.select("_id", "_pool")), "_id").select("_pool", "_id", "_text")
-    members = stored(members.mapInArrow(_texts_to_sets, "_pool long, _id long, _shingles binary"), "near-members")
+    members = stored(members.mapInArrow(lean(_texts_to_sets), "_pool long, _id long, _shingles binary"), "near-members")
     pools = stored(pool.groupBy("_pool").agg(F.count("*").alias("_many"), F.sum("_n").alias("_size")), "near-sizes")
     large = stored(pools.filter((F.col("_many") > ALONE) | (F.col("_size") > ALONE_SHINGLES)), "near-large")
     small = members.join(_sent(large.select("_pool")), "_pool", "left_anti").repartition("_pool").sortWithinPartitions("_pool")
-    links = small.mapInArrow(_alone, "a long, b long")
+    links = small.mapInArrow(lean(_alone), "a long, b long")
     if not large.isEmpty():
         links = links.unionByName(_large(members, large))
     label = components(links)

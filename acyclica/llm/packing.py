@@ -34,6 +34,7 @@ from pyspark.sql.window import Window
 
 from acyclica.llm.shared import stored
 from acyclica.llm.wordcache import MAX_PIECES, piece_tokenizer, spread
+from acyclica.llm.workers import lean
 
 #: Most rows of the offsets table that are broadcast.
 MAX_OFFSETS = 500_000
@@ -252,7 +253,7 @@ def pack(
         raise ValueError("quantum must divide window")
     kind, spark = dict(docs.dtypes)[id_col], docs.sparkSession
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("_source"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    tokens = stored(rows.mapInArrow(_encode(tokenizer, end_id, max_pieces), f"_id {kind}, _source string, _task long, _place long, _n long, _ids binary"), "pack-tokens")
+    tokens = stored(rows.mapInArrow(lean(_encode(tokenizer, end_id, max_pieces)), f"_id {kind}, _source string, _task long, _place long, _n long, _ids binary"), "pack-tokens")
     tasks = stored(tokens.groupBy("_source", "_task").agg(F.sum("_n").alias("_sum")), "pack-tasks")
     name = F.concat(F.lit("s"), "_source")
     if tasks.select("_source").distinct().count() > max_queues:
@@ -271,5 +272,5 @@ def pack(
     if offsets.count() <= MAX_OFFSETS:
         offsets = F.broadcast(offsets)
     placed = tokens.join(offsets, ["_source", "_task"]).select("_id", "_source", (F.col("_before") + F.col("_place")).alias("_start"), "_n", "_queue", "_ids")
-    out = placed.mapInArrow(_cut(shared, quantum, window), f"_id {kind}, _source string, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
+    out = placed.mapInArrow(lean(_cut(shared, quantum, window)), f"_id {kind}, _source string, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
     return out.withColumnsRenamed({"_id": id_col, "_source": source_col})

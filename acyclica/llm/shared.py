@@ -17,6 +17,8 @@ _scratch: list[tuple[SparkSession, str]] = []
 _named: dict[str, str] = {}
 #: Bytes of rows that go to a Python worker at a time (a longer row goes alone): Spark holds a few such batches for each task outside the heap, and the worker as many.
 BATCH_BYTES = "2MB"
+#: Rows that a Parquet reader decodes at a time: 4,096 long texts (Spark's default) are tens of MB in one array for each task.
+READ_ROWS = 512
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -32,8 +34,9 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Bounds the batches of this session's Python workers by bytes: by rows only, one of long texts takes many times the memory of others."""
+    """Bounds the batches of this session's Python workers by bytes, and its readers' by fewer rows: by many rows only, one of long texts takes many times the memory of others."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", READ_ROWS)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

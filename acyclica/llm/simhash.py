@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from acyclica.llm.links import components, forest
 from acyclica.llm.shared import stored
 from acyclica.llm.wordcache import drop_tokenizers
+from acyclica.llm.workers import lean
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 SEED = 42
@@ -174,7 +175,7 @@ def fingerprint_links(fps: DataFrame, max_bits: int = 4, hot: int = HOT) -> Data
         crowded = None if last else stored(rows.groupBy("_k", "_key").count().filter(F.col("count") > hot).select("_k", "_key"), "simhash-hot")
         more = not last and not crowded.isEmpty()
         cold = rows.join(F.broadcast(crowded) if crowded.count() < 100_000 else crowded, ["_k", "_key"], "left_anti") if more else rows
-        links = cold.repartition("_k", "_key").sortWithinPartitions("_k", "_key").mapInArrow(bucket_forest(max_bits, 2), "a long, b long")
+        links = cold.repartition("_k", "_key").sortWithinPartitions("_k", "_key").mapInArrow(lean(bucket_forest(max_bits, 2)), "a long, b long")
         out = links if out is None else out.unionByName(links)
         if not more:
             break
@@ -192,9 +193,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4, id_col
     table gives an empty result.
     """
     kind = dict(docs.dtypes)[id_col]
-    rows = stored(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(_fingerprints(shingle), f"_id {kind}, _fp long"), "simhash")
+    rows = stored(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(lean(_fingerprints(shingle)), f"_id {kind}, _fp long"), "simhash")
     least = rows.groupBy("_fp").agg(F.min("_id").alias("_least"))
-    classes = stored(least.mapInArrow(_with_distances, f"_fp long, _least {kind}, _d binary"), "simhash-pivots")
+    classes = stored(least.mapInArrow(lean(_with_distances), f"_fp long, _least {kind}, _d binary"), "simhash-pivots")
     label = components(fingerprint_links(classes.select("_fp", "_d"), max_bits))
     roots = stored(classes.select("_fp", "_least").join(label.withColumnRenamed("id", "_fp"), "_fp", "left").withColumn("_root", F.coalesce("root", "_fp")), "simhash-roots")
     # stored: Spark knows their sizes and can split hot roots and fingerprints

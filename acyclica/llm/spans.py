@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from acyclica.llm.shared import scratch_path, scratch_table, stored
+from acyclica.llm.workers import lean
 
 SPANS = "array<struct<s:int,e:int>>"
 
@@ -87,4 +88,4 @@ def cut(rows: DataFrame, spans: DataFrame, min_run: int = 1, text_col: str = "te
     lists = spans.groupBy("_rid").agg(F.collect_list(F.struct(F.col("s").cast("int").alias("s"), F.col("e").cast("int").alias("e"))).alias("_spans"))
     kind = rows.schema["_row"].dataType.simpleString()
     both = rows.select("_rid", "_row").join(lists, "_rid", "left")
-    return both.select("_row", F.coalesce(F.col("_row")[text_col], F.lit("")).alias("_text"), "_spans").mapInArrow(_cut(min_run), f"_row {kind}, n_bytes long, n_removed long, n_spans long, kept binary, spans {SPANS}")
+    return both.select("_row", F.coalesce(F.col("_row")[text_col], F.lit("")).alias("_text"), "_spans").mapInArrow(lean(_cut(min_run)), f"_row {kind}, n_bytes long, n_removed long, n_spans long, kept binary, spans {SPANS}")

@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 
 from acyclica.llm.shared import stored
 from acyclica.llm.spans import cut, merged, numbered
+from acyclica.llm.workers import lean
 
 ANCHOR = 40
 #: Bytes of contexts in one suffix array, about.
@@ -377,13 +378,13 @@ def _search(length: int, batch: int):
 
 def repeated_spans(rows: DataFrame, length: int = 200, batch: int = BATCH) -> DataFrame:
     """(_rid, s, e): spans of numbered rows whose union is every byte in a string of so many bytes that starts twice."""
-    found = rows.select("_rid", "_text").mapInArrow(_anchor_rows(length), ANCHORS_SQL)
-    judged = found.repartition(F.coalesce("_a", F.xxhash64("_rid", "_lo"))).sortWithinPartitions("_a", "_c").mapInArrow(_judge, JUDGED_SQL)
+    found = rows.select("_rid", "_text").mapInArrow(lean(_anchor_rows(length)), ANCHORS_SQL)
+    judged = found.repartition(F.coalesce("_a", F.xxhash64("_rid", "_lo"))).sortWithinPartitions("_a", "_c").mapInArrow(lean(_judge), JUDGED_SQL)
     run = F.struct(F.col("_a").alias("a"), F.col("_lo").alias("lo"), F.col("_hi").alias("hi"), F.col("_sure").alias("sure"))
     runs = judged.groupBy("_rid").agg(F.collect_list(run).alias("_runs"))
-    contexts = rows.select("_rid", "_text").join(runs, "_rid").select("_rid", "_text", "_runs").mapInArrow(_contexts(length), CONTEXT_SQL)
+    contexts = rows.select("_rid", "_text").join(runs, "_rid").select("_rid", "_text", "_runs").mapInArrow(lean(_contexts(length)), CONTEXT_SQL)
     dealt = contexts.repartition(F.coalesce("_a", F.xxhash64("_rid", "_lo"))).sortWithinPartitions("_a")
-    spans = stored(dealt.mapInArrow(_search(length, batch), FOUND_SQL), "suffix-spans")
+    spans = stored(dealt.mapInArrow(lean(_search(length, batch)), FOUND_SQL), "suffix-spans")
     windows = spans.filter("_h is not null")
     out = spans.filter("_h is null").select("_rid", "s", "e")
     if not windows.isEmpty():

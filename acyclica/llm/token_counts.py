@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from acyclica.llm.shared import scratch_path, stored
 from acyclica.llm.wordcache import piece_tokenizer
+from acyclica.llm.workers import lean
 
 CACHE = "tokenizer string, digest binary, n_tokens long"
 
@@ -79,10 +80,10 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, id_c
     text = F.coalesce(F.col(text_col), F.lit(""))
     digest = F.unhex(F.sha2(text, 256))
     known = read_cache(spark, cache).filter(F.col("tokenizer") == version)
-    texts = docs.select(digest.alias("digest"), text.alias("text")).mapInArrow(_first_of_task, "digest binary, text string")
+    texts = docs.select(digest.alias("digest"), text.alias("text")).mapInArrow(lean(_first_of_task), "digest binary, text string")
     if not known.isEmpty():
         texts = texts.join(known.select("digest"), "digest", "left_anti")
-    texts.repartition("digest").mapInArrow(_encoder(tokenizer, version), CACHE).write.mode("append").parquet(cache)
+    texts.repartition("digest").mapInArrow(lean(_encoder(tokenizer, version)), CACHE).write.mode("append").parquet(cache)
     counts = read_cache(spark, cache).filter(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     counts = stored(counts, "token-counts")  # of known size: rows of a hot digest can be split
     return (

@@ -19,6 +19,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from acyclica.llm.workers import lean
+
 #: Above this size a rule list is joined instead of broadcast.
 MAX_BYTES = 64 << 20
 ALLOW, BLOCK = "allow", "block"
@@ -156,4 +158,4 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]] | DataFrame, defau
         return _joined(rows, spark.createDataFrame([(i, *r) for i, r in enumerate(rules)], "_n long, verdict string, rule string"), default)
     shared = spark.sparkContext.broadcast(DigestArray(rules).data)
     kind = dict(rows.dtypes)[id_col]
-    return rows.mapInArrow(_judge(shared, default), f"`{id_col}` {kind}, host string, path string, rule string, verdict string")
+    return rows.mapInArrow(lean(_judge(shared, default)), f"`{id_col}` {kind}, host string, path string, rule string, verdict string")

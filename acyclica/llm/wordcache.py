@@ -14,8 +14,6 @@ decides). Texts with characters that may change a neighbour across a cut
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
 import json
 import os
 import re
@@ -27,6 +25,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from acyclica.llm.workers import give_back
+
+
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 OTHER_ASCII = r"\x00-\x40\x5b-\x60\x7b-\x7f"
 UNSURE = re.compile("[\x00-\x08\x0b-\x1f\x7f-\xa0Ǆ-ǌ̀-ͯΣ  -‏ -  　﻿]")
@@ -335,7 +336,7 @@ def piece_tokenizer(path: str, max_pieces: int = MAX_PIECES) -> PieceTokenizer:
 
 
 def drop_tokenizers() -> None:
-    """Frees what the worker keeps for encoding, and gives freed memory back to the system; called by operators that don't encode, as Spark uses workers again."""
-    _made.clear()
-    with contextlib.suppress(OSError, AttributeError):  # only where the C library has it
-        ctypes.CDLL(None).malloc_trim(0)
+    """Frees what the worker keeps for encoding, and gives it back to the system; called by operators that don't encode, as Spark uses workers again."""
+    if _made:
+        _made.clear()
+        give_back()
