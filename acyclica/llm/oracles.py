@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from acyclica.llm.queries import N_SHARDS, URL_RULES
 from acyclica.llm.quality import Limits
+from acyclica.llm.timestamps import MONTHS
 
 _SHARD = f"""
 WITH crc AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
@@ -47,4 +48,36 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
   CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND rate <= {_L.max_host_rate} AND rate <= {_L.max_host_ratio} * mean + 1e-9 AS kept FROM x JOIN v ON v.host = x.host
 """
 
-ORACLES: dict[str, str] = {"op2_sharding": _SHARD, "op3_url_filter": _URLS, "op8_quality_rules": _QUALITY}
+_CLOCK = r"([T ]([0-9]{2}):([0-9]{2})(:([0-9]{2}))?( ?([AP]M))?( ?(Z|[+-][0-9]{2}:?[0-9]{2}))?)?"
+_MONTHS = ", ".join(f"'{m}'" for m in MONTHS)
+_ZONES = "SELECT name FROM pg_timezone_names()"
+#: Offsets at instants are unambiguous; those a day about a wall time tell which one holds, as no zone changes twice in two days.
+_STAMPS = rf"""
+WITH s AS (SELECT stamp_id, source, zone, trim(raw, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM stamps),
+f AS (SELECT *, CASE
+    WHEN regexp_full_match(t, '20[0-9]{{2}}-[0-9]{{2}}-[0-9]{{2}}{_CLOCK}') THEN [t[1:4], t[6:7], t[9:10], '', t[11:]]
+    WHEN regexp_full_match(t, '20[0-9]{{6}}{_CLOCK}') THEN [t[1:4], t[5:6], t[7:8], '', t[9:]]
+    WHEN regexp_full_match(t, '[0-9]{{2}}[.][0-9]{{2}}[.]20[0-9]{{2}}{_CLOCK}') THEN [t[7:10], t[4:5], t[1:2], '', t[11:]]
+    WHEN regexp_full_match(t, '[0-9]{{2}} ({'|'.join(MONTHS)}) 20[0-9]{{2}}{_CLOCK}') THEN [t[8:11], lpad(CAST(list_position([{_MONTHS}], t[4:6]) AS VARCHAR), 2, '0'), t[1:2], '', t[12:]]
+    WHEN regexp_full_match(t, '[0-9]{{2}}/[0-9]{{2}}/20[0-9]{{2}}{_CLOCK}') THEN [t[7:10], t[4:5], t[1:2], '/', t[11:]] END AS p,
+  CASE WHEN regexp_full_match(t, '[0-9]{{10}}') THEN CAST(t AS BIGINT) * 1000000 WHEN regexp_full_match(t, '[0-9]{{13}}') THEN CAST(t AS BIGINT) * 1000 END AS epoch FROM s),
+g AS (SELECT *, TRY_CAST(p[1] || '-' || p[2] || '-' || p[3] AS DATE) AS dm0, CASE WHEN p[4] = '/' THEN TRY_CAST(p[1] || '-' || p[3] || '-' || p[2] AS DATE) ELSE TRY_CAST(p[1] || '-' || p[2] || '-' || p[3] AS DATE) END AS md0,
+  coalesce(TRY_CAST(p[5][2:3] AS INT), 0) AS h, coalesce(TRY_CAST(p[5][5:6] AS INT), 0) AS mi, coalesce(TRY_CAST(nullif(regexp_extract(p[5], '^.[0-9]{{2}}:[0-9]{{2}}:([0-9]{{2}})', 1), '') AS INT), 0) AS sec,
+  nullif(regexp_extract(p[5], '([AP]M)', 1), '') AS half, nullif(regexp_extract(p[5], '(Z|[+-][0-9]{{2}}:?[0-9]{{2}})$', 1), '') AS o FROM f),
+k AS (SELECT *, CASE WHEN half IS NULL THEN h ELSE h % 12 + CASE WHEN half = 'PM' THEN 12 ELSE 0 END END AS h24,
+  CASE WHEN o = 'Z' THEN 0 ELSE (CASE WHEN o[1] = '-' THEN -1 ELSE 1 END) * (TRY_CAST(o[2:3] AS INT) * 60 + TRY_CAST(o[-2:] AS INT)) END AS own,
+  (CASE WHEN half IS NULL THEN h <= 23 ELSE h BETWEEN 1 AND 12 END) AND mi <= 59 AND sec <= 59 AND (o IS NULL OR o = 'Z' OR (TRY_CAST(o[2:3] AS INT) <= 14 AND TRY_CAST(o[-2:] AS INT) <= 59))
+    AND (o IS NOT NULL OR coalesce(zone IN ({_ZONES}), false)) AS ok FROM g),
+d AS (SELECT *, CASE WHEN ok THEN dm0 END AS dm, CASE WHEN ok THEN md0 END AS md FROM k),
+v AS (SELECT source, count(*) FILTER (md IS NULL) AS dms, count(*) FILTER (dm IS NULL) AS mds FROM d WHERE p[4] = '/' AND (dm IS NULL) <> (md IS NULL) GROUP BY source),
+r AS (SELECT d.*, CASE WHEN dm <> md THEN (CASE WHEN coalesce(dms, 0) > 3 * coalesce(mds, 0) OR coalesce(mds, 0) > 3 * coalesce(dms, 0) THEN 'votes' ELSE 'default' END) WHEN epoch IS NOT NULL THEN 'epoch' WHEN coalesce(dm, md) IS NULL THEN 'bad' ELSE 'plain' END AS rule,
+  CASE WHEN dm <> md THEN (CASE WHEN coalesce(dms, 0) > 3 * coalesce(mds, 0) THEN dm ELSE md END) ELSE coalesce(dm, md) END AS day FROM d LEFT JOIN v ON d.source IS NOT DISTINCT FROM v.source),
+w AS (SELECT stamp_id, zone, rule, epoch, own, o, day + CAST(h24 * 3600 + mi * 60 + sec AS INT) * INTERVAL 1 SECOND AS wall FROM r),
+x AS (SELECT *, epoch_us(wall) AS wall_us, CASE WHEN o IS NULL AND rule NOT IN ('bad', 'epoch') THEN zone END AS z FROM w),
+b AS (SELECT *, epoch_us(timezone(z, make_timestamptz(wall_us - 86400000000))) - (wall_us - 86400000000) AS ob, epoch_us(timezone(z, make_timestamptz(wall_us + 86400000000))) - (wall_us + 86400000000) AS oa FROM x),
+c AS (SELECT *, epoch_us(timezone(z, make_timestamptz(wall_us - ob))) - (wall_us - ob) = ob AS vb, epoch_us(timezone(z, make_timestamptz(wall_us - oa))) - (wall_us - oa) = oa AS va FROM b)
+SELECT stamp_id, CAST(CASE WHEN rule = 'bad' THEN NULL WHEN rule = 'epoch' THEN epoch WHEN z IS NULL THEN wall_us - own * 60000000::BIGINT WHEN ob = oa OR vb OR NOT va THEN wall_us - ob ELSE wall_us - oa END AS BIGINT) AS utc_us,
+  rule, rule IN ('votes', 'default') OR coalesce(ob <> oa AND va = vb, false) AS ambiguous FROM c
+"""
+
+ORACLES: dict[str, str] = {"op2_sharding": _SHARD, "op3_url_filter": _URLS, "op8_quality_rules": _QUALITY, "op11_timestamps": _STAMPS}

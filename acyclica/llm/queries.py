@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from acyclica.llm import chunk_dedup, decontaminate, language_id, packing, quality, sharding, simhash, suffix_dedup, token_counts, url_filter
+from acyclica.llm import chunk_dedup, decontaminate, language_id, packing, quality, sharding, simhash, suffix_dedup, timestamps, token_counts, url_filter
 from acyclica.llm.shared import bounded_batches, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,6 +73,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, net, ["doc_id", "held_out"])
 
 
+def op11_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timestamps.normalise(table(spark, sf_dir, "stamps")).select("stamp_id", "utc_us", "rule", "ambiguous")
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
     "op2_sharding": op2_sharding,
@@ -84,4 +88,5 @@ QUERIES: dict[str, Query] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_language_id": op10_language_id,
+    "op11_timestamps": op11_timestamps,
 }
