@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from acyclica.llm import chunk_dedup, decontaminate, language_id, packing, quality, sharding, simhash, suffix_dedup, timestamps, token_counts, url_filter
+from acyclica.llm import chunk_dedup, decontaminate, language_id, packing, pieces, quality, sharding, simhash, suffix_dedup, timestamps, token_counts, url_filter
 from acyclica.llm.shared import bounded_batches, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,6 +77,14 @@ def op11_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timestamps.normalise(table(spark, sf_dir, "stamps")).select("stamp_id", "utc_us", "rule", "ambiguous")
 
 
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
+    model = tokenizer_file("piece_bpe_32k.model")
+    out = pieces.decode(pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model).select("_row.doc_id", "ids"), model)
+    ids = F.concat_ws(",", F.col("ids").cast("array<string>"))
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
     "op2_sharding": op2_sharding,
@@ -89,4 +97,5 @@ QUERIES: dict[str, Query] = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_language_id": op10_language_id,
     "op11_timestamps": op11_timestamps,
+    "op13_sentencepiece": op13_sentencepiece,
 }
