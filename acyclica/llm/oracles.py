@@ -80,4 +80,23 @@ SELECT stamp_id, CAST(CASE WHEN rule = 'bad' THEN NULL WHEN rule = 'epoch' THEN
   rule, rule IN ('votes', 'default') OR coalesce(ob <> oa AND va = vb, false) AS ambiguous FROM c
 """
 
-ORACLES: dict[str, str] = {"op2_sharding": _SHARD, "op3_url_filter": _URLS, "op8_quality_rules": _QUALITY, "op11_timestamps": _STAMPS}
+_PHRASES = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+p AS (SELECT lang, regexp_extract_all(unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM d),
+g AS (SELECT lang, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM p, range(1, 6) AS t(k) WHERE len(w) >= k),
+c AS (SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(f) AS n FROM c WHERE k = 1 GROUP BY lang),
+a AS (SELECT * FROM c WHERE k > 1 AND f >= 100),
+inner_parts AS (SELECT lang, f, unnest([array_to_string(string_split(phrase, ' ')[2:], ' '), array_to_string(string_split(phrase, ' ')[:-2], ' ')]) AS phrase FROM a WHERE k > 2),
+most AS (SELECT lang, phrase, max(f) AS f FROM inner_parts GROUP BY ALL),
+kept AS (SELECT a.* FROM a LEFT JOIN most USING (lang, phrase) WHERE most.f IS NULL OR 100 * most.f < 100 * a.f),
+cuts AS (SELECT lang, k, phrase, f, unnest(range(1, k)) AS cut FROM kept),
+parts AS (SELECT *, array_to_string(string_split(phrase, ' ')[1 : cut], ' ') AS x, array_to_string(string_split(phrase, ' ')[cut + 1 :], ' ') AS y FROM cuts),
+s AS (SELECT parts.*, cl.f AS l, cr.f AS r, n.n, 1000 * CAST(parts.f AS HUGEINT) * CAST(n.n AS HUGEINT) // (CAST(cl.f AS HUGEINT) * CAST(cr.f AS HUGEINT)) AS score
+  FROM parts JOIN c cl ON cl.lang = parts.lang AND cl.phrase = x JOIN c cr ON cr.lang = parts.lang AND cr.phrase = y JOIN n ON n.lang = parts.lang),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, f DESC, phrase) AS rank FROM b)
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(f AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM o WHERE rank <= 2000
+"""
+
+ORACLES: dict[str, str] = {"op2_sharding": _SHARD, "op3_url_filter": _URLS, "op8_quality_rules": _QUALITY, "op11_timestamps": _STAMPS, "op12_collocations": _PHRASES}

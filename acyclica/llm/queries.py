@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from acyclica.llm import chunk_dedup, decontaminate, language_id, packing, pieces, quality, sharding, simhash, suffix_dedup, timestamps, token_counts, url_filter
+from acyclica.llm import chunk_dedup, decontaminate, language_id, packing, phrases, pieces, quality, sharding, simhash, suffix_dedup, timestamps, token_counts, url_filter
 from acyclica.llm.shared import bounded_batches, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,6 +77,11 @@ def op11_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timestamps.normalise(table(spark, sf_dir, "stamps")).select("stamp_id", "utc_us", "rule", "ambiguous")
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
+    return phrases.collocations(table(spark, sf_dir, "documents"), top=2000, max_words=5, at_least=100, percent=100)
+
+
 def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
     model = tokenizer_file("piece_bpe_32k.model")
@@ -97,5 +102,6 @@ QUERIES: dict[str, Query] = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_language_id": op10_language_id,
     "op11_timestamps": op11_timestamps,
+    "op12_collocations": op12_collocations,
     "op13_sentencepiece": op13_sentencepiece,
 }
