@@ -7,16 +7,19 @@ has the length of its longest substring, a link to the longest suffix that ends
 at more places, and their number. Shards enumerate their states' substrings and
 the counts are added up over all shards.
 
-So that shards don't hand on every rare sequence, a first pass adds up hashes of
-words and word pairs, and the second enumerates only within runs of pairs whose
-hash is frequent; the hashes are marked in a bitmap of fixed size. Two sequences
-of one mark let more through and change nothing: what is counted is the text.
+So that shards don't hand on every rare sequence, lengths are taken in turn: a
+first pass adds up hashes of words and pairs, a second the words and frequent
+pairs themselves and hashes of triples of frequent pairs, a third enumerates
+longer sequences of frequent triples. Frequent hashes are marked in a bitmap of
+fixed size. Two sequences of one mark let more through and change nothing: what
+is counted is the text.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -164,37 +167,81 @@ def marks(frequent: DataFrame) -> np.ndarray:
     return out
 
 
-def _phrase_counts(bitmap, depth: int):
-    """(lang, phrase, n) of the words and runs of words that may be frequent; the phrase is null for the number of all words."""
+def _segments(symbols: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
+    """The symbols of runs of neighbouring starts (each stands for width symbols), with a zero before each run."""
+    if not len(starts):
+        return np.zeros(1, np.int64)
+    new = np.concatenate([[True], np.diff(starts) > 1])
+    first, last = starts[new], starts[np.concatenate([new[1:], [True]])] + width
+    size = last - first + 1
+    take = np.repeat(first - np.cumsum(size) + size - 1, size) + np.arange(int(size.sum()))
+    out = symbols[take]
+    out[np.cumsum(size) - size] = 0
+    return out
 
-    def rows(shard: _Shard) -> Iterator[tuple[str | None, int]]:
-        symbols, h = shard.symbols(), shard.hashes()
-        yield None, int((symbols > 0).sum())
-        (often,) = np.nonzero(_marked(bitmap.value, h))
-        words = list(shard.words)
-        used = np.bincount(symbols, minlength=len(words))
-        yield from ((words[w].decode(), int(used[w])) for w in often.tolist() if w and used[w])
-        left, right = symbols[:-1], symbols[1:]
-        pair = (left > 0) & (right > 0)
-        pair[pair] = _marked(bitmap.value, pair_hash(h[left[pair]], h[right[pair]]))
-        # runs of frequent pairs, each behind a zero
-        keep = np.concatenate([[False], pair]) | np.concatenate([pair, [False]])
-        begins = keep & ~np.concatenate([[False], pair])
-        (at,) = np.nonzero(keep)
-        runs = np.insert(symbols[at], np.nonzero(begins[at])[0], 0)
-        a = automaton(runs, depth)
-        for n, low, high, end in zip(a.count.tolist(), a.shortest.tolist(), a.length.tolist(), a.end.tolist(), strict=True):
-            if high > 1:
-                run = [words[w] for w in runs[end - high + 1 : end + 1].tolist()]
-                for k in range(max(low, 2), high + 1):  # all substrings of a state end at the same places
-                    yield b" ".join(run[high - k :]).decode(), n
+
+def _frequent_pairs(symbols: np.ndarray, h: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """Where a marked pair begins."""
+    (at,) = np.nonzero((symbols[:-1] > 0) & (symbols[1:] > 0))
+    return at[_marked(pairs, pair_hash(h[symbols[at]], h[symbols[at + 1]]))]
+
+
+def _triple_hash(symbols: np.ndarray, h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return pair_hash(pair_hash(h[symbols[at]], h[symbols[at + 1]]), h[symbols[at + 2]])
+
+
+def _strings(words: list[bytes], symbols: np.ndarray, a: Automaton, low: int, high: int) -> Iterator[tuple[str, int]]:
+    """(phrase, count) of the substrings of low to high words."""
+    for n, least, most, end in zip(a.count.tolist(), a.shortest.tolist(), a.length.tolist(), a.end.tolist(), strict=True):
+        if most >= low:
+            run = [words[w] for w in symbols[end - most + 1 : end + 1].tolist()]
+            for k in range(max(least, low), min(most, high) + 1):  # all substrings of a state end at the same places
+                yield b" ".join(run[most - k :]).decode(), n
+
+
+def _batches(lang: str, rows: Iterator[tuple[str, int]]) -> Iterator[pa.RecordBatch]:
+    while some := list(islice(rows, 100_000)):
+        phrases, counts = zip(*some, strict=True)
+        yield _batch(lang, phrases, None, counts)
+
+
+def _batch(lang: str | None, phrases, hashes, counts) -> pa.RecordBatch:
+    n = len(counts)
+    cols = [pa.array([lang] * n, pa.string()), pa.nulls(n, pa.string()) if phrases is None else pa.array(phrases, pa.string()), pa.nulls(n, pa.int64()) if hashes is None else pa.array(hashes), pa.array(counts, pa.int64())]
+    return pa.RecordBatch.from_arrays(cols, names=["lang", "phrase", "h", "n"])
+
+
+COUNTED = "lang string, phrase string, h long, n long"
+
+
+def _short_counts(pairs):
+    """(lang, phrase, n) of all words and of marked pairs; (h, n) of triples of marked pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard in _shards(batches):
+            symbols, h, words = shard.symbols(), shard.hashes(), list(shard.words)
+            used = np.bincount(symbols, minlength=len(words)).tolist()
+            yield from _batches(shard.lang, ((w.decode(), n) for i, (w, n) in enumerate(zip(words, used, strict=True)) if i and n))
+            runs = _segments(symbols, _frequent_pairs(symbols, h, pairs.value), 2)
+            a = automaton(runs, 3)
+            yield from _batches(shard.lang, _strings(words, runs, a, 2, 2))
+            three = a.length == 3
+            yield _batch(None, None, _triple_hash(runs, h, a.end[three] - 2).view(np.int64), a.count[three])
+
+    return run
+
+
+def _long_counts(pairs, triples, depth: int):
+    """(lang, phrase, n) of sequences of marked triples, of 3 to depth words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in _shards(batches):
-            found = list(rows(shard))
-            for i in range(0, len(found), 100_000):
-                phrases, counts = zip(*found[i : i + 100_000], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array([shard.lang] * len(phrases), pa.string()), pa.array(phrases, pa.string()), pa.array(counts, pa.int64())], names=["lang", "phrase", "n"])
+            symbols, h = shard.symbols(), shard.hashes()
+            at = _frequent_pairs(symbols, h, pairs.value)
+            at = at[:-1][np.diff(at) == 1]
+            at = at[_marked(triples.value, _triple_hash(symbols, h, at))]
+            runs = _segments(symbols, at, 3)
+            yield from _batches(shard.lang, _strings(list(shard.words), runs, automaton(runs, depth), 3, depth))
 
     return run
 
@@ -203,10 +250,18 @@ def phrase_counts(docs: DataFrame, depth: int, at_least: int, text_col: str = "t
     """(lang, phrase, f) of words and phrases of up to depth words that occur at_least times in a language, and the number of all its words with a null phrase."""
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    often = F.col("n") >= at_least
     hashed = texts.mapInArrow(lean(_hash_counts), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    bitmap = spark.sparkContext.broadcast(marks(hashed.filter(F.col("n") >= at_least)))
-    counted = texts.mapInArrow(lean(_phrase_counts(bitmap, depth)), "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
-    return stored(counted.filter(F.col("phrase").isNull() | (F.col("f") >= at_least)), "phrase-counts")
+    pairs = spark.sparkContext.broadcast(marks(hashed.filter(often)))
+    counted = lambda f: texts.mapInArrow(lean(f), COUNTED).groupBy("lang", "phrase", "h").agg(F.sum("n").alias("n"))
+    word = F.col("phrase").isNotNull() & ~F.contains("phrase", F.lit(" "))
+    short = stored(counted(_short_counts(pairs)).filter(often | word), "phrase-short")
+    total = short.filter(word).groupBy("lang").agg(F.lit(None).cast("string").alias("phrase"), F.sum("n").alias("f"))
+    out = short.filter(often & F.col("phrase").isNotNull()).select("lang", "phrase", F.col("n").alias("f"))
+    if depth > 2:
+        triples = spark.sparkContext.broadcast(marks(short.filter("h is not null")))
+        out = out.unionByName(counted(_long_counts(pairs, triples, depth)).filter(often).select("lang", "phrase", F.col("n").alias("f")))
+    return stored(out.unionByName(total), "phrase-counts")
 
 
 def words_of(phrase: str = "phrase") -> Column:
