@@ -13,6 +13,8 @@ from itertools import combinations as choose
 
 import numpy as np
 
+from acyclica.functions.sequence import SPAN, Sequence
+
 
 class LocalGraph:
     def __init__(self, edges: Iterable[tuple[int, int]] = ()):
@@ -106,6 +108,26 @@ def strong_components(out: dict[int, set[int]]) -> Iterator[list[int]]:
                     yield found
 
 
+def weighted_levels(edges: list[tuple[int, int, int]], root: int) -> dict[int, int]:
+    """The weight of the heaviest way from the root to each vertex that no cycle leads to; the root leads to all that no other edge enters."""
+    out: dict[int, list[tuple[int, int]]] = {}
+    waiting: dict[int, int] = {}
+    for a, b, w in edges:
+        out.setdefault(a, []).append((b, w))
+        waiting[b] = waiting.get(b, 0) + 1
+    level, ready = {root: 0}, [root]
+    best: dict[int, int] = {}
+    while ready:
+        a = ready.pop()
+        for b, w in out.get(a, ()):
+            best[b] = max(best.get(b, 0), level[a] + w)
+            waiting[b] -= 1
+            if not waiting[b]:
+                level[b] = best[b]
+                ready.append(b)
+    return level
+
+
 def levels(g: LocalGraph) -> dict[int, int]:
     """Level of each vertex that no cycle leads to: the edges on the longest way to it."""
     degree = {v: len(p) for v, p in g.into.items()}
@@ -285,41 +307,54 @@ def improve(g: LocalGraph, solution: set[int], rounds: int, seed: int, until: fl
     return best
 
 
-def anneal(g: LocalGraph, seed: int, start: set[int] | None = None, heat: float = 0.6, cooling: float = 0.99, moves: int | None = None, fails: int = 50) -> set[int]:
-    """Simulated annealing on acyclic sequences: an unplaced vertex enters behind its last placed predecessor or before its first placed successor; what it contradicts leaves."""
+def anneal(g: LocalGraph, seed: int, start: set[int] | None = None, heat: float = 0.6, cooling: float = 0.99, moves: int | None = None, fails: int = 50, until: float | None = None) -> set[int]:
+    """Simulated annealing on acyclic sequences: an unplaced vertex enters behind its last placed predecessor or before its first placed successor; what it contradicts leaves.
+
+    A move costs the vertex's edges. The best answer so far is what is placed
+    now but for what has changed since; it stands when time is up.
+    """
     rng = np.random.default_rng(seed)
     loops = {v for v in g.out if v in g.out[v]}
-    sequence = topological(g.without(loops | (start or set(g.out)))) if start is not None else []
-    rest = sorted(set(g.out) - loops - set(sequence))
-    best = list(sequence)
+    sequence = Sequence(topological(g.without(loops | (start or set(g.out)))) if start is not None else [])
+    rest = sorted(v for v in g.out if v not in loops and v not in sequence)
+    label, most, changed = sequence.label, len(sequence), set()
     moves = 5 * len(g.out) if moves is None else moves
-    failed = 0
+    failed, tried = 0, 0
     while failed < fails and rest:
         better, accepted = False, 0
         for _ in range(4 * moves):  # attempts are bounded too
-            if accepted >= moves or not rest:
+            tried += 1
+            if accepted >= moves or not rest or (until is not None and tried % 256 == 0 and time.monotonic() >= until):
                 break
             k = int(rng.integers(len(rest)))
             v = rest[k]
-            place = {x: i for i, x in enumerate(sequence)}
             if rng.random() < 0.5:
-                at = 1 + max((place[p] for p in g.into[v] if p in place), default=-1)
-                clash = {s for s in g.out[v] if place.get(s, at) < at}
+                behind = max((p for p in g.into[v] if p in label), key=label.__getitem__, default=None)
+                at = -1 if behind is None else label[behind]
+                clash = {s for s in g.out[v] if label.get(s, SPAN) <= at}
             else:
-                at = min((place[s] for s in g.out[v] if s in place), default=len(sequence))
-                clash = {p for p in g.into[v] if place.get(p, -1) >= at}
+                ahead = min((s for s in g.out[v] if s in label), key=label.__getitem__, default=None)
+                behind = sequence.before[ahead]
+                at = SPAN if ahead is None else label[ahead]
+                clash = {p for p in g.into[v] if label.get(p, -1) >= at}
             loss = len(clash) - 1
             if loss <= 0 or rng.random() < math.exp(-loss / heat):
-                sequence = [x for x in [*sequence[:at], v, *sequence[at:]] if x not in clash]
+                sequence.insert(v, behind)
+                for x in sorted(clash):
+                    sequence.remove(x)
                 rest[k] = rest[-1]
                 rest.pop()
                 rest += sorted(clash)
+                changed ^= clash | {v}
                 accepted += 1
-                if len(sequence) > len(best):
-                    best, better = list(sequence), True
+                if len(sequence) > most:
+                    most, better = len(sequence), True
+                    changed.clear()
         failed = 0 if better else failed + 1
         heat *= cooling
-    return set(g.out) - set(best)
+        if until is not None and time.monotonic() >= until:
+            break
+    return set(g.out) - (set(label) ^ changed)
 
 
 def cycle_bound(g: LocalGraph) -> int:

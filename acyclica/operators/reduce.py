@@ -64,14 +64,30 @@ def pie_edges(edges: DataFrame, limits: Limits = Limits()) -> DataFrame:
 
 
 def core_vertices(edges: DataFrame) -> DataFrame:
-    """(id, d) of CORE vertices: mutual edges only, and the d neighbours are a clique of mutual edges. No self loops may be left."""
+    """(id, d) of CORE vertices: mutual edges only, and the d neighbours are a clique of mutual edges. No self loops may be left.
+
+    No neighbour of a core has fewer mutual edges than the core, so a vertex with
+    one that has is out before any pair is looked at: a hub makes no pairs.
+    Cores of one clique have the same neighbourhood, themselves included; of the
+    vertices whose neighbourhoods have one signature only the least is verified,
+    by counting the edges among its neighbours, and the others are cores if they
+    are neighbours of it: they then have every vertex of the clique beside them.
+    """
     pi = settle(graph.with_reciprocity(edges))
-    only = settle(graph.pi_vertices(edges, pi).select("id", F.col("deg_out").alias("d")))
-    mutual = pi.filter("is_pi and src <> dst").select("src", "dst")
-    spokes = mutual.join(only.select(F.col("id").alias("src")), "src", "left_semi")
-    wedges = spokes.select(F.col("src").alias("u"), F.col("dst").alias("v")).join(spokes.select(F.col("src").alias("u"), F.col("dst").alias("w")), "u").filter("v <> w")
-    closed = wedges.join(mutual.select(F.col("src").alias("v"), F.col("dst").alias("w")), ["v", "w"], "left_semi").groupBy(F.col("u").alias("id")).agg(F.count("*").alias("_pairs"))
-    return only.join(closed, "id", "left").filter(F.coalesce("_pairs", F.lit(0)) == F.col("d") * (F.col("d") - 1)).select("id", "d")
+    only = graph.pi_vertices(edges, pi).select("id", F.col("deg_out").alias("d"))
+    mutual = settle(pi.filter("is_pi and src <> dst").select("src", "dst"))
+    degree = mutual.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("dst")).alias("_sum"))
+    around = mutual.join(degree.select(F.col("id").alias("dst"), "n"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("n").alias("_least"))
+    maybe = only.join(degree, "id").join(around, "id").filter("d = n and d <= _least")
+    maybe = settle(maybe.select("id", "d", F.col("_sum").bitwiseXOR(F.xxhash64("id")).alias("sign")))
+    reps = settle(maybe.groupBy("sign", "d").agg(F.min("id").alias("rep")))
+    spokes = mutual.join(reps.select(F.col("rep").alias("src")), "src", "left_semi").select(F.col("src").alias("rep"), "dst")
+    pairs = spokes.withColumnRenamed("dst", "src").join(spokes, "rep").filter("src < dst")
+    closed = pairs.join(mutual, ["src", "dst"], "left_semi").groupBy("rep").agg(F.count("*").alias("_pairs"))
+    cores = reps.join(closed, "rep", "left").filter(F.coalesce("_pairs", F.lit(0)) * 2 == F.col("d") * (F.col("d") - 1)).select("rep", "sign", "d")
+    alike = maybe.join(cores, ["sign", "d"])
+    beside = mutual.select(F.col("src").alias("rep"), F.col("dst").alias("id"))
+    return alike.filter("id = rep").select("id", "d").unionByName(alike.join(beside, ["rep", "id"], "left_semi").select("id", "d"))
 
 
 def core_representatives(edges: DataFrame) -> DataFrame:
@@ -95,15 +111,36 @@ def cored(state: State) -> State:
 
 
 def dome_edges(edges: DataFrame) -> DataFrame:
-    """DOME: one-way edges (u, v) whose one-way predecessors of u all lead to v, or whose one-way successors of v all follow u."""
+    """DOME: one-way edges (u, v) whose one-way predecessors of u all lead to v, or whose one-way successors of v all follow u.
+
+    Counts reject most edges: u may have no more such predecessors than v has
+    predecessors, and the first of them by hash must lead to v. What is left is
+    counted in full from that smaller side, and by successors only where
+    predecessors don't decide.
+    """
     e = settle(graph.with_reciprocity(edges))
-    every, one_way = e.select("src", "dst"), e.filter("not is_pi").select(F.col("src").alias("u"), F.col("dst").alias("v"))
-    before = one_way.join(one_way.select(F.col("u").alias("p"), F.col("v").alias("u")), "u")
-    free_before = before.join(every.select(F.col("src").alias("p"), F.col("dst").alias("v")), ["p", "v"], "left_anti").select("u", "v")
-    after = one_way.join(one_way.select(F.col("u").alias("v"), F.col("v").alias("s")), "v")
-    free_after = after.join(every.select(F.col("src").alias("u"), F.col("dst").alias("s")), ["u", "s"], "left_anti").select("u", "v")
-    bound = free_before.distinct().intersect(free_after.distinct())
-    return one_way.join(bound, ["u", "v"], "left_anti").select(F.col("u").alias("src"), F.col("v").alias("dst"))
+    one_way = settle(e.filter("not is_pi").select("src", "dst"))
+    every = e.select("src", "dst")
+    before = settle(_closed_over(one_way, every))
+    rest = one_way.join(before, ["src", "dst"], "left_anti")
+    flip = graph.transpose
+    after = _closed_over(flip(one_way), flip(every), flip(rest))
+    return before.unionByName(flip(after))
+
+
+def _closed_over(one_way: DataFrame, every: DataFrame, which: DataFrame | None = None) -> DataFrame:
+    """The edges (src, dst) of which all one-way predecessors of src lead to dst."""
+    which = one_way if which is None else which
+    first = F.min_by("src", F.struct(F.xxhash64("src"), "src"))
+    ahead = one_way.groupBy(F.col("dst").alias("src")).agg(F.count("*").alias("n"), first.alias("witness"))
+    into = every.groupBy("dst").agg(F.count("*").alias("most"))
+    counted = which.join(ahead, "src", "left").join(into, "dst")
+    some = counted.filter("n <= most")
+    seen = settle(some.join(every.select(F.col("src").alias("witness"), "dst"), ["witness", "dst"], "left_semi").select("src", "dst", "n"))
+    wedges = seen.filter("n > 1").join(one_way.select(F.col("src").alias("p"), F.col("dst").alias("src")), "src")
+    closed = wedges.join(every.select(F.col("src").alias("p"), "dst"), ["p", "dst"], "left_semi").groupBy("src", "dst", "n").agg(F.count("*").alias("_closed"))
+    out = counted.filter("n is null").select("src", "dst").unionByName(seen.filter("n = 1").select("src", "dst"))
+    return out.unionByName(closed.filter("_closed = n").select("src", "dst"))
 
 
 def reduce_graph(edges: DataFrame, limits: Limits = Limits(), dominated: bool = True, deadline: Deadline | None = None) -> State:
@@ -125,7 +162,7 @@ def reduce_graph(edges: DataFrame, limits: Limits = Limits(), dominated: bool =
         state = cored(state)
         state.edges = settle(state.edges)
         n = state.edges.count()
-        if dominated and n == m and n <= limits.wedge_edges:
+        if dominated and n == m:
             state.edges = settle(graph.delete_edges(state.edges, dome_edges(state.edges)))
             n = state.edges.count()
         if n == m:

@@ -39,7 +39,7 @@ def greedy(edges: DataFrame, limits: Limits = Limits(), fraction: int | None = N
     fraction = fraction or how.fraction
     out = edges.sparkSession.createDataFrame([], "id long, origin string")
     solver = grouped.greedy_solver(fraction, rounds, seed, None if deadline is None else deadline.seconds)
-    for _ in range(limits.max_rounds):
+    while True:  # each round takes vertices, so this ends
         state = reduce_graph(edges, limits)
         out = out.unionByName(tagged(state.forced, "forced"))
         parts = settle(split(state.edges, limits))
@@ -63,7 +63,6 @@ def greedy(edges: DataFrame, limits: Limits = Limits(), fraction: int | None = N
         edges = settle(graph.remove_vertices(large.select("src", "dst"), best, best.count()))
         if deadline is not None and deadline.over():
             return settle(out.unionByName(tagged(graph.vertices(edges), "cut short")))
-    raise RuntimeError("greedy did not settle")
 
 
 def without_redundant(edges: DataFrame, solution: DataFrame, limits: Limits = Limits(), fraction: int = 150) -> DataFrame:
@@ -85,16 +84,91 @@ def without_redundant(edges: DataFrame, solution: DataFrame, limits: Limits = Li
     return settle(graph.union(kept, answer))
 
 
-def fvs(edges: DataFrame, limits: Limits = Limits(), seed: int = 1, rounds: int | None = None, seconds: float | None = None) -> DataFrame:
-    """(id, origin): reduce, greedy by component, drop what is needless, perturb and repair within the regime of the graph's size; always a whole answer."""
+def drawn(ids: DataFrame, share: float, seed: int) -> DataFrame:
+    """About that share of ids(id), by the order of their hashes: the same rows on any partitioning, and never none."""
+    place = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 53)) / float(1 << 53)
+    some = settle(ids.select("id").filter(place < share))
+    return some if not some.isEmpty() else ids.select("id").orderBy(place, "id").limit(1)
+
+
+class Incumbents:
+    """The best answer of an improvement, written once a round; in a folder that outlives the driver a later run goes on from it."""
+
+    def __init__(self, spark, folder: str | None, seed: int):
+        self.spark, self.folder, self.seed = spark, folder, seed
+
+    def _path(self, i: int) -> str:
+        return f"{self.folder}/seed-{self.seed}/round-{i:06}"
+
+    def last(self) -> tuple[int, DataFrame] | None:
+        """The number of rounds that are done, and their answer."""
+        if self.folder is None:
+            return None
+        jvm = self.spark.sparkContext._jvm
+        top = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/seed-{self.seed}")
+        fs = top.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(top):
+            return None
+        names = sorted(f.getPath().getName() for f in fs.listStatus(top))
+        whole = [n for n in names if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.folder}/seed-{self.seed}/{n}/_SUCCESS"))]
+        return (int(whole[-1][6:]), self.spark.read.schema("id long").parquet(self._path(int(whole[-1][6:])))) if whole else None
+
+    def keep(self, i: int, ids: DataFrame) -> DataFrame:
+        if self.folder is None:
+            return settle(ids)
+        ids.write.mode("overwrite").parquet(self._path(i))
+        return self.spark.read.schema("id long").parquet(self._path(i))
+
+
+def improved(edges: DataFrame, answer: DataFrame, rounds: int, seed: int = 1, limits: Limits = Limits(), fraction: int = 150, deadline: Deadline | None = None, folder: str | None = None) -> DataFrame:
+    """(id) of an answer that is no larger, by perturbing and repairing the whole graph in each round.
+
+    A share of the other vertices, drawn by hash, joins the answer. What is still
+    needed of both stays, the rest of the graph is solved anew without it, and
+    the outcome is the new answer unless it is larger. Every answer is whole and
+    doesn't depend on partitions. With a folder, each round's answer is kept
+    there and a run that was cut off goes on behind its last round.
+    """
+    edges = settle(edges.select("src", "dst"))
+    everyone = settle(graph.vertices(edges))
+    n, kept = everyone.count(), Incumbents(edges.sparkSession, folder, seed)
+    done, best = kept.last() or (0, settle(answer.select("id").distinct().join(everyone, "id", "left_semi")))
+    size = best.count()
+    for i in range(done, rounds):
+        if not size or size == n or (deadline is not None and deadline.over()):
+            break
+        more = max(1, min(n - size, size) // (2 + i % 9))
+        more = drawn(everyone.join(best, "id", "left_anti"), more / (n - size), seed * 1_000_003 + i)
+        both = settle(best.unionByName(more))
+        stays = settle(both.join(structure.redundant(edges, both, limits), "id", "left_anti"))
+        rest = settle(graph.remove_vertices(edges, stays))
+        new = settle(stays.unionByName(greedy(rest, limits, fraction, deadline=deadline).select("id")))
+        m = new.count()
+        best, size = (kept.keep(i + 1, new), m) if m <= size else (kept.keep(i + 1, best), size)
+    return best
+
+
+def fvs(edges: DataFrame, limits: Limits = Limits(), seed: int = 1, rounds: int | None = None, seconds: float | None = None, folder: str | None = None) -> DataFrame:
+    """(id, origin): reduce, greedy by component, drop what is needless, perturb and repair within the regime of the graph's size; always a whole answer.
+
+    Components that fit a task are improved there, larger ones in rounds over
+    all of them; a folder keeps the answers of those rounds.
+    """
     deadline = Deadline(seconds)
     how = regime(edges.count())
-    answer = greedy(edges, limits, how.fraction, how.rounds if rounds is None else rounds, seed, deadline)
+    rounds = how.rounds if rounds is None else rounds
+    answer = greedy(edges, limits, how.fraction, rounds, seed, deadline)
     if answer.filter("origin = 'greedy'").isEmpty() or deadline.over():
         return answer
     forced = answer.filter("origin = 'forced'")
     rest = settle(graph.remove_vertices(edges, forced))
     kept = without_redundant(rest, answer.filter("origin <> 'forced'"), limits, how.fraction)
+    parts = split(rest, limits)
+    large = settle(parts.join(parts.groupBy("comp").agg(F.count("*").alias("m")).filter(F.col("m") > limits.local_edges).select("comp"), "comp", "left_semi").select("src", "dst"))
+    if rounds and not large.isEmpty() and not deadline.over():
+        inside = settle(graph.vertices(large))
+        better = improved(large, kept, rounds, seed, limits, how.fraction, deadline, folder)
+        kept = settle(graph.difference(kept, inside).unionByName(better))
     return settle(forced.unionByName(tagged(kept, "improved")))
 
 

@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from acyclica.functions import grouped, local
-from acyclica.operators import graph
-from acyclica.plans.checkpoints import settle
+from acyclica.operators import bitsets, bypass, graph
+from acyclica.plans.checkpoints import settle, settle_counted
 from acyclica.plans.limits import Limits
 
 MEMBER = "id long, comp long"
@@ -26,50 +26,70 @@ def trim(edges: DataFrame, rounds: int) -> DataFrame:
     return edges
 
 
-def _settled_labels(labels: DataFrame, edges: DataFrame) -> DataFrame:
-    """labels(id, label) with each label the greatest of the vertices that lead to it: as many rounds as that takes."""
-    state = None
+def _reaching(edges: DataFrame, salt: int) -> DataFrame:
+    """(id, f, b): the first vertex, in the round's order, of those that lead to a vertex and of those that it leads to.
+
+    The first split of all takes vertices with many edges first: they tend to
+    lie in large components. Only labels that have moved are handed on.
+    """
+    if salt:
+        labels = graph.vertices(edges).withColumn("label", F.struct(F.xxhash64("id", F.lit(salt)).alias("col1"), "id"))
+    else:
+        labels = graph.density(edges).select("id", F.struct((-F.col("density")).alias("col1"), "id").alias("label"))
+    labels = settle(labels.select("id", F.col("label").alias("f"), F.col("label").alias("b"), F.lit(True).alias("moved")))
     while True:
-        moved = edges.join(labels.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.max("label").alias("_m"))
-        labels = settle(labels.join(moved, "id", "left").select("id", F.greatest("label", F.coalesce("_m", "label")).alias("label")))
-        new = labels.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
-        if new == state:
-            return labels
-        state = new
+        labels, moved = settle_counted(_hop(edges, labels), F.col("moved"))
+        if not moved:
+            return labels.select("id", F.col("f.id").alias("f"), F.col("b.id").alias("b"))
+
+
+def _hop(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    front = labels.filter("moved").select("id", "f", "b")
+    none = F.lit(None).cast(labels.schema["f"].dataType)
+    ahead = edges.join(front.select(F.col("id").alias("src"), "f"), "src").select(F.col("dst").alias("id"), F.col("f").alias("_f"), none.alias("_b"))
+    back = edges.join(front.select(F.col("id").alias("dst"), "b"), "dst").select(F.col("src").alias("id"), none.alias("_f"), F.col("b").alias("_b"))
+    best = ahead.unionByName(back).groupBy("id").agg(F.min("_f").alias("_f"), F.min("_b").alias("_b"))
+    better = F.coalesce(F.col("_f") < F.col("f"), F.lit(False)) | F.coalesce(F.col("_b") < F.col("b"), F.lit(False))
+    return labels.join(best, "id", "left").select("id", F.least("f", F.coalesce("_f", "f")).alias("f"), F.least("b", F.coalesce("_b", "b")).alias("b"), better.alias("moved"))
 
 
 def strong_components(edges: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """(id, comp) of every vertex: comp is the least id of its component.
 
-    Distributed rounds: vertices without in- or out-edges are components; each
-    other takes the greatest id that leads to it as a colour; those that lead
-    back to the colour's own vertex within the colour are its component.
+    Distributed rounds: vertices without in- or out-edges are components, those
+    with a single one are bypassed as long as that shortens the graph. Else all
+    parts are split at once: each vertex learns the first vertex that leads to
+    it and the first that it leads to; where these are one, it is in that
+    vertex's component, and edges between vertices that differ in either lie in
+    no component. Bypassed vertices are handed back at the end: such a one is in
+    the component of a vertex before it that is also the component of one after.
     """
     edges = settle(edges.select("src", "dst"))
-    found, m = [], edges.count()
     everyone = graph.vertices(edges)
+    found, taken, splits, rounds, m = [], [], 0, 0, edges.count()
+    if m > limits.local_edges:
+        edges, m = settle_counted(edges.filter("src <> dst").select("src", "dst", F.lit(1).alias("w")).distinct())
     while m > limits.local_edges:
-        edges = settle(trim(edges.filter("src <> dst"), 2))
-        if edges.isEmpty():
-            break
-        ids = graph.vertices(edges)
-        colours = _settled_labels(ids.withColumn("label", F.col("id")), edges)
-        inside = settle(graph.within_components(edges, colours.withColumnRenamed("label", "comp")))
-        reached = front = colours.filter("id = label").select("id", "label")
-        while True:  # backwards from each colour's vertex
-            step = inside.join(front.select(F.col("id").alias("dst")), "dst").select(F.col("src").alias("id"), F.col("comp").alias("label")).distinct()
-            front = settle(step.join(reached.select("id"), "id", "left_anti"))
-            if front.isEmpty():
-                break
-            reached = settle(reached.unionByName(front))
-        found.append(reached.join(reached.groupBy("label").agg(F.min("id").alias("comp")), "label").select("id", "comp"))
-        edges = settle(graph.remove_vertices(edges, reached))
-        m = edges.count()
-    rows = grouped.one_task(edges, lambda g: ((v, min(c)) for c in local.strong_components(g.out) for v in c), MEMBER)
-    for part in found:
-        rows = rows.unionByName(part)
-    rows = settle(rows)
-    return rows.unionByName(everyone.join(rows.select("id"), "id", "left_anti").select("id", F.col("id").alias("comp")))
+        short = bypass.bypass(edges, rounds)
+        taken.append(short)
+        edges, before, m, rounds = short.edges.filter("src <> dst"), m, short.m, rounds + 1
+        if m <= limits.local_edges or (before - m) * bitsets.WORTH >= before:
+            continue
+        labels = _reaching(edges, splits)
+        splits += 1
+        found.append(labels.filter("f = b").select("id", F.col("f").alias("rep")))
+        ends = [labels.select(F.col("id").alias(k), F.col("f").alias(f"{k}_f"), F.col("b").alias(f"{k}_b")) for k in ("src", "dst")]
+        same = edges.join(ends[0], "src").join(ends[1], "dst").filter("src_f = dst_f and src_b = dst_b and src_f <> src_b")
+        edges, m = settle_counted(same.select("src", "dst", "w"))
+    found.append(settle(grouped.one_task(edges, lambda g: ((v, min(c)) for c in local.strong_components(g.out) for v in c), "id long, rep long")))
+    for short in reversed(taken):
+        rows = bypass.together(found).withColumnRenamed("id", "other")
+        # a vertex that has no row by now is a component of its own, to which others may still come
+        a, b = (e.select("id", "other").join(rows, "other", "left").select("id", F.coalesce("rep", "other").alias("rep")) for e in (short.into, short.out))
+        found.append(settle(a.join(b, ["id", "rep"], "left_semi").distinct()))
+    rows = bypass.together(found)
+    rows = settle(rows.unionByName(everyone.join(rows.select("id"), "id", "left_anti").select("id", F.col("id").alias("rep"))))
+    return rows.join(rows.groupBy("rep").agg(F.min("id").alias("comp")), "rep").select("id", "comp")
 
 
 def component_sizes(membership: DataFrame) -> DataFrame:
@@ -77,24 +97,50 @@ def component_sizes(membership: DataFrame) -> DataFrame:
 
 
 def topological_levels(edges: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """(id, level) of the vertices that no cycle leads to: the number of edges on the longest way there."""
+    """(id, level) of the vertices that no cycle leads to: the number of edges on the longest way there.
+
+    Large graphs get a root before all vertices that no edge enters. A round
+    bypasses all vertices that only the root leads to (a settled layer), or an
+    independent set of those with one edge in or out; the edge past a vertex
+    weighs as much as the way through it, so the rest keeps its levels. Of these
+    two kinds the one that has taken more goes on. Then levels are handed back
+    to what was taken: the greatest of those before it, if all have one.
+    """
     edges = settle(edges.select("src", "dst"))
-    level, rows = 0, None
-    left = settle(graph.vertices(edges))
-    while edges.count() > limits.local_edges:
-        free = settle(left.join(edges.select(F.col("dst").alias("id")), "id", "left_anti"))
-        if free.isEmpty():
-            return rows if rows is not None else free.select("id", F.lit(0).alias("level"))
-        layer = free.select("id", F.lit(level).alias("level"))
-        rows = layer if rows is None else rows.unionByName(layer)
-        left = settle(left.join(free, "id", "left_anti"))
-        edges = settle(edges.join(free, edges["src"] == free["id"], "left_anti"))
-        level += 1
-    base = level
-    inner = grouped.one_task(edges, lambda g: ((v, k + base) for v, k in local.levels(g).items()), "id long, level int")
-    lone = left.join(graph.vertices(edges), "id", "left_anti").select("id", F.lit(base).alias("level"))
-    out = inner.unionByName(lone)
-    return out if rows is None else out.unionByName(rows)
+    m = edges.count()
+    if m <= limits.local_edges:
+        return grouped.one_task(edges, lambda g: local.levels(g).items(), "id long, level int")
+    heads = graph.vertices(edges).join(edges.select(F.col("dst").alias("id")), "id", "left_anti")
+    first = heads.select(F.lit(bypass.ROOT).alias("src"), F.col("id").alias("dst"), F.lit(0).cast("long").alias("w"))
+    edges = settle(edges.distinct().withColumn("w", F.lit(1).cast("long")).unionByName(first))
+    taken, salt, gain, idle = [], 0, {True: 1.0, False: 1.0}, set()
+    while m > limits.local_edges and len(idle) < 2:
+        front = max(gain, key=gain.get)
+        short = bypass.bypass(edges, salt, rooted=True, front=front)
+        salt += 1
+        gain = {k: short.n / m if k == front else 2 * v for k, v in gain.items()}
+        if not short.n:
+            gain[front], idle = 0.0, idle | {front}
+            continue
+        taken.append(short)
+        edges, m, idle = short.edges, short.m, set()
+        gain = {k: max(v, 1e-9) for k, v in gain.items()}
+    found = [_levels_in_one_task(edges) if m <= limits.local_edges else edges.sparkSession.createDataFrame([(bypass.ROOT, 0)], "id long, level long")]
+    found[0] = settle(found[0])
+    for short in reversed(taken):
+        before = short.into.join(bypass.together(found).withColumnRenamed("id", "other"), "other", "left")
+        levels = before.groupBy("id").agg(F.max(F.col("level") + F.col("w")).alias("level"), F.bool_and(F.col("level").isNotNull()).alias("_all"))
+        found.append(settle(levels.filter("_all").select("id", "level")))
+    return bypass.together(found).filter(F.col("id") != bypass.ROOT).select("id", F.col("level").cast("int").alias("level"))
+
+
+def _levels_in_one_task(edges: DataFrame) -> DataFrame:
+    def run(batches):
+        parts = [p for p in batches if len(p)]
+        rows = [r for p in parts for r in p.itertuples(index=False, name=None)]
+        yield pd.DataFrame(sorted(local.weighted_levels(rows, bypass.ROOT).items()), columns=["id", "level"])
+
+    return edges.select("src", "dst", "w").coalesce(1).mapInPandas(run, "id long, level long")
 
 
 def is_acyclic(edges: DataFrame, limits: Limits = Limits()) -> DataFrame:
@@ -112,22 +158,13 @@ def is_solution(edges: DataFrame, solution: DataFrame, limits: Limits = Limits()
 def reach(edges: DataFrame, sources: DataFrame, blocked: DataFrame | None = None, limits: Limits = Limits()) -> DataFrame:
     """(source, id): what each of sources(id) leads to by at least one edge, passing through no blocked vertex (which may still be the end).
 
-    The result has up to sources x vertices rows: bound the sources.
+    Larger graphs are searched by sets of 64 sources to a word; only the result
+    has a row for each pair.
     """
     edges = settle(edges.select("src", "dst"))
     if edges.count() <= limits.local_edges and sources.count() <= LOCAL_SOURCES:
         return _reach_in_one_task(edges, sources, blocked)
-    first = edges.join(sources.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("src").alias("source"), F.col("dst").alias("id"))
-    onward = edges if blocked is None else graph.delete_edges(edges, edges.join(blocked.select(F.col("id").alias("src")), "src", "left_semi"))
-    onward = settle(onward.select("src", "dst"))
-    found = front = settle(first.distinct())
-    for _ in range(limits.max_rounds * 50):
-        step = front.join(onward.withColumnRenamed("src", "id"), "id").select("source", F.col("dst").alias("id")).distinct()
-        front = settle(step.join(found, ["source", "id"], "left_anti"))
-        if front.isEmpty():
-            return found
-        found = settle(found.unionByName(front))
-    raise RuntimeError("reach did not settle")
+    return bitsets.reach_pairs(edges, sources, blocked)
 
 
 #: Sources whose reach one task may follow.
@@ -172,8 +209,7 @@ def redundant(edges: DataFrame, solution: DataFrame, limits: Limits = Limits())
             yield pd.DataFrame({"id": pd.Series(needless[1:] if len(needless) == len(chosen) else needless, dtype="int64")})
 
         return pairs.coalesce(1).mapInPandas(run, names)
-    needed = reach(edges, solution, solution, limits).filter("source = id").select("id")
-    rows = settle(solution.join(needed, "id", "left_anti"))
+    rows = settle(solution.join(bitsets.needed(edges, solution), "id", "left_anti"))
     if rows.count() == solution.count():
         return rows.join(rows.agg(F.min("id").alias("id")), "id", "left_anti")
     return rows

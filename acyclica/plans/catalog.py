@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from acyclica.operators import graph, rank, reduce, solve, structure
+from acyclica.operators import bitsets, graph, rank, reduce, solve, structure
 from acyclica.plans import graphs
 from acyclica.plans.checkpoints import scratch_path, settle
 from acyclica.plans.limits import Limits
@@ -223,11 +223,11 @@ def redundant_vertices(e: DataFrame) -> DataFrame:
 
 #: The distributed rounds that large graphs take, on graphs that one task would do.
 ROUNDS = Limits(local_edges=0)
-#: The same but for the last few edges, whose rounds would be many and small.
-FEW_LEFT = Limits(local_edges=500)
-query("shelf", f"WITH RECURSIVE {COMPS} SELECT id, comp FROM c", "scc_rounds")(lambda e: structure.strong_components(e, FEW_LEFT))
+query("shelf", f"WITH RECURSIVE {COMPS} SELECT id, comp FROM c", "scc_rounds")(lambda e: structure.strong_components(e, ROUNDS))
 query("shelf_rising", LEVELS, "levels_rounds")(lambda e: structure.topological_levels(e, ROUNDS))
 query("shelf", REACH, "reach_rounds")(lambda e: structure.reach(e, graph.top_k(graph.density(e), "density", 5), limits=ROUNDS))
+query("part5", f"WITH RECURSIVE {CLOSED} SELECT count(*) AS pairs FROM r", "closure_rounds")(lambda e: bitsets.reach_count(settle(e), graph.vertices(e)).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("pairs")))
+query("part", REDUNDANT, "redundant_part_rounds")(lambda e: structure.redundant(e := settle(e), graphs.falling_heads(e), ROUNDS))
 query("shelf", REDUNDANT, "redundant_rounds")(lambda e: structure.redundant(e := settle(e), graphs.falling_heads(e), ROUNDS))
 
 

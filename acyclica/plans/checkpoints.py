@@ -13,7 +13,8 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -43,6 +44,13 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settle_counted(df: DataFrame, only: Column | None = None) -> tuple[DataFrame, int]:
+    """settle(df) and the number of its rows (those for which ``only`` holds), observed while they are written."""
+    seen = Observation()
+    out = settle(df.observe(seen, (F.count(F.lit(1)) if only is None else F.count_if(only)).alias("n")))
+    return out, seen.get["n"]
+
+
 def forget() -> None:
     """Deletes this process's round tables."""
     while _written:

@@ -10,10 +10,6 @@ from dataclasses import dataclass, field
 class Limits:
     #: A component (or a whole graph) of at most so many edges is finished by one task; a few MB.
     local_edges: int = 50_000
-    #: Wedge-shaped rules (DOME) are left out above so many edges.
-    wedge_edges: int = 1_000_000
-    #: Removal sets of at most so many rows are broadcast.
-    broadcast_rows: int = 100_000
     max_rounds: int = 200
 
 
