@@ -357,6 +357,49 @@ def anneal(g: LocalGraph, seed: int, start: set[int] | None = None, heat: float
     return set(g.out) - (set(label) ^ changed)
 
 
+def anneal_block(edges: Iterable[tuple[int, int]], labels: dict[int, int], own: set[int], seed: int, heat: float, moves: int) -> dict[int, int]:
+    """Labels of the placed ones among a block's own vertices after so many attempts; those of other vertices stand.
+
+    Along an edge between placed vertices labels rise. A vertex enters behind its
+    last placed predecessor or before its first placed successor; own vertices
+    that it contradicts leave, and it doesn't enter where another's would have to.
+    """
+    rng = np.random.default_rng(seed)
+    out: dict[int, list[int]] = {}
+    into: dict[int, list[int]] = {}
+    for a, b in edges:
+        out.setdefault(a, []).append(b)
+        into.setdefault(b, []).append(a)
+    label = dict(labels)
+    rest = sorted(v for v in own if v not in label and v not in out.get(v, ()))
+    for _ in range(moves):
+        if not rest:
+            break
+        k = int(rng.integers(len(rest)))
+        v = rest[k]
+        before, after = ([label[x] for x in near.get(v, ()) if x in label] for near in (into, out))
+        if rng.random() < 0.5:
+            low = max(before, default=None)
+            low = min(after, default=0) - 2 if low is None else low
+            high = min((x for x in after if x > low), default=low + SPAN)
+            at = (low + high) // 2 if not after or min(after) > low else low + 1
+        else:
+            high = min(after, default=None)
+            high = max(before, default=0) + 2 if high is None else high
+            low = max((x for x in before if x < high), default=high - SPAN)
+            at = (low + high) // 2 if not before or max(before) < high else high - 1
+        clash = {x for x in into.get(v, ()) if label.get(x, at - 1) >= at} | {x for x in out.get(v, ()) if label.get(x, at + 1) <= at}
+        loss = len(clash) - 1
+        if clash <= own and (loss <= 0 or rng.random() < math.exp(-loss / heat)):
+            label[v] = at
+            for x in clash:
+                del label[x]
+            rest[k] = rest[-1]
+            rest.pop()
+            rest += sorted(clash)
+    return {v: label[v] for v in own if v in label}
+
+
 def cycle_bound(g: LocalGraph) -> int:
     """A number of cycles without shared vertices: no answer is smaller."""
     g, n = g.copy(), 0

@@ -7,6 +7,8 @@ best vertices, are reduced and split again, all in the same round.
 
 from __future__ import annotations
 
+import time
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 from acyclica.functions import grouped, local
 from acyclica.operators import graph, structure
 from acyclica.operators.reduce import reduce_graph
-from acyclica.plans.checkpoints import settle
+from acyclica.plans.checkpoints import settle, settle_counted
 from acyclica.plans.limits import Deadline, Limits, regime
 
 
@@ -172,26 +174,79 @@ def fvs(edges: DataFrame, limits: Limits = Limits(), seed: int = 1, rounds: int
     return settle(forced.unionByName(tagged(kept, "improved")))
 
 
-def annealed(edges: DataFrame, limits: Limits = Limits(), n_seeds: int = 4, warm: bool = True, fails: int = 50, most_moves: int = 300_000) -> DataFrame:
+#: Room between the labels of two levels.
+LABEL_GAP = 1 << 32
+
+
+def anneal_rounds(edges: DataFrame, answer: DataFrame, seed: int = 0, fails: int = 50, limits: Limits = Limits(), heat: float = 0.6, cooling: float = 0.99, moves: int = 7, deadline: Deadline | None = None) -> DataFrame:
+    """(id) of an answer that is no larger, by annealing blocks of vertices side by side.
+
+    All vertices outside the answer have labels that rise along every edge. A
+    round deals the vertices anew to blocks of about ``local_edges`` edges, each
+    of which is annealed against the labels that the others had; of two vertices
+    that two blocks have placed against their edge the later one by hash leaves
+    again. A round is one temperature; so many without a smaller answer end it.
+    """
+    edges, m = settle_counted(edges.select("src", "dst").distinct())
+    everyone = settle(graph.vertices(edges))
+    blocks = max(1, -(-2 * m // max(limits.local_edges, 1)))
+    free = settle(graph.remove_vertices(edges, answer))
+    level = structure.topological_levels(free, limits)
+    state = everyone.join(answer.select("id"), "id", "left_anti").join(level, "id", "left").select("id", (F.coalesce("level", F.lit(0)).cast("long") * LABEL_GAP).alias("label"))
+    state, most = settle_counted(state)
+    best, failed, i = state, 0, 0
+    while failed < fails and not (deadline is not None and deadline.over()):
+        block = lambda c, i=i: F.pmod(F.xxhash64(c, F.lit(seed * 1_000_003 + i)), F.lit(blocks))
+        near = edges.join(state.select(F.col("id").alias("src"), F.col("label").alias("a")), "src", "left").join(state.select(F.col("id").alias("dst"), F.col("label").alias("b")), "dst", "left")
+        rows = near.select(F.explode(F.array_distinct(F.array(block("src"), block("dst")))).alias("block"), "src", "dst", "a", "b", (block("src")).alias("at_src"), (block("dst")).alias("at_dst"))
+        moved = settle(rows.groupBy("block").applyInPandas(_block_annealer(seed + i, heat * cooling**i, moves), "id long, label long"))
+        wrong = edges.join(moved.select(F.col("id").alias("src"), F.col("label").alias("a")), "src").join(moved.select(F.col("id").alias("dst"), F.col("label").alias("b")), "dst").filter("a >= b")
+        first = F.struct(F.xxhash64("src"), "src") < F.struct(F.xxhash64("dst"), F.col("dst").alias("src"))
+        state, n = settle_counted(moved.join(wrong.select(F.when(first, F.col("dst")).otherwise(F.col("src")).alias("id")), "id", "left_anti"))
+        best, most, failed = (state, n, 0) if n > most else (best, most, failed + 1)
+        i += 1
+    return everyone.join(best.select("id"), "id", "left_anti")
+
+
+def _block_annealer(seed: int, heat: float, moves: int):
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        block = int(key[0])
+        src, dst = pdf["src"].tolist(), pdf["dst"].tolist()
+        own = {v for v, at in zip(src + dst, pdf["at_src"].tolist() + pdf["at_dst"].tolist(), strict=True) if at == block}
+        labels = {v: int(x) for v, x in zip(src + dst, pdf["a"].astype("Int64").tolist() + pdf["b"].astype("Int64").tolist(), strict=True) if x is not pd.NA}
+        found = sorted(local.anneal_block(sorted(zip(src, dst, strict=True)), labels, own, seed * 65_537 + block, heat, moves * len(own)).items())
+        return pd.DataFrame({"id": pd.Series([v for v, _ in found], dtype="int64"), "label": pd.Series([x for _, x in found], dtype="int64")})
+
+    return run
+
+
+def annealed(edges: DataFrame, limits: Limits = Limits(), n_seeds: int = 4, warm: bool = True, fails: int = 50, most_moves: int = 300_000, seconds: float | None = None) -> DataFrame:
     """(id, origin): the reduced graph's components by simulated annealing, the smallest of several seeds, started from the greedy answer or cold.
 
     A seed stops after so many temperatures without a better answer, each of
-    seven moves a vertex, ``most_moves`` at most. Components over local_edges,
-    which no task holds, get greedy's answer.
+    seven moves a vertex, ``most_moves`` at most, or when its seconds are over.
+    Components over local_edges, which no task holds, are annealed in blocks from
+    the greedy answer.
     """
+    deadline = Deadline(seconds)
     state = reduce_graph(edges, limits)
     parts = settle(split(state.edges, limits))
     sizes = settle(parts.groupBy("comp").agg(F.count("*").alias("m")).filter(F.col("m") > limits.local_edges).select("comp"))
     large = settle(parts.join(sizes, "comp", "left_semi").select("src", "dst"))
-    rest = greedy(large, limits) if not large.isEmpty() else edges.sparkSession.createDataFrame([], "id long, origin string")
     parts = parts.join(sizes, "comp", "left_anti")
 
     def solve(g: local.LocalGraph, seed: int) -> set[int]:
+        until = None if seconds is None else time.monotonic() + seconds
         first = local.minimal(g, sorted(local.greedy(g), key=lambda v: (g.product(v), v)))
-        found = local.minimal(g, sorted(local.anneal(g, seed, first if warm else None, fails=fails, moves=min(len(g.out) * 7, most_moves))))
+        found = local.minimal(g, sorted(local.anneal(g, seed, first if warm else None, fails=fails, moves=min(len(g.out) * 7, most_moves), until=until)))
         return min(first, found, key=len)
 
-    return settle(tagged(state.forced, "forced").unionByName(tagged(grouped.seeds_by_component(parts, n_seeds, solve), "annealed")).unionByName(rest))
+    out = tagged(state.forced, "forced").unionByName(tagged(grouped.seeds_by_component(parts, n_seeds, solve), "annealed"))
+    if not large.isEmpty():
+        rough = settle(greedy(large, limits).select("id"))
+        tries = [settle(anneal_rounds(large, rough, seed, fails, limits, deadline=deadline)) for seed in range(n_seeds)]
+        out = out.unionByName(tagged(min(tries, key=lambda ids: ids.count()), "annealed"))
+    return settle(out)
 
 
 #: Kernels with more vertices aren't searched exactly.

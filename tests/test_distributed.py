@@ -104,7 +104,7 @@ def test_improvement_is_whole_smaller_and_the_same_on_any_partitions(spark, tmp_
 
 
 def test_components_over_the_limit_are_improved(spark, monkeypatch):
-    pairs, sizes, once = some(11, 60, 180), [], solve.improved
+    pairs, sizes, once = some(11, 70, 230), [], solve.improved
 
     def noted(edges, answer, *a, **k):
         out = once(edges, answer, *a, **k)
@@ -113,5 +113,27 @@ def test_components_over_the_limit_are_improved(spark, monkeypatch):
         return out
 
     monkeypatch.setattr(solve, "improved", noted)
-    fine = {r["id"] for r in solve.fvs(literal_edges(spark, pairs), Limits(local_edges=120), rounds=1).collect()}
+    fine = {r["id"] for r in solve.fvs(literal_edges(spark, pairs), Limits(local_edges=150), rounds=1).collect()}
     assert sizes and sizes[0][1] <= sizes[0][0] and local.acyclic(local.LocalGraph(pairs).without(fine))
+
+
+def test_annealing_in_blocks(spark):
+    pairs = some(12, 60, 150)
+    g, first = local.LocalGraph(pairs), sorted({b for a, b in pairs if a >= b})
+    answers = []
+    for n in (1, 3):
+        edges = literal_edges(spark, pairs).repartition(n)
+        answers.append(sorted(r["id"] for r in solve.anneal_rounds(edges, ids(spark, first), fails=1, limits=Limits(local_edges=100), moves=30).collect()))
+    assert answers[0] == answers[1] and local.acyclic(g.without(set(answers[0]))) and len(answers[0]) < len(first)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_a_block_keeps_the_order(seed):
+    pairs = some(seed, 40, 110)
+    g = local.LocalGraph(pairs)
+    levels = local.levels(g.without({b for a, b in pairs if a >= b}))
+    own = {v for v in g.out if v % 3}
+    got = local.anneal_block(pairs, {v: k << 32 for v, k in levels.items()}, own, seed, 0.6, 400)
+    placed = {v: k << 32 for v, k in levels.items() if v not in own} | got
+    assert set(got) <= own and all(placed[a] < placed[b] for a, b in pairs if a in placed and b in placed)
+    assert len(got) >= len(set(levels) & own)
