@@ -270,14 +270,14 @@ ORACLES["demo_largest_acyclic"] = f"{MASKS} SELECT CAST(max(8 - bit_count(mask))
 def adjacency_round_trip(e: DataFrame) -> DataFrame:
     """Written as adjacency text and read again; there vertices are numbered from 1."""
     sinks.write_adjacency(settle(e.select(F.col("src") + 1, F.col("dst") + 1).toDF("src", "dst")), path := scratch_path(e.sparkSession, "adjacency"))
-    return read_adjacency(e.sparkSession, path).select((F.col("src") - 1).alias("src"), (F.col("dst") - 1).alias("dst"))
+    return read_adjacency(e.sparkSession, path, parts=True).select((F.col("src") - 1).alias("src"), (F.col("dst") - 1).alias("dst"))
 
 
 @query("part5", "SELECT CAST(range AS BIGINT) AS line_no, (SELECT count(*) FROM e WHERE src + 1 = range) AS targets FROM range(1, (SELECT max(id) FROM v) + 2)")
 def adjacency_lines(e: DataFrame) -> DataFrame:
     """The lines of the same text behind the header: blank ones count too."""
     sinks.write_adjacency(settle(e.select(F.col("src") + 1, F.col("dst") + 1).toDF("src", "dst")), path := scratch_path(e.sparkSession, "adjacency"))
-    lines = read_lines(e.sparkSession, path).filter("line_no > 0")
+    lines = read_lines(e.sparkSession, path, parts=True).filter("line_no > 0")
     return lines.select("line_no", F.when(F.col("value") == "", F.lit(0)).otherwise(F.size(F.split("value", " "))).cast("long").alias("targets"))
 
 

@@ -195,3 +195,23 @@ def test_edits_of_empty_and_isolated(spark):
     assert pairs(graph.remove_vertices(none, graph.vertices(none))) == []
     assert ids(solve.greedy(none)) == [] and structure.is_acyclic(none).first()[0]
     assert regime(1).fraction == 150 and regime(10**6).fraction == 100 and regime(10**7).fraction == 50
+
+
+def test_a_file_of_many_splits_is_numbered_through(spark, tmp_path):
+    rows = ["% heading, longer than one split of the file is", "400 3 0", *[("% between" if i % 7 == 0 else str(i + 1) if i % 3 == 0 else "") for i in range(1, 400)], "% end", "5 6"]
+    (tmp_path / "one.txt").write_text("\r\n".join(rows) + "\n")
+    (tmp_path / "two.txt").write_text("2 1 0\n2\n\n")
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 64)
+    spark.conf.set("spark.sql.files.openCostInBytes", 1)
+    try:
+        got = read_lines(spark, str(tmp_path)).collect()
+        parts = read_lines(spark, str(tmp_path), parts=True).collect()
+        tasks = spark.read.text(str(tmp_path)).rdd.getNumPartitions()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", kept[1])
+    one, two = [r for r in rows if not r.startswith("%")], ["2 1 0", "2", ""]
+    by_file = lambda name: [r["value"] for r in sorted(got, key=lambda r: r["line_no"]) if r["file"].endswith(name)]
+    assert tasks > 10 and by_file("one.txt") == one and by_file("two.txt") == two
+    assert [(r["line_no"], r["value"]) for r in sorted(parts, key=lambda r: r["line_no"])] == list(enumerate(one + two))
