@@ -15,10 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from acyclica.functions import grouped, local
-from acyclica.operators import graph, structure
+from acyclica.operators import graph, rank, structure
 from acyclica.operators.reduce import reduce_graph
 from acyclica.plans.checkpoints import settle, settle_counted
-from acyclica.plans.limits import Deadline, Limits, regime
+from acyclica.plans.limits import PAGERANK_EDGES, PAGERANK_VERTICES, Deadline, Limits, regime
 
 
 def split(edges: DataFrame, limits: Limits = Limits()) -> DataFrame:
@@ -30,6 +30,15 @@ def tagged(ids: DataFrame, origin: str) -> DataFrame:
     return ids.select("id", F.lit(origin).alias("origin"))
 
 
+def scored(large: DataFrame) -> DataFrame:
+    """(comp, id, score) of the components in (comp, src, dst, n, m): by PageRank where it fits a component's size, else by degree product."""
+    fits = (F.col("n") < PAGERANK_VERTICES) & (F.col("m") < PAGERANK_EDGES)
+    ranked = rank.pagerank_by_component(large.filter(fits)).select("comp", "id", F.col("pr").alias("score"))
+    rest = large.filter(~fits)
+    dense = graph.density(rest.select("src", "dst")).select("id", F.col("density").cast("double").alias("score"))
+    return ranked.unionByName(dense.join(rest.select("comp", F.col("src").alias("id")).distinct(), "id").select("comp", "id", "score"))
+
+
 def greedy(edges: DataFrame, limits: Limits = Limits(), fraction: int | None = None, rounds: int = 0, seed: int = 1, deadline: Deadline | None = None, split_first: bool = True) -> DataFrame:
     """(id, origin): forced vertices and the greedy ones, improved by ``rounds`` of perturbation within components that fit a task.
 
@@ -51,15 +60,14 @@ def greedy(edges: DataFrame, limits: Limits = Limits(), fraction: int | None = N
         sized = parts.join(settle(sizes), "comp")
         fits = sized.filter(F.col("m") <= limits.local_edges)
         out = settle(out.unionByName(tagged(grouped.by_component(fits, solver), "greedy")))
-        large = settle(sized.filter(F.col("m") > limits.local_edges).select("comp", "src", "dst", "n"))
+        large = settle(sized.filter(F.col("m") > limits.local_edges).select("comp", "src", "dst", "n", "m"))
         if large.isEmpty():
             return out
-        d = graph.density(large.select("src", "dst"))
-        comps = large.select(F.col("src").alias("id"), "comp", "n").distinct()
+        comps = settle(large.select(F.col("src").alias("id"), "comp", "n").distinct())
         if split_first:
-            best = graph.top_fraction(d.join(comps.select("id", "comp"), "id"), "density", fraction, comps.select("comp", "n").distinct())
+            best = graph.top_fraction(scored(large), "score", fraction, comps.select("comp", "n").distinct())
         else:
-            best = graph.top_k(d, "density", max(1, comps.count() // fraction))
+            best = graph.top_k(graph.density(large.select("src", "dst")), "density", max(1, comps.count() // fraction))
         best = settle(best.select("id"))
         out = out.unionByName(tagged(best, "greedy"))
         edges = settle(graph.remove_vertices(large.select("src", "dst"), best, best.count()))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from acyclica.operators import bitsets, graph, rank, reduce, solve, structure
+from acyclica.operators.scores import ScoreTable
 from acyclica.plans import graphs
 from acyclica.plans.checkpoints import scratch_path, settle
 from acyclica.plans.limits import Limits
@@ -207,6 +208,35 @@ def _pagerank_sql(rounds: int) -> str:
 
 query("user_err", f"{_pagerank_sql(10)} SELECT id, round(pr, 6) AS pr FROM pr10", "pagerank_10")(lambda e: rank.pagerank(e, 10, tolerance=None).select("id", F.round("pr", 6).alias("pr")))
 query("user_err", f"{_pagerank_sql(10)} SELECT id FROM pr10 ORDER BY round(pr, 9) DESC, id DESC LIMIT 20", "pagerank_topk")(lambda e: graph.top_k(rank.pagerank(e, 10, tolerance=None).withColumn("pr", F.round("pr", 9)), "pr", 20).select("id"))
+PARTS = f"""WITH RECURSIVE {COMPS}, x AS (SELECT a.comp, e.src, e.dst FROM e JOIN c a ON a.id = e.src JOIN c b ON b.id = e.dst WHERE a.comp = b.comp), xv AS (SELECT comp, src AS id FROM x UNION SELECT comp, dst FROM x),
+xd AS (SELECT xv.comp, xv.id, CAST(count(x.src) AS DOUBLE) AS d, CAST(count(*) OVER (PARTITION BY xv.comp) AS DOUBLE) AS n FROM xv LEFT JOIN x ON x.src = xv.id GROUP BY xv.comp, xv.id),
+p1 AS (SELECT xd.*, 0.15 / n + 0.85 * coalesce((SELECT sum(1 / y.n / y.d) FROM x JOIN xd y ON y.id = x.src WHERE x.dst = xd.id), 0) AS pr FROM xd),
+p2 AS (SELECT p1.comp, p1.id, 0.15 / n + 0.85 * coalesce((SELECT sum(y.pr / y.d) FROM x JOIN p1 y ON y.id = x.src WHERE x.dst = p1.id), 0) AS pr FROM p1)"""
+
+
+@query("shelf", f"{PARTS} SELECT comp, id, round(pr, 9) AS pr FROM p2")
+def pagerank_components(e: DataFrame) -> DataFrame:
+    """Two rounds in each strong component by itself."""
+    return rank.pagerank_by_component(solve.split(settle(e)), 2, tolerance=None).withColumn("pr", F.round("pr", 9))
+
+
+_TOP = "SELECT id FROM (SELECT id, sum(i) AS i, sum(o) AS o FROM (SELECT dst AS id, 1 AS i, 0 AS o FROM {0} UNION ALL SELECT src, 0, 1 FROM {0}) AS u GROUP BY id) AS s ORDER BY i * o DESC, id DESC LIMIT"
+_ROUND = "t{0} AS ({1} 10), e{0} AS (SELECT src, dst FROM {2} WHERE src NOT IN (SELECT id FROM t{0}) AND dst NOT IN (SELECT id FROM t{0}))"
+
+
+@query("part", "WITH " + ", ".join(_ROUND.format(i, _TOP.format(f"e{i - 1}" if i else "e"), f"e{i - 1}" if i else "e") for i in range(3)) + f" {_TOP.format('e2')} 20")
+def topk_after_rounds(e: DataFrame) -> DataFrame:
+    """The best 20 after three rounds that each take the best ten, from scores that follow the edges that went."""
+    e = settle(e)
+    table = ScoreTable(e)
+    for _ in range(3):
+        gone = settle(table.top_k(10).select("id"))
+        left = settle(graph.remove_vertices(e, gone, 10))
+        table.change(removed=graph.delete_edges(e, left))
+        e = left
+    return table.top_k(20).select("id")
+
+
 query("part5", None, "pagerank_converged")(lambda e: rank.pagerank(e))
 query("part5", None, "critical_vertices")(lambda e: rank.critical_vertices(e, 10))
 

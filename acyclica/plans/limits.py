@@ -42,6 +42,9 @@ def regime(edges: int) -> Regime:
     return Regime(50, 10, 5)
 
 
+#: Ranking by PageRank pays on graphs with fewer vertices and edges only; others rank by degree product.
+PAGERANK_VERTICES, PAGERANK_EDGES = 10_000, 100_000
+
+
 def pagerank_fits(vertices: int, edges: int) -> bool:
-    """Ranking by PageRank pays on small graphs only; others rank by degree product."""
-    return vertices < 10_000 and edges < 100_000
+    return vertices < PAGERANK_VERTICES and edges < PAGERANK_EDGES
