@@ -464,6 +464,29 @@ def exact(g: LocalGraph) -> set[int]:
     return upper if better is None else better
 
 
+def explore(g: LocalGraph, taken: set[int], most: int, budget: int) -> tuple[set[int] | None, list[tuple[LocalGraph, set[int]]]]:
+    """Depth-first over a subproblem for so many nodes: an answer smaller than ``most``, if one was met, and the subproblems that are left."""
+    stack, best = [(g, taken)], None
+    for _ in range(budget):
+        if not stack:
+            break
+        g, taken = stack.pop()
+        g, taken = g.copy(), set(taken)
+        reduce_all(g, taken)
+        if not g.out:
+            if len(taken) < most:
+                best, most = taken, len(taken)
+            continue
+        if len(taken) + cycle_bound(g) >= most:
+            continue
+        v = max(g.out, key=lambda v: (g.product(v), -v))
+        kept = g.copy()
+        kept.bypass(v)
+        g.drop(v)
+        stack += [(kept, taken), (g, taken | {v})]
+    return best, stack
+
+
 def exact_by_size(g: LocalGraph, ternary: bool = False) -> set[int]:
     """A smallest answer by trying all sets of a size: sizes upwards, or halving the range of sizes (an answer can always be made larger)."""
     ids = sorted(g.out)

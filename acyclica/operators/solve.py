@@ -257,22 +257,66 @@ def annealed(edges: DataFrame, limits: Limits = Limits(), n_seeds: int = 4, warm
     return settle(out)
 
 
-#: Kernels with more vertices aren't searched exactly.
-EXACT_VERTICES = 200
+#: Kernels with more vertices are searched by many tasks, and beyond the second number not at all.
+EXACT_VERTICES, SPREAD_VERTICES = 200, 1_000
+#: Nodes of the search that a task visits below a subproblem before it gives the rest back.
+EXACT_NODES = 200
+PROBLEM = "comp long, src array<long>, dst array<long>, taken array<long>, answer array<long>"
 
 
 def exact(edges: DataFrame, limits: Limits = Limits(), method: str = "branch", max_vertices: int = EXACT_VERTICES) -> DataFrame:
     """(id, origin): a smallest answer, each component in one task by 'branch' (bypass or take), 'linear' or 'ternary' search over sizes.
 
-    Exponential in a component's kernel, so one of over max_vertices is refused.
+    Exponential in a component's kernel: one of over max_vertices is branched on
+    in rounds over many tasks, one of over SPREAD_VERTICES is refused.
     """
     state = reduce_graph(edges, limits)
     parts = settle(split(state.edges, limits))
-    n = parts.groupBy("comp").agg(F.count_distinct("src").alias("n")).agg(F.max("n")).first()[0] or 0
-    if n > max_vertices:
+    sizes = settle(parts.groupBy("comp").agg(F.count_distinct("src").alias("n")))
+    n = sizes.agg(F.max("n")).first()[0] or 0
+    if n > SPREAD_VERTICES:
         raise ValueError(f"a kernel of {n} vertices: too large for an exact answer")
     solver = {"branch": local.exact, "linear": local.exact_by_size, "ternary": lambda g: local.exact_by_size(g, ternary=True)}[method]
-    return settle(tagged(state.forced, "forced").unionByName(tagged(grouped.by_component(parts, solver), "exact")))
+    small = parts.join(sizes.filter(F.col("n") <= max_vertices), "comp", "left_semi")
+    out = tagged(state.forced, "forced").unionByName(tagged(grouped.by_component(small, solver), "exact"))
+    if n > max_vertices:
+        out = out.unionByName(tagged(exact_rounds(parts.join(sizes.filter(F.col("n") > max_vertices), "comp", "left_semi")), "exact"))
+    return settle(out)
+
+
+def exact_rounds(parts: DataFrame, nodes: int = EXACT_NODES) -> DataFrame:
+    """(comp, id) of a smallest answer of each component of parts(comp, src, dst), by branch and bound over a table of subproblems.
+
+    A subproblem is what is left of a component and the vertices taken so far.
+    A round deals them to all tasks; each searches below its own for a number of
+    nodes and hands back what it has not reached. The smallest answers of all
+    tasks bound the next round.
+    """
+    first = grouped.by_component(parts, lambda g: local.minimal(g, sorted(local.greedy(g), key=lambda v: (g.product(v), v))))
+    best = settle(first.groupBy("comp").agg(F.array_sort(F.collect_list("id")).alias("answer")))
+    none = F.array().cast("array<long>")
+    # a kernel has few vertices, so its edges are a bounded row
+    open_ = settle(parts.groupBy("comp").agg(F.collect_list("src").alias("src"), F.collect_list("dst").alias("dst")).withColumn("taken", none))
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for r in pdf.itertuples(index=False):
+                found, rest = local.explore(local.LocalGraph(zip(r.src.tolist(), r.dst.tolist(), strict=True)), set(r.taken.tolist()), int(r.most), nodes)
+                rows += [(r.comp, [], [], [], sorted(found))] if found is not None else []
+                for g, taken in rest:
+                    pairs = [(a, b) for a in sorted(g.out) for b in sorted(g.out[a])]
+                    rows.append((r.comp, [a for a, _ in pairs], [b for _, b in pairs], sorted(taken), None))
+            yield pd.DataFrame(rows, columns=["comp", "src", "dst", "taken", "answer"])
+
+    while True:
+        dealt = open_.join(best.select("comp", F.size("answer").alias("most")), "comp").filter(F.size("taken") < F.col("most"))
+        rows, n = settle_counted(dealt.repartition(F.xxhash64("comp", "taken", "src")).mapInPandas(run, PROBLEM), F.col("answer").isNull())
+        both = best.unionByName(rows.filter("answer is not null").select("comp", "answer"))
+        best = settle(both.groupBy("comp").agg(F.min(F.struct(F.size("answer").alias("n"), "answer")).alias("least")).select("comp", "least.answer"))
+        if not n:
+            return best.select("comp", F.explode("answer").alias("id"))
+        open_ = rows.filter("answer is null").select("comp", "src", "dst", "taken")
 
 
 def largest_acyclic(edges: DataFrame, limits: Limits = Limits()) -> DataFrame:

@@ -137,3 +137,21 @@ def test_a_block_keeps_the_order(seed):
     placed = {v: k << 32 for v, k in levels.items() if v not in own} | got
     assert set(got) <= own and all(placed[a] < placed[b] for a, b in pairs if a in placed and b in placed)
     assert len(got) >= len(set(levels) & own)
+
+
+def test_search_over_many_tasks(spark):
+    graphs = {seed: some(seed, 26, 80) for seed in (1, 2)}
+    parts = spark.createDataFrame([(k, a, b) for k, pairs in graphs.items() for a, b in pairs], "comp long, src long, dst long")
+    found = solve.exact_rounds(parts, nodes=2).collect()
+    for k, pairs in graphs.items():
+        g, ids_ = local.LocalGraph(pairs), {r["id"] for r in found if r["comp"] == k}
+        assert local.acyclic(g.without(ids_)) and len(ids_) == len(local.exact(g))
+
+
+def test_a_kernel_of_300_vertices(spark):
+    """Mutual edges of a grid of 15 by 20: half of the vertices, as many as disjoint pairs."""
+    at = lambda x, y: 100 * x + y
+    sides = [(at(x, y), at(x + dx, y + dy)) for x in range(15) for y in range(20) for dx, dy in ((0, 1), (1, 0)) if x + dx < 15 and y + dy < 20]
+    edges = literal_edges(spark, [p for a, b in sides for p in ((a, b), (b, a))])
+    answer = {r["id"] for r in solve.exact(edges, max_vertices=200).collect()}
+    assert len(answer) == 150 and all(a in answer or b in answer for a, b in sides)
