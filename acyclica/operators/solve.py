@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from acyclica.functions import grouped, local
 from acyclica.operators import graph, rank, structure
 from acyclica.operators.reduce import reduce_graph
-from acyclica.plans.checkpoints import settle, settle_counted
+from acyclica.plans.checkpoints import discard, discard_since, mark, settle, settle_counted
 from acyclica.plans.limits import PAGERANK_EDGES, PAGERANK_VERTICES, Deadline, Limits, regime
 
 
@@ -147,6 +147,7 @@ def improved(edges: DataFrame, answer: DataFrame, rounds: int, seed: int = 1, li
     for i in range(done, rounds):
         if not size or size == n or (deadline is not None and deadline.over()):
             break
+        began = mark()
         more = max(1, min(n - size, size) // (2 + i % 9))
         more = drawn(everyone.join(best, "id", "left_anti"), more / (n - size), seed * 1_000_003 + i)
         both = settle(best.unionByName(more))
@@ -155,6 +156,7 @@ def improved(edges: DataFrame, answer: DataFrame, rounds: int, seed: int = 1, li
         new = settle(stays.unionByName(greedy(rest, limits, fraction, deadline=deadline).select("id")))
         m = new.count()
         best, size = (kept.keep(i + 1, new), m) if m <= size else (kept.keep(i + 1, best), size)
+        discard_since(began, best)
     return best
 
 
@@ -204,14 +206,18 @@ def anneal_rounds(edges: DataFrame, answer: DataFrame, seed: int = 0, fails: int
     state, most = settle_counted(state)
     best, failed, i = state, 0, 0
     while failed < fails and not (deadline is not None and deadline.over()):
+        began = mark()
         block = lambda c, i=i: F.pmod(F.xxhash64(c, F.lit(seed * 1_000_003 + i)), F.lit(blocks))
         near = edges.join(state.select(F.col("id").alias("src"), F.col("label").alias("a")), "src", "left").join(state.select(F.col("id").alias("dst"), F.col("label").alias("b")), "dst", "left")
         rows = near.select(F.explode(F.array_distinct(F.array(block("src"), block("dst")))).alias("block"), "src", "dst", "a", "b", (block("src")).alias("at_src"), (block("dst")).alias("at_dst"))
         moved = settle(rows.groupBy("block").applyInPandas(_block_annealer(seed + i, heat * cooling**i, moves), "id long, label long"))
         wrong = edges.join(moved.select(F.col("id").alias("src"), F.col("label").alias("a")), "src").join(moved.select(F.col("id").alias("dst"), F.col("label").alias("b")), "dst").filter("a >= b")
         first = F.struct(F.xxhash64("src"), "src") < F.struct(F.xxhash64("dst"), F.col("dst").alias("src"))
-        state, n = settle_counted(moved.join(wrong.select(F.when(first, F.col("dst")).otherwise(F.col("src")).alias("id")), "id", "left_anti"))
+        old, (state, n) = state, settle_counted(moved.join(wrong.select(F.when(first, F.col("dst")).otherwise(F.col("src")).alias("id")), "id", "left_anti"))
+        if old is not best:
+            discard(old)
         best, most, failed = (state, n, 0) if n > most else (best, most, failed + 1)
+        discard_since(began, state, best)
         i += 1
     return everyone.join(best.select("id"), "id", "left_anti")
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from acyclica.functions import grouped, local
 from acyclica.operators import bitsets, bypass, graph
-from acyclica.plans.checkpoints import settle, settle_counted
+from acyclica.plans.checkpoints import discard, settle, settle_counted
 from acyclica.plans.limits import Limits
 
 MEMBER = "id long, comp long"
@@ -38,7 +38,9 @@ def _reaching(edges: DataFrame, salt: int) -> DataFrame:
         labels = graph.density(edges).select("id", F.struct((-F.col("density")).alias("col1"), "id").alias("label"))
     labels = settle(labels.select("id", F.col("label").alias("f"), F.col("label").alias("b"), F.lit(True).alias("moved")))
     while True:
-        labels, moved = settle_counted(_hop(edges, labels), F.col("moved"))
+        old = labels
+        labels, moved = settle_counted(_hop(edges, old), F.col("moved"))
+        discard(old)
         if not moved:
             return labels.select("id", F.col("f.id").alias("f"), F.col("b.id").alias("b"))
 

@@ -334,7 +334,7 @@ query("part5", None, "fvs_greedy")(solve.greedy)
 query("part5", None, "fvs_greedy_unsplit")(lambda e: solve.greedy(e, split_first=False))
 query("part5", None, "fvs_final")(lambda e: solve.fvs(e, rounds=20))
 query("part_r", None, "fvs_final_part_r")(lambda e: solve.fvs(e, rounds=5))
-query("part5", None, "fvs_sa")(lambda e: solve.annealed(e, n_seeds=2, fails=5, most_moves=2000))
+query("part5", None, "fvs_sa")(solve.annealed)
 query("part5", None, "fvs_improved_to_minimal")(lambda e: solve.without_redundant(settle(e), solve.greedy(e)))
 
 

@@ -9,14 +9,19 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import itertools
 import re
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-_written: list[tuple[SparkSession, str]] = []
+#: Session, path and place in the order of writing of each round table; and the paths of frames that read one.
+_written: list[tuple[SparkSession, str, int]] = []
+_path_of: dict[int, str] = {}
+_order = itertools.count(1)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -33,7 +38,7 @@ def shared_folder(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str = "round") -> str:
     """A new path in the shared folder, deleted when the process ends."""
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
+    _written.append((spark, path, next(_order)))
     return path
 
 
@@ -41,7 +46,10 @@ def settle(df: DataFrame) -> DataFrame:
     """df's rows as a table in the shared folder."""
     spark, path = df.sparkSession, scratch_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _path_of[id(out)] = path
+    weakref.finalize(out, _path_of.pop, id(out), None)
+    return out
 
 
 def settle_counted(df: DataFrame, only: Column | None = None) -> tuple[DataFrame, int]:
@@ -51,13 +59,34 @@ def settle_counted(df: DataFrame, only: Column | None = None) -> tuple[DataFrame
     return out, seen.get["n"]
 
 
-def forget() -> None:
-    """Deletes this process's round tables."""
-    while _written:
-        spark, path = _written.pop()
+def discard(*frames: DataFrame) -> None:
+    """Deletes the round tables of frames that nothing will read any more."""
+    paths = {_path_of.get(id(f)) for f in frames}
+    _delete([x for x in _written if x[1] in paths])
+
+
+def mark() -> int:
+    """A point in the order of writing, for discard_since()."""
+    return next(_order)
+
+
+def discard_since(first: int, *keep: DataFrame) -> None:
+    """Deletes the round tables written since a mark, but for those of the frames to keep."""
+    paths = {_path_of.get(id(f)) for f in keep}
+    _delete([x for x in _written if x[2] > first and x[1] not in paths])
+
+
+def _delete(tables: list[tuple[SparkSession, str, int]]) -> None:
+    for x in tables:
+        _written.remove(x)
         with contextlib.suppress(Exception):
-            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            spark, at = x[0], x[0].sparkContext._jvm.org.apache.hadoop.fs.Path(x[1])
             at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def forget() -> None:
+    """Deletes this process's round tables."""
+    _delete(list(_written))
+
+
 atexit.register(forget)

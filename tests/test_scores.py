@@ -50,3 +50,32 @@ def test_pagerank_of_components_with_sinks(spark):
             pr = {v: 0.15 / len(ids) + 0.85 * (loose / len(ids) + sum(pr[a] / out[a] for a, b in pairs if b == v)) for v in ids}
         want |= {(c, v): x for v, x in pr.items()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+
+
+def test_round_tables_go_when_they_are_done(spark):
+    import os
+
+    from acyclica.plans import checkpoints
+
+    left = lambda: set(os.listdir(checkpoints.shared_folder(spark).removeprefix("file:")))
+    kept = checkpoints.settle(spark.range(3))
+    before = left()
+    began = checkpoints.mark()
+    a, b = checkpoints.settle(spark.range(5)), checkpoints.settle(spark.range(7))
+    checkpoints.discard_since(began, b)
+    assert len(left() - before) == 1 and b.count() == 7 and kept.count() == 3
+    checkpoints.discard(b, a)
+    assert left() == before
+
+
+@pytest.mark.parametrize("fraction", [1, 3, 20, 150])
+def test_best_share_of_each_component(spark, fraction):
+    draw = random.Random(fraction)
+    rows = [(c, i + 1000 * c, draw.choice([1, 2, draw.randint(0, 50)])) for c, n in ((1, 1), (2, 7), (3, 400), (4, 900)) for i in range(n)]
+    df = spark.createDataFrame(rows, "comp long, id long, score long")
+    got = graph.top_fraction(df, "score", fraction, df.groupBy("comp").count().withColumnRenamed("count", "n")).collect()
+    want = []
+    for c in (1, 2, 3, 4):
+        mine = sorted((r for r in rows if r[0] == c), key=lambda r: (-r[2], -r[1]))
+        want += mine[: max(1, len(mine) // fraction)]
+    assert sorted((r["comp"], r["id"], r["score"]) for r in got) == sorted(want)
