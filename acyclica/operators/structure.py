@@ -71,7 +71,7 @@ def strong_components(edges: DataFrame, limits: Limits = Limits()) -> DataFrame:
     found, taken, splits, rounds, m = [], [], 0, 0, edges.count()
     if m > limits.local_edges:
         edges, m = settle_counted(edges.filter("src <> dst").select("src", "dst", F.lit(1).alias("w")).distinct())
-    while m > limits.local_edges:
+    while m > max(limits.local_edges, 0):
         short = bypass.bypass(edges, rounds)
         taken.append(short)
         edges, before, m, rounds = short.edges.filter("src <> dst"), m, short.m, rounds + 1
@@ -116,7 +116,7 @@ def topological_levels(edges: DataFrame, limits: Limits = Limits()) -> DataFrame
     first = heads.select(F.lit(bypass.ROOT).alias("src"), F.col("id").alias("dst"), F.lit(0).cast("long").alias("w"))
     edges = settle(edges.distinct().withColumn("w", F.lit(1).cast("long")).unionByName(first))
     taken, salt, gain, idle = [], 0, {True: 1.0, False: 1.0}, set()
-    while m > limits.local_edges and len(idle) < 2:
+    while m > max(limits.local_edges, 0) and len(idle) < 2:
         front = max(gain, key=gain.get)
         short = bypass.bypass(edges, salt, rooted=True, front=front)
         salt += 1
@@ -127,7 +127,7 @@ def topological_levels(edges: DataFrame, limits: Limits = Limits()) -> DataFrame
         taken.append(short)
         edges, m, idle = short.edges, short.m, set()
         gain = {k: max(v, 1e-9) for k, v in gain.items()}
-    found = [_levels_in_one_task(edges) if m <= limits.local_edges else edges.sparkSession.createDataFrame([(bypass.ROOT, 0)], "id long, level long")]
+    found = [_levels_in_one_task(edges) if m <= max(limits.local_edges, 0) else edges.sparkSession.createDataFrame([(bypass.ROOT, 0)], "id long, level long")]
     found[0] = settle(found[0])
     for short in reversed(taken):
         before = short.into.join(bypass.together(found).withColumnRenamed("id", "other"), "other", "left")
