@@ -3,7 +3,7 @@
 import random
 
 from acyclica.functions import local
-from acyclica.operators import bitsets, structure
+from acyclica.operators import bitsets, solve, structure
 from acyclica.plans.limits import Limits
 from acyclica.sources import literal_edges
 
@@ -40,3 +40,13 @@ def test_pairs_are_counted_by_components_and_hubs(spark, monkeypatch):
     assert local.reach_count(local.LocalGraph(pairs)) == want
     assert structure.reach_count(literal_edges(spark, pairs), Limits(local_edges=len(pairs) - 1)).first()["pairs"] == want
     assert 0 < sum(seen) < want / 4
+
+
+def test_large_components_are_split_once_in_several_takes(spark, monkeypatch):
+    splits, whole = [], solve.split
+    monkeypatch.setattr(solve, "split", lambda *a, **k: splits.append(1) or whole(*a, **k))
+    pairs = random_edges(7, 120, 420)
+    answer = {r["id"] for r in solve.greedy(literal_edges(spark, pairs), Limits(local_edges=240), fraction=20).collect()}
+    left = [(a, b) for a, b in pairs if a not in answer and b not in answer]
+    assert not any(a == b for a, b in ways(left)) and len(answer) < 80
+    assert len(splits) <= 3
