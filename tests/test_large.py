@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from acyclica.functions import local
 from acyclica.operators import bitsets, solve, structure
 from acyclica.plans.limits import Limits
@@ -50,3 +52,20 @@ def test_large_components_are_split_once_in_several_takes(spark, monkeypatch):
     left = [(a, b) for a, b in pairs if a not in answer and b not in answer]
     assert not any(a == b for a, b in ways(left)) and len(answer) < 80
     assert len(splits) <= 3
+
+
+def test_batches_grow_where_sources_reach_little(spark):
+    numbers = spark.range(100_000).select("id", F.col("id").alias("n"))
+    sizes = []
+
+    def work(batch, rows):
+        batch.written(rows(batch.some.count()))
+        sizes.append(batch.some.count())
+        return batch.some
+
+    bitsets.batched(numbers, lambda b: work(b, lambda n: n), 64)
+    assert sum(sizes) == 100_000 and len(sizes) <= 4
+    sizes.clear()
+    heavy = bitsets.SET_ROWS // 20_000
+    bitsets.batched(numbers, lambda b: work(b, lambda n: n * heavy if n > 64 else 1), 64)
+    assert sum(sizes) == 100_000 and max(sizes) <= 2 * 20_000 + 1
