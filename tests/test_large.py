@@ -81,3 +81,14 @@ def test_edges_between_vertices_of_the_solution_go_first(spark, monkeypatch):
     g = local.LocalGraph(pairs)
     assert sorted(r["id"] for r in got) == sorted(v for v in solution if not local.reaches_itself(g, v, solution))
     assert seen and not any(a != b and a in solution and b in solution for edges in seen for a, b in edges)
+
+
+def test_a_deep_graph_whose_ids_rise_takes_few_rounds(spark, monkeypatch):
+    """40 layers of one vertex each: blocks of ids settle many layers in a round."""
+    rounds, write = [], structure.settle_counted
+    monkeypatch.setattr(structure, "settle_counted", lambda *a, **k: rounds.append(1) or write(*a, **k))
+    monkeypatch.setattr(bypass, "settle_counted", lambda *a, **k: rounds.append(1) or write(*a, **k))
+    pairs = [(a, b) for a in range(40) for b in range(a + 1, 40)] + [(41, 42), (42, 41), (42, 43), (3, 43)]
+    got = structure.topological_levels(literal_edges(spark, pairs), Limits(local_edges=100)).collect()
+    assert {r["id"]: r["level"] for r in got} == {i: i for i in range(40)}
+    assert len(rounds) <= 12
