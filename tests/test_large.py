@@ -92,3 +92,18 @@ def test_a_deep_graph_whose_ids_rise_takes_few_rounds(spark, monkeypatch):
     got = structure.topological_levels(literal_edges(spark, pairs), Limits(local_edges=100)).collect()
     assert {r["id"]: r["level"] for r in got} == {i: i for i in range(40)}
     assert len(rounds) <= 12
+
+
+def test_small_fronts_are_looked_up_in_the_edges(spark, monkeypatch):
+    """Sets and labels that few vertices hand on don't shuffle the edges."""
+    plans = []
+    for module in (bitsets, structure):
+        write = module.settle_counted
+        monkeypatch.setattr(module, "settle_counted", lambda df, *a, write=write, **k: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df, *a, **k))
+    edges = literal_edges(spark, [(1, 2), (2, 3), (3, 4), (4, 2), (9, 1)])
+    got = structure.reach(edges, spark.createDataFrame([(1,)], "id long"), limits=Limits(local_edges=0))
+    assert sorted(r["id"] for r in got.collect()) == [2, 3, 4]
+    assert any("BroadcastHashJoin" in p for p in plans)
+    plans.clear()
+    labels = structure._reaching(edges, 1)
+    assert any("BroadcastHashJoin" in p for p in plans) and labels.count() == 5
