@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from acyclica.functions import local
 from acyclica.operators import bitsets, bypass, solve, structure
 from acyclica.plans.limits import Limits
-from acyclica.sources import literal_edges
+from acyclica.sources import literal_edges, tables
 
 
 def random_edges(seed, n, m):
@@ -107,3 +107,41 @@ def test_small_fronts_are_looked_up_in_the_edges(spark, monkeypatch):
     plans.clear()
     labels = structure._reaching(edges, 1)
     assert any("BroadcastHashJoin" in p for p in plans) and labels.count() == 5
+
+
+def test_components_of_copies_one_after_another_take_no_split(spark, monkeypatch):
+    """Copies that lead on to the next: labels would travel through all of them; blocks of ids are merged instead."""
+    splits, merges, once, block = [], [], structure._reaching, structure._merged
+    monkeypatch.setattr(structure, "_reaching", lambda *a: splits.append(1) or once(*a))
+    monkeypatch.setattr(structure, "_merged", lambda *a: merges.append(1) or block(*a))
+    copy = random_edges(4, 30, 240)
+    pairs = [(a + 30 * i, b + 30 * i) for i in range(12) for a, b in copy] + [(30 * i + 7, 30 * i + 40) for i in range(11)]
+    g = local.LocalGraph(pairs)
+    want = sorted((v, min(c)) for c in local.strong_components(g.out) for v in c)
+    got = structure.strong_components(literal_edges(spark, pairs), Limits(local_edges=300))
+    assert sorted(map(tuple, got.collect())) == want and merges and not splits
+
+
+def test_merges_bypasses_and_splits_find_the_same_components(spark):
+    rng = random.Random(3)
+    name = rng.sample(range(10_000), 60)
+    pairs = sorted({(name[a], name[b]) for a, b in random_edges(3, 60, 75)} | {(name[i], name[i + 1]) for i in range(12)})
+    g = local.LocalGraph(pairs)
+    want = sorted((v, min(c)) for c in local.strong_components(g.out) for v in c)
+    got = structure.strong_components(literal_edges(spark, pairs), Limits(local_edges=25))
+    assert sorted(map(tuple, got.collect())) == want
+
+
+def test_pairs_of_few_components_are_counted_in_one_task(spark, monkeypatch):
+    monkeypatch.setattr(structure, "_hubs", None)
+    pairs = [(100 * i + j, 100 * i + (j + 1) % 20) for i in range(5) for j in range(20)] + [(100 * i, 100 * i + 100) for i in range(4)] + [(900, 901), (901, 902), (950, 950)]
+    got = structure.reach_count(literal_edges(spark, pairs), Limits(local_edges=len(pairs) - 1))
+    assert got.first()["pairs"] == len(ways(pairs))
+
+
+def test_a_bucket_is_found_by_halving(spark):
+    cuts = [1.0, 4.0, 4.5, 9.0, 20.0]
+    rows = spark.createDataFrame([(x,) for x in (-3.0, 1.0, 1.5, 4.0, 4.4, 4.5, 8.9, 9.0, 19.0, 20.0, 99.0)], "x double")
+    got = rows.select("x", tables._place(F.col("x"), cuts).alias("k")).collect()
+    assert all(r["k"] == sum(c <= r["x"] for c in cuts) for r in got)
+    assert str(tables._place(F.col("x"), [float(i) for i in range(31)])).count("x >=") == 31
