@@ -140,3 +140,40 @@ def test_a_kernel_of_300_vertices(spark):
     edges = literal_edges(spark, [p for a, b in sides for p in ((a, b), (b, a))])
     answer = {r["id"] for r in solve.exact(edges, max_vertices=200).collect()}
     assert len(answer) == 150 and all(a in answer or b in answer for a, b in sides)
+
+
+def test_a_kernel_of_1200_vertices(spark):
+    """Mutual edges of a grid of 30 by 40, as above."""
+    at = lambda x, y: 100 * x + y
+    sides = [(at(x, y), at(x + dx, y + dy)) for x in range(30) for y in range(40) for dx, dy in ((0, 1), (1, 0)) if x + dx < 30 and y + dy < 40]
+    edges = literal_edges(spark, [p for a, b in sides for p in ((a, b), (b, a))])
+    answer = {r["id"] for r in solve.exact(edges).collect()}
+    assert len(answer) == 600 and all(a in answer or b in answer for a, b in sides)
+
+
+def test_open_subproblems_are_few_and_small(spark, monkeypatch):
+    """Two at a time: as many wait as two ways down have branches, and a row has no edges."""
+    pairs, seen, once = some(3, 26, 80), [], solve.settle
+
+    def noted(df):
+        out = once(df)
+        if out.columns == ["comp", "taken", "kept"]:
+            seen.append(max([0, *(len(r["taken"]) + len(r["kept"]) for r in out.collect())]))
+            seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(solve, "settle", noted)
+    parts = spark.createDataFrame([(1, a, b) for a, b in pairs], "comp long, src long, dst long")
+    found = {r["id"] for r in solve.exact_rounds(parts, nodes=3, side=2).collect()}
+    g = local.LocalGraph(pairs)
+    assert local.acyclic(g.without(found)) and len(found) == len(local.exact(g))
+    assert max(seen[::2]) <= 26 and max(seen[1::2]) <= 2 * 26
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_subproblems_in_any_order(seed):
+    g, best, todo = local.LocalGraph(some(seed, 20, 60)), None, [(set(), set())]
+    while todo:
+        found, rest = local.explore(g, *todo.pop(seed % len(todo)), 21 if best is None else len(best), 1 + seed % 3)
+        best, todo = best if found is None else found, todo + rest
+    assert local.acyclic(g.without(best)) and len(best) == len(local.exact(g))
