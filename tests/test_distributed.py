@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from acyclica.functions import local
-from acyclica.operators import bitsets, bypass, solve, structure
+from acyclica.operators import bitsets, bypass, graph, reduce, solve, structure
 from acyclica.plans.limits import Limits
 from acyclica.sources import literal_edges
 
@@ -177,3 +177,16 @@ def test_subproblems_in_any_order(seed):
         found, rest = local.explore(g, *todo.pop(seed % len(todo)), 21 if best is None else len(best), 1 + seed % 3)
         best, todo = best if found is None else found, todo + rest
     assert local.acyclic(g.without(best)) and len(best) == len(local.exact(g))
+
+
+def test_search_on_whole_frames(spark, monkeypatch):
+    """Branching beyond one task, from all vertices as the first answer; each reduction is left to one task, for time."""
+    pairs, calls, once, parted = some(154, 10, 26), [], graph.contract_set, solve.split
+    monkeypatch.setattr(graph, "contract_set", lambda *a: calls.append(1) or once(*a))
+    monkeypatch.setattr(solve, "reduce_graph", lambda edges, *a: reduce.reduce_graph(edges))
+    monkeypatch.setattr(solve, "split", lambda edges, *a: parted(edges))
+    monkeypatch.setattr(solve, "greedy", lambda edges, *a: graph.vertices(edges))
+    monkeypatch.setattr(solve, "without_redundant", lambda edges, answer, *a: answer)
+    answer = {r["id"] for r in solve.exact(literal_edges(spark, pairs), Limits(local_edges=12)).collect()}
+    g = local.LocalGraph(pairs)
+    assert local.acyclic(g.without(answer)) and len(answer) == len(local.exact(g)) and len(calls) > 1
