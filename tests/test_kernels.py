@@ -5,7 +5,7 @@ import random
 from pyspark import TaskContext
 
 from acyclica.functions import grouped, local
-from acyclica.operators import reduce, solve
+from acyclica.operators import bitsets, reduce, solve, structure
 from acyclica.plans.limits import Limits
 from acyclica.sources import literal_edges
 
@@ -20,6 +20,10 @@ def copies(k=3, n=14, m=40, tails=20):
     return sorted(set(out))
 
 
+def ids(spark, values):
+    return spark.createDataFrame([(v,) for v in values], "id long")
+
+
 def place(*_):
     return {TaskContext.get().partitionId()}
 
@@ -46,6 +50,14 @@ def test_components_that_fit_are_reduced_by_tasks(spark, monkeypatch):
     assert sorted(parts) == sorted(kernel)
 
 
+def test_needless_vertices_of_components_that_fit_take_no_sets(spark, monkeypatch):
+    monkeypatch.setattr(bitsets, "Found", None)
+    pairs = copies(2)
+    g, solution = local.LocalGraph(pairs), {b for a, b in pairs if a >= b} | {1, 2, 3, 505}
+    got = structure.redundant(literal_edges(spark, pairs), ids(spark, solution), Limits(local_edges=30)).collect()
+    assert sorted(r["id"] for r in got) == sorted(v for v in solution if not local.reaches_itself(g, v, solution))
+
+
 def test_ids_beyond_doubles_stay_whole(spark):
     """Forced vertices and edges are rows of one table."""
     big = (1 << 60) + 1
