@@ -6,6 +6,7 @@ from pyspark import TaskContext
 
 from acyclica.functions import grouped, local
 from acyclica.operators import bitsets, reduce, solve, structure
+from acyclica.plans.catalog import QUERIES
 from acyclica.plans.limits import Limits
 from acyclica.sources import literal_edges
 
@@ -58,6 +59,26 @@ def test_needless_vertices_of_components_that_fit_take_no_sets(spark, monkeypatc
     assert sorted(r["id"] for r in got) == sorted(v for v in solution if not local.reaches_itself(g, v, solution))
 
 
+def test_answers_are_checked_on_what_bypasses_leave(spark, monkeypatch):
+    sizes, once = [], structure.topological_levels
+    monkeypatch.setattr(structure, "topological_levels", lambda edges, *a: sizes.append(edges.count()) or once(edges, *a))
+    pairs = copies(1, tails=60)
+    answer = local.greedy(local.LocalGraph(pairs))
+    limits = Limits(local_edges=25)
+    assert structure.is_solution(literal_edges(spark, pairs), ids(spark, answer), limits).first()["is_acyclic"]
+    # a loop alone is left of a ring, and is a cycle
+    assert not structure.is_solution(literal_edges(spark, [(i, (i + 1) % 60) for i in range(60)]), ids(spark, [99]), limits).first()["is_acyclic"]
+    assert max(sizes) <= 25
+
+
+def test_solvers_of_one_graph_share_its_reduction(spark, monkeypatch):
+    made, once = [], reduce.reduce_graph
+    for module in (reduce, solve):
+        monkeypatch.setattr(module, "reduce_graph", lambda *a, **k: made.append(1) or once(*a, **k))
+    assert [r["is_solution"] for r in QUERIES["fvs_validity"](spark, "/root/testdata/sf0.001").collect()] == [True] * 3
+    assert len(made) == 1
+
+
 def test_ids_beyond_doubles_stay_whole(spark):
     """Forced vertices and edges are rows of one table."""
     big = (1 << 60) + 1
