@@ -51,6 +51,14 @@ def test_components_that_fit_are_reduced_by_tasks(spark, monkeypatch):
     assert sorted(parts) == sorted(kernel)
 
 
+def test_improvement_of_components_that_fit_stays_in_them(spark, monkeypatch):
+    monkeypatch.setattr(solve, "without_redundant", None)
+    pairs = copies(2)
+    answer = {r["id"] for r in solve.fvs(literal_edges(spark, pairs), Limits(local_edges=50), rounds=3).collect()}
+    g = local.LocalGraph(pairs)
+    assert local.acyclic(g.without(answer)) and all(local.reaches_itself(g, v, answer) for v in answer)
+
+
 def test_needless_vertices_of_components_that_fit_take_no_sets(spark, monkeypatch):
     monkeypatch.setattr(bitsets, "Found", None)
     pairs = copies(2)
